@@ -1,0 +1 @@
+"""Column functions: spans, validators, context and false-positive rules."""

@@ -1,0 +1 @@
+"""DataFrame operators built on the column functions."""

@@ -1,0 +1 @@
+"""Whole-text analysis and the registered queries."""

@@ -1,0 +1,8 @@
+"""Redaction of streams. The expressions are stateless, so a streaming DataFrame takes the batch plan as it is."""
+
+from sladd.plans.analyze import anonymize
+
+
+def redact_stream(stream, text: str = "text", **options):
+    """``anonymize`` on a streaming DataFrame; needs no watermark and keeps no state."""
+    return anonymize(stream, text, **options)
