@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sladd.functions.spans import label_counts
-from sladd.functions.text import let
 from sladd.operators.flags import manual_review, special_categories
 from sladd.operators.language import is_supported
-from sladd.plans.analyze import analyze
+from sladd.plans.analyze import own_placeholders, with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.words import DEFAULT_LEXICON
 
@@ -19,11 +18,13 @@ def audit_records(docs: DataFrame, languages: DataFrame | None = None, doc: str
 
     Counts and categories come from the row itself; only the short rows, without text, meet the languages.
     """
-    facts = let(
-        analyze(F.col(text), detectors, lexicon),
-        lambda s: F.struct(label_counts(s).alias("pii_found"), F.size(s).cast("bigint").alias("total")),
+    found = with_spans(docs.select(doc, text), text, detectors, lexicon)
+    rows = found.select(
+        doc,
+        label_counts(F.col("spans"), own_placeholders(detectors)).alias("pii_found"),
+        F.size("spans").cast("bigint").alias("total"),
+        special_categories(F.col(text)).alias("categories"),
     )
-    rows = docs.select(doc, facts.alias("f"), special_categories(F.col(text)).alias("categories"))
     if languages is None:
         rows = rows.withColumn("language", F.lit(None).cast("string"))
     else:
@@ -34,8 +35,8 @@ def audit_records(docs: DataFrame, languages: DataFrame | None = None, doc: str
         (~is_supported(F.col("language"))).alias("language_warning"),
         F.col("categories").alias("article9_categories_detected"),
         manual_review(F.col("categories")).alias("article9_manual_review_required"),
-        F.col("f.pii_found").alias("pii_found"),
-        F.col("f.total").alias("total_replacements"),
+        "pii_found",
+        F.col("total").alias("total_replacements"),
         F.lit("success").alias("status"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sladd.functions import spans as S
 from sladd.functions.text import let, strip
-from sladd.plans.analyze import analyze
+from sladd.plans.analyze import with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.words import DEFAULT_LEXICON
 
@@ -17,31 +17,28 @@ def word_table(spark, words, column: str) -> DataFrame:
 
 def name_grams(df: DataFrame, unit: str, text: str, longest: int = 2) -> DataFrame:
     """One row per word and per run of up to ``longest`` words: ``unit, start, chunk``."""
-
-    def grams(source):
-        def build(words):
-            def run(word, n):
-                last = F.get(words, n)
-                end = last["start"] + F.length(last["chunk"])
-                return F.struct(
-                    word["start"].alias("start"),
-                    F.substring(source, word["start"] + 1, end - word["start"]).alias("chunk"),
+    marked = F.regexp_replace(S.guard(F.col(text)), r"(?U)\w+", f"{S.MARK}$0{S.MARK}")
+
+    def grams(m):
+        # Pieces alternate between gaps and words, so a run of n words is 2n - 1 pieces from its first word.
+        pieces = F.split(m, S.MARK, -1)
+
+        def runs(p):
+            def at(word, i):
+                sizes = [F.lit(n) for n in range(1, longest + 1)]
+                fits = F.filter(F.array(*sizes), lambda n: 2 * (i + n) <= F.size(p))
+                return F.transform(
+                    fits,
+                    lambda n: F.struct(
+                        word["start"].alias("start"), F.array_join(F.slice(p, 2 * i + 2, 2 * n - 1), "").alias("chunk")
+                    ),
                 )
 
-            single = F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["chunk"].alias("chunk")))
-            longer = [F.transform(words, _runs(run, n)) for n in range(1, longest)]
-            return F.filter(F.concat(single, *longer), lambda g: g["chunk"].isNotNull())
-
-        return let(S.matches(source, [r"(?U)\w+"]), build)
-
-    return df.select(unit, F.explode(let(S.guard(F.col(text)), grams)).alias("g")).select(unit, "g.start", "g.chunk")
+            return F.flatten(F.transform(S.marked_pieces(m, F.lit(0)), at))
 
+        return let(pieces, runs)
 
-def _runs(run, n):
-    def at(word, i):
-        return run(word, i + n)
-
-    return at
+    return df.select(unit, F.explode(let(marked, grams)).alias("g")).select(unit, "g.start", "g.chunk")
 
 
 def name_list_join(df: DataFrame, names: DataFrame, unit: str = "unit_id", text: str = "text", longest: int = 2,
@@ -126,5 +123,13 @@ def propagate_values(text: Column, spans: Column) -> Column:
 
 def value_propagation(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON) -> DataFrame:
     rest = [c for c in df.columns if c != text]
-    masked = let(F.col(text), lambda t: propagate_values(t, analyze(t, detectors, lexicon)))
-    return df.select(*rest, masked.alias("redacted"))
+    found = with_spans(df, text, detectors, lexicon)
+    return found.select(*rest, propagate_values(F.col(text), F.col("spans")).alias("redacted"))
+
+
+def lexicon_union(*tables: DataFrame) -> DataFrame:
+    """Distinct words of several one-column tables."""
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out.where(F.length("word") > 0).distinct()

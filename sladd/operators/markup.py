@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sladd.functions import spans as S
-from sladd.functions.text import let
-from sladd.plans.analyze import analyze
+from sladd.plans.analyze import own_placeholders, with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.media import AUDIO_REMOVED, COMMENT_REMOVED, IMAGE_REMOVED, MEDIA_REMOVED, VIDEO_REMOVED
 from sladd.rules.words import DEFAULT_LEXICON
@@ -64,22 +63,15 @@ def accept_changes(html: Column) -> Column:
 def anonymize_page(df: DataFrame, page: str = "page_id", html: str = "html", detectors=DETECTORS,
                    lexicon=DEFAULT_LEXICON) -> DataFrame:
     """Metadata, changes, comments and media, then the text: ``page, redacted, counts``."""
-
-    def run(source):
-        def after_media(body):
-            def finish(found):
-                removed = F.array_insert(
-                    media_counts(strip_comments(source)), 1,
-                    F.struct(F.lit(COMMENT_REMOVED).alias("placeholder"), comment_count(source).alias("n")),
-                )
-                seen = F.map_from_entries(F.filter(removed, lambda m: m["n"] > 0))
-                return F.struct(
-                    S.redact(body, found).alias("redacted"), F.map_concat(seen, S.label_counts(found)).alias("counts")
-                )
-
-            return let(analyze(body, detectors, lexicon), finish)
-
-        return let(replace_media(strip_comments(source)), after_media)
-
-    prepared = accept_changes(strip_metadata(F.col(html)))
-    return df.select(page, let(prepared, run).alias("r")).select(page, "r.redacted", "r.counts")
+    source = df.select(page, accept_changes(strip_metadata(F.col(html))).alias("_source"))
+    body = replace_media(strip_comments(F.col("_source")))
+    found = with_spans(source.withColumn("_body", body), "_body", detectors, lexicon)
+    comments = F.struct(F.lit(COMMENT_REMOVED).alias("placeholder"), comment_count(F.col("_source")).alias("n"))
+    removed = F.concat(F.array(comments), media_counts(strip_comments(F.col("_source"))))
+    seen = F.map_from_entries(F.filter(removed, lambda m: m["n"] > 0))
+    extra = own_placeholders(detectors)
+    return found.select(
+        page,
+        S.redact(F.col("_body"), F.col("spans"), extra).alias("redacted"),
+        F.map_concat(seen, S.label_counts(F.col("spans"), extra)).alias("counts"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sladd.functions import spans as S
 from sladd.functions.text import let, not_blank, strip
-from sladd.plans.analyze import analyze, redact_text
+from sladd.plans.analyze import analyze, own_placeholders, with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.headers import HEADER_RULES, rule_pattern
 from sladd.rules.words import DEFAULT_LEXICON
@@ -77,49 +77,64 @@ def column_roles(df: DataFrame, exclude=()):
     return forced, [c for c in names if c not in forced]
 
 
-def cell_spans(header: Column, value: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON) -> Column:
-    """Spans of a cell read as ``"<header>: <value>"``, so that the header counts as context.
+def _prefix(header: Column) -> Column:
+    lead = F.lower(strip(header))
+    return F.when(lead != "", F.concat(lead, F.lit(": "))).otherwise(F.lit(""))
 
-    When a span touches the header part, the bare value is analysed instead. A blank header gives no context.
+
+def redact_value_cells(df: DataFrame, cells: Column, out: str, detectors=DETECTORS,
+                       lexicon=DEFAULT_LEXICON) -> DataFrame:
+    """Add ``out``: redacted values of an array of ``struct<h, v>`` (header, value).
+
+    A value is read as ``"<header>: <value>"``, so that the header counts as context. When a span touches the
+    header part, the bare value is analysed instead. A blank header gives no context.
+
+    The two readings are projections of their own over whole arrays, so each detection expression is in the
+    plan once whatever the number of cells.
     """
-    prefix = F.lower(strip(header))
+    extra = own_placeholders(detectors)
 
-    def with_header(lead):
-        size = F.length(lead)
+    def prepare(cell):
+        lead = _prefix(cell["h"])
+        return F.struct(F.length(lead).alias("size"), F.concat(lead, cell["v"]).alias("full"), cell["v"].alias("v"))
 
-        def pick(found):
-            touched = F.exists(found, lambda s: s["start"] < size)
-            moved = F.transform(
-                found,
-                lambda s: F.struct(
-                    s["entity"].alias("entity"), (s["start"] - size).alias("start"), (s["end"] - size).alias("end"),
-                    s["score"].alias("score"), s["src"].alias("src"),
-                ),
-            )
-            return F.when(touched, analyze(value, detectors, lexicon)).otherwise(moved)
+    def move(span, size):
+        return F.struct(
+            span["entity"].alias("entity"), (span["start"] - size).alias("start"), (span["end"] - size).alias("end"),
+            span["score"].alias("score"), span["src"].alias("src"),
+        )
 
-        return let(analyze(F.concat(lead, value), detectors, lexicon), pick)
+    def first_reading(cell):
+        return F.struct(
+            cell["v"].alias("v"), cell["size"].alias("size"),
+            analyze(cell["full"], detectors, lexicon).alias("spans"),
+        )
 
-    lead = F.when(prefix != "", F.concat(prefix, F.lit(": "))).otherwise(F.lit(""))
-    return F.when(not_blank(value), let(lead, with_header)).otherwise(S.empty(S.SPAN_TYPE))
+    def judged(cell):
+        touched = F.exists(cell["spans"], lambda s: s["start"] < cell["size"])
+        moved = F.transform(cell["spans"], lambda s: move(s, cell["size"]))
+        return F.struct(cell["v"].alias("v"), F.when(touched, cell["v"]).alias("again"), moved.alias("spans"))
 
+    def second_reading(cell):
+        again = F.when(cell["again"].isNotNull(), analyze(cell["again"], detectors, lexicon))
+        return F.struct(cell["v"].alias("v"), F.coalesce(again, cell["spans"]).alias("spans"))
 
-def redact_cell(header: Column, value: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON) -> Column:
-    return let(value, lambda v: S.redact(v, cell_spans(header, v, detectors, lexicon)))
+    def written(cell):
+        return F.when(not_blank(cell["v"]), S.redact(cell["v"], cell["spans"], extra)).otherwise(cell["v"])
 
+    staged = df.withColumn(out, F.transform(cells, prepare))
+    for stage in (first_reading, judged, second_reading, written):
+        staged = staged.withColumn(out, F.transform(F.col(out), stage))
+    return staged
 
-def redact_table(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=()) -> DataFrame:
-    """Mask forced columns, analyse the other string columns, leave everything else alone.
 
-    One projection, no shuffle. All analysed cells of a row go through one array, so the detection expression
-    is in the plan once whatever the number of columns.
-    """
+def redact_table(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=()) -> DataFrame:
+    """Mask forced columns, analyse the other string columns, leave everything else alone. No shuffle."""
     forced, analysed = column_roles(df, exclude)
-    cells = F.array(*[F.struct(F.lit(c).alias("h"), F.col(f"`{c}`").alias("v")) for c in analysed])
     done = df
     if analysed:
-        masked = F.transform(cells, lambda c: redact_cell(c["h"], c["v"], detectors, lexicon))
-        done = df.select("*", masked.alias("_cells"))
+        cells = F.array(*[F.struct(F.lit(c).alias("h"), F.col(f"`{c}`").alias("v")) for c in analysed])
+        done = redact_value_cells(df, cells, "_cells", detectors, lexicon)
     out = []
     for name in df.columns:
         if name in forced:
@@ -178,7 +193,10 @@ def cell_header_join(cells: DataFrame, salts: int = 16) -> DataFrame:
 def redact_cells(cells: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, salts: int = 16) -> DataFrame:
     """Mask forced columns of cell tables and analyse every other cell, row 0 included."""
     joined = cell_header_join(cells, salts)
-    text = F.when(
-        F.col("forced").isNotNull() & not_blank(F.col("text")), F.col("forced")
-    ).otherwise(redact_text(F.col("text"), detectors, lexicon))
-    return joined.withColumn("text", text)
+    masked = F.col("forced").isNotNull() & not_blank(F.col("text"))
+    # Cells to be masked are not analysed: their text is null in the analysed column.
+    found = with_spans(joined.withColumn("_rest", F.when(~masked, F.col("text"))), "_rest", detectors, lexicon)
+    text = F.when(masked, F.col("forced")).otherwise(
+        S.redact(F.col("text"), F.col("spans"), own_placeholders(detectors))
+    )
+    return found.withColumn("text", text).drop("_rest", "spans")

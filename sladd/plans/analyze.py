@@ -6,6 +6,7 @@ Everything is one row-local expression: no shuffle, no Python per row.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -271,25 +272,37 @@ def analyze(text: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, external
     return F.when(not_blank(text), let(text, run)).otherwise(S.empty(S.SPAN_TYPE))
 
 
+@lru_cache(maxsize=64)
+def _column_analysis(app: str, text: str, detectors, lexicon, external):
+    """The analysis of a named column. Building the expression takes thousands of driver calls, so it is kept."""
+    ext = F.col(external) if external else None
+    return analyze(F.col(f"`{text}`"), detectors, lexicon, ext)
+
+
+def with_spans(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
+               external: str | None = None, column: str = "spans") -> DataFrame:
+    """Add the final spans of a text column."""
+    app = df.sparkSession.sparkContext.applicationId
+    return df.withColumn(column, _column_analysis(app, text, tuple(detectors), lexicon, external))
+
+
+def own_placeholders(detectors) -> dict:
+    return {d.entity: d.placeholder for d in detectors if d.placeholder}
+
+
 def anonymize(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
               external: str | None = None, keep_spans: bool = True) -> DataFrame:
-    """Replace ``text`` by ``redacted``, add ``spans`` and the number of replacements ``n``."""
-    extra = {d.entity: d.placeholder for d in detectors if d.placeholder}
-    ext = F.col(external) if external else None
-    both = let(
-        analyze(F.col(text), detectors, lexicon, ext),
-        lambda s: F.struct(
-            s.alias("spans"), S.redact(F.col(text), s, extra).alias("redacted"), F.size(s).cast("bigint").alias("n")
-        ),
-    )
+    """Replace ``text`` by ``redacted``, add ``spans`` and the number of replacements ``n``.
+
+    Spans are a projection of their own, so they are computed once and what is not asked for is pruned.
+    """
+    found = with_spans(df, text, detectors, lexicon, external, "spans")
     rest = [c for c in df.columns if c not in (text, external)]
-    out = df.select(*rest, both.alias("_found"))
-    picked = ["_found.redacted", "_found.spans", "_found.n"] if keep_spans else ["_found.redacted", "_found.n"]
-    return out.select(*rest, *picked)
+    redacted = S.redact(F.col(f"`{text}`"), F.col("spans"), own_placeholders(detectors))
+    shown = ["spans"] if keep_spans else []
+    return found.select(*rest, redacted.alias("redacted"), *shown, F.size("spans").cast("bigint").alias("n"))
 
 
 def redact_text(text: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON) -> Column:
     """Redacted text as one expression."""
-    extra = {d.entity: d.placeholder for d in detectors if d.placeholder}
-    return let(text, lambda t: S.redact(t, analyze(t, detectors, lexicon), extra))
-
+    return let(text, lambda t: S.redact(t, analyze(t, detectors, lexicon), own_placeholders(detectors)))
