@@ -9,13 +9,17 @@ from sladd.rules.entities import CONTEXT_BOOST, CONTEXT_FLOOR, CONTEXT_TOKENS
 NEAR_CHARS = 256
 
 
-def preceding_tokens(text: Column, start: Column, count: int = CONTEXT_TOKENS) -> Column:
-    """The last ``count`` lower-cased, space-separated tokens before ``start``, joined by newlines."""
+def preceding_tokens(text: Column, start: Column, count: int = CONTEXT_TOKENS, cut=None) -> Column:
+    """The last ``count`` lower-cased, space-separated tokens before ``start``, joined by newlines.
+
+    ``cut(start, size)`` may replace plain substrings of ``text``.
+    """
+    cut = cut or (lambda at, size: F.substring(text, at + 1, size))
 
     def tokens(prefix):
         return F.filter(F.split(F.lower(prefix), r"(?U)\s+", -1), lambda t: t != "")
 
-    near = F.substring(text, F.greatest(start - NEAR_CHARS, F.lit(0)) + 1, F.least(start, F.lit(NEAR_CHARS)))
+    near = cut(F.greatest(start - NEAR_CHARS, F.lit(0)), F.least(start, F.lit(NEAR_CHARS)))
     # The first token of a cut prefix may be partial, so one more than needed must be there.
     found = let(
         tokens(near),

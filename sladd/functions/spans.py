@@ -18,6 +18,8 @@ GAP = "\ufffe"
 _SPARE = "\ufdd0"
 
 # Above these sizes the work per row is cut up to stay near linear.
+BLOCK = 128
+MANY_CHARS = 16_384
 MANY_SPANS = 64
 MANY_REGIONS = 256
 
@@ -35,22 +37,51 @@ def guard(text: Column) -> Column:
     return F.when(dirty, F.translate(text, MARK + GAP, _SPARE * 2)).otherwise(text)
 
 
+def running(values: Column, merge, element_type: str = "int") -> Column:
+    """Per element, ``merge`` over all elements before it, starting from 0.
+
+    Appending to an array copies it, so long arrays are folded in blocks and the blocks are then shifted.
+    """
+
+    def fold(items):
+        def step(acc, x):
+            return F.struct(
+                merge(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")
+            )
+
+        zero = F.expr(f"named_struct('now', 0, 'out', cast(array() as array<{element_type}>))")
+        return F.aggregate(items, zero, step, lambda a: a["out"])
+
+    def blocked(items):
+        last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK))
+        )
+
+        def shift(parts):
+            before = fold(F.transform(parts, lambda part: F.aggregate(part, F.lit(0), merge)))
+            return F.flatten(
+                F.zip_with(parts, before, lambda part, base: F.transform(fold(part), lambda x: merge(base, x)))
+            )
+
+        return let(blocks, shift)
+
+    return let(values, lambda v: F.when(F.size(v) <= 2 * BLOCK, fold(v)).otherwise(blocked(v)))
+
+
 def marked_pieces(marked: Column, rule: Column) -> Column:
-    """Split a text whose hits are wrapped in MARK into hits with offsets."""
-
-    def step(acc, piece):
-        return F.struct(
-            (acc["pos"] + F.length(piece)).alias("pos"),
-            (~acc["odd"]).alias("odd"),
-            F.when(acc["odd"], F.concat(acc["out"], F.array(hit(rule, acc["pos"], piece))))
-            .otherwise(acc["out"])
-            .alias("out"),
+    """Split a text whose hits are wrapped in MARK into hits with offsets; every second piece is a hit."""
+
+    def build(pieces):
+        starts = running(F.transform(pieces, lambda p: F.length(p)), lambda a, b: a + b)
+        return let(
+            starts,
+            lambda at: F.transform(
+                F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: hit(rule, at[i], pieces[i])
+            ),
         )
 
-    zero = F.expr(f"named_struct('pos', 0, 'odd', false, 'out', cast(array() as array<{HIT_TYPE}>))")
-    return F.when(
-        marked.contains(MARK), F.aggregate(F.split(marked, MARK, -1), zero, step, lambda a: a["out"])
-    ).otherwise(empty(HIT_TYPE))
+    return F.when(marked.contains(MARK), let(F.split(marked, MARK, -1), build)).otherwise(empty(HIT_TYPE))
 
 
 def hit(rule: Column, start: Column, chunk: Column) -> Column:
@@ -61,10 +92,12 @@ def matches(text: Column, regexes) -> Column:
     """All matches of each pattern with their offsets: one pass of each pattern over the text.
 
     Patterns are independent, so hits of different patterns may overlap; ``rule`` is the pattern's number.
+    A pattern may be a Column; a null one has no hits.
     ``text`` must have gone through :func:`guard`; patterns must not match the empty string.
     """
     replacement = F.lit(f"{MARK}$0{MARK}")
-    marked = F.array(*[F.regexp_replace(text, F.lit(r), replacement) for r in regexes])
+    patterns = [r if isinstance(r, Column) else F.lit(r) for r in regexes]
+    marked = F.array(*[F.regexp_replace(text, p, replacement) for p in patterns])
     return F.flatten(F.transform(marked, lambda m, i: marked_pieces(m, i)))
 
 
@@ -183,21 +216,29 @@ def by_start(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["span"])
 
 
-def _islands(spans: Column, span_type: str) -> Column:
-    """Cut spans into groups that do not touch each other's characters; conflicts stay inside a group."""
+def _islands(spans: Column) -> Column:
+    """Cut spans into groups that share no character; conflicts stay inside a group."""
 
-    def step(acc, span):
-        inside = span["start"] < acc["reach"]
-        return F.struct(
-            F.when(inside, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(inside, F.concat(acc["open"], F.array(span))).otherwise(F.array(span)).alias("open"),
-            F.greatest(acc["reach"], span["end"]).alias("reach"),
-        )
+    def cut(items):
+        reach = running(F.transform(items, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
 
-    zero = F.struct(
-        empty(f"array<{span_type}>").alias("done"), empty(span_type).alias("open"), F.lit(0).alias("reach")
-    )
-    return F.aggregate(by_start(spans), zero, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+        def groups(r):
+            first = F.filter(
+                F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | (items[i]["start"] >= r[i])
+            )
+            return let(
+                first,
+                lambda at: F.transform(
+                    at,
+                    lambda start, i: F.slice(
+                        items, start + 1, F.coalesce(F.get(at, i + 1), F.size(items)) - start
+                    ),
+                ),
+            )
+
+        return let(reach, groups)
+
+    return let(by_start(spans), cut)
 
 
 def resolve(spans: Column, span_type: str = SPAN_TYPE) -> Column:
@@ -210,12 +251,36 @@ def resolve(spans: Column, span_type: str = SPAN_TYPE) -> Column:
         return (
             F.when(F.size(s) < 2, s)
             .when(F.size(s) <= MANY_SPANS, _greedy(s, span_type))
-            .otherwise(F.flatten(F.transform(_islands(s, span_type), lambda g: _greedy(g, span_type))))
+            .otherwise(F.flatten(F.transform(_islands(s), lambda g: _greedy(g, span_type))))
         )
 
     return by_start(let(spans, pick))
 
 
+def with_slices(text: Column, body) -> Column:
+    """``body(cut)`` where ``cut(start, size)`` is a substring by 0-based offset.
+
+    A substring is found by counting characters from the front. A long text is therefore cut into blocks once,
+    and a substring reads only the blocks it lies in.
+    """
+    blocks = F.when(
+        F.length(text) > MANY_CHARS, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK * 8}}}"), 0)
+    )
+
+    def use(pieces):
+        def cut(start, size):
+            block = F.floor(start / (BLOCK * 8)).cast("int")
+            count = F.floor((start + size) / (BLOCK * 8)).cast("int") - block + 1
+            near = F.array_join(F.slice(pieces, block + 1, count), "")
+            return F.when(pieces.isNull(), F.substring(text, start + 1, size)).otherwise(
+                F.substring(near, start - block * (BLOCK * 8) + 1, size)
+            )
+
+        return body(cut)
+
+    return let(blocks, use)
+
+
 def placeholder_of(entity: Column, extra: dict | None = None) -> Column:
     table = {**ENTITY_TO_PLACEHOLDER, **(extra or {})}
     pairs = ", ".join(sql_text(x) for pair in table.items() for x in pair)
@@ -226,16 +291,15 @@ def redact(text: Column, spans: Column, extra: dict | None = None) -> Column:
     """Replace non-overlapping spans, given by start, by their placeholders."""
 
     def build(s):
-        def part(span, i):
-            before = F.when(i > 0, s[i - 1]["end"]).otherwise(F.lit(0))
-            return F.concat(
-                F.substring(text, before + 1, span["start"] - before), placeholder_of(span["entity"], extra)
-            )
+        def pieces(cut):
+            def part(span, i):
+                before = F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(F.lit(0))
+                return F.concat(cut(before, span["start"] - before), placeholder_of(span["entity"], extra))
+
+            last = F.element_at(s, -1)["end"]
+            return F.concat(F.array_join(F.transform(s, part), ""), cut(last, F.length(text) - last))
 
-        # Index 0 of an empty array is never read: transform does not call the lambda then.
-        last = F.element_at(s, -1)["end"]
-        rest = F.substring(text, last + 1, F.length(text))
-        return F.when(F.size(s) == 0, text).otherwise(F.concat(F.array_join(F.transform(s, part), ""), rest))
+        return F.when(F.size(s) == 0, text).otherwise(with_slices(text, pieces))
 
     return let(spans, build)
 

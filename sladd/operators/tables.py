@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sladd.functions import spans as S
 from sladd.functions.text import let, not_blank, strip
-from sladd.plans.analyze import analyze, own_placeholders, with_spans
+from sladd.plans.analyze import Stages, own_placeholders, run_stages, with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.headers import HEADER_RULES, rule_pattern
 from sladd.rules.words import DEFAULT_LEXICON
@@ -98,34 +98,32 @@ def redact_value_cells(df: DataFrame, cells: Column, out: str, detectors=DETECTO
         lead = _prefix(cell["h"])
         return F.struct(F.length(lead).alias("size"), F.concat(lead, cell["v"]).alias("full"), cell["v"].alias("v"))
 
-    def move(span, size):
-        return F.struct(
-            span["entity"].alias("entity"), (span["start"] - size).alias("start"), (span["end"] - size).alias("end"),
-            span["score"].alias("score"), span["src"].alias("src"),
+    def judged(cell, spans):
+        size = cell["size"]
+        touched = F.exists(spans, lambda s: s["start"] < size)
+        moved = F.transform(
+            spans,
+            lambda s: F.struct(
+                s["entity"].alias("entity"), (s["start"] - size).alias("start"), (s["end"] - size).alias("end"),
+                s["score"].alias("score"), s["src"].alias("src"),
+            ),
         )
-
-    def first_reading(cell):
         return F.struct(
-            cell["v"].alias("v"), cell["size"].alias("size"),
-            analyze(cell["full"], detectors, lexicon).alias("spans"),
+            cell["v"].alias("v"), F.when(touched, cell["v"]).alias("again"),
+            F.when(~touched, moved).alias("spans"),
         )
 
-    def judged(cell):
-        touched = F.exists(cell["spans"], lambda s: s["start"] < cell["size"])
-        moved = F.transform(cell["spans"], lambda s: move(s, cell["size"]))
-        return F.struct(cell["v"].alias("v"), F.when(touched, cell["v"]).alias("again"), moved.alias("spans"))
-
-    def second_reading(cell):
-        again = F.when(cell["again"].isNotNull(), analyze(cell["again"], detectors, lexicon))
-        return F.struct(cell["v"].alias("v"), F.coalesce(again, cell["spans"]).alias("spans"))
+    def written(cell, again):
+        found = F.coalesce(cell["spans"], again)
+        return F.when(not_blank(cell["v"]), S.redact(cell["v"], found, extra)).otherwise(cell["v"])
 
-    def written(cell):
-        return F.when(not_blank(cell["v"]), S.redact(cell["v"], cell["spans"], extra)).otherwise(cell["v"])
+    def read(df_, field, column):
+        units = F.transform(F.col("_cell"), lambda c: Stages.unit(F.when(not_blank(c["v"]), c[field])))
+        return run_stages(df_, units, column, True, "filtered", detectors, lexicon)
 
-    staged = df.withColumn(out, F.transform(cells, prepare))
-    for stage in (first_reading, judged, second_reading, written):
-        staged = staged.withColumn(out, F.transform(F.col(out), stage))
-    return staged
+    first = read(df.withColumn("_cell", F.transform(cells, prepare)), "full", "_first")
+    second = read(first.withColumn("_cell", F.zip_with("_cell", "_first", judged)), "again", "_second")
+    return second.withColumn(out, F.zip_with("_cell", "_second", written)).drop("_cell", "_first", "_second")
 
 
 def redact_table(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=()) -> DataFrame:
@@ -187,7 +185,7 @@ def cell_header_join(cells: DataFrame, salts: int = 16) -> DataFrame:
     )
     salted = cells.withColumn("salt", F.pmod(F.col("row_no"), F.lit(salts)).cast("int"))
     joined = salted.join(headers, [*keys, "salt"], "left").drop("salt")
-    return joined.withColumn("forced", F.when(F.col("row_no") > 0, F.col("forced")))
+    return joined.select(*cells.columns, F.when(F.col("row_no") > 0, F.col("forced")).alias("forced"))
 
 
 def redact_cells(cells: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, salts: int = 16) -> DataFrame:

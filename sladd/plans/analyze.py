@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sladd.functions import filters, spans as S
 from sladd.functions.context import boosted, has_context, preceding_tokens
-from sladd.functions.text import in_words, let, literal_array, not_blank
+from sladd.functions.text import escape_regex, in_words, let, literal_array, not_blank
 from sladd.functions.validators import apply_validation, verdict
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.entities import SCORE_THRESHOLD
@@ -58,45 +58,18 @@ def _numbered_hits(text, scoped, table, offset=lambda start: start):
     )
 
 
-def _digit_hits(text, table):
+def _digit_hits(view, table):
     """Number-like detectors on the short view of the text, mapped back to source offsets."""
+    hits = _numbered_hits(
+        view["text"], table.scoped("digits"), table, lambda start: S.source_offset(start, view["marks"])
+    )
+    return F.when(view["text"] != "", hits).otherwise(S.empty(S.HIT_TYPE))
 
-    def run(view):
-        hits = _numbered_hits(
-            view["text"], table.scoped("digits"), table, lambda start: S.source_offset(start, view["marks"])
-        )
-        return F.when(view["text"] != "", hits).otherwise(S.empty(S.HIT_TYPE))
-
-    return let(S.digit_view(text), run)
-
-
-def word_hits(text: Column, vocabulary) -> Column:
-    """Occurrences of whole words out of a lower-case vocabulary.
 
-    A set lookup per token finds which words occur at all; only those are then searched for, so the cost
-    does not grow with the vocabulary.
-    """
+def _present_words(text: Column, vocabulary) -> Column:
+    """Which words of a lower-case vocabulary occur in a text: one set lookup per token."""
     tokens = F.split(F.lower(text), r"(?U)\W+")
-    present = F.array_distinct(F.filter(tokens, lambda t: t.isin(sorted(vocabulary))))
-
-    def locate(words):
-        pattern = F.concat(F.lit(r"(?iU)\b(?:"), F.array_join(words, "|"), F.lit(r")\b"))
-        return F.when(F.size(words) > 0, S.matches(text, [pattern])).otherwise(S.empty(S.HIT_TYPE))
-
-    return let(present, locate)
-
-
-def _name_parts(names):
-    """Single words, and per word count the longer names, all in lower case."""
-    single, longer = set(), {}
-    for name in names:
-        low = name.lower()
-        words = re.findall(r"\w+", low)
-        if words == [low]:
-            single.add(low)
-        elif words:
-            longer.setdefault(len(words), set()).add(low)
-    return single, longer
+    return F.array_distinct(F.filter(tokens, lambda t: t.isin(sorted(vocabulary))))
 
 
 def name_vocabulary(names) -> set:
@@ -104,77 +77,48 @@ def name_vocabulary(names) -> set:
     return {word for name in names for word in re.findall(r"\w+", name.lower())}
 
 
-def name_hits(text: Column, words: Column, names, rule: int = 0) -> Column:
-    """Leftmost, longest listed names among word hits; a name may span several words."""
-    single, longer = _name_parts(names)
-
-    def longest(i):
-        at = words[i]
-        choices = []
-        for n in sorted(longer, reverse=True):
-            last = F.get(words, i + (n - 1))
-            whole = F.substring(text, at["start"] + 1, last["start"] + F.length(last["chunk"]) - at["start"])
-            choices.append(F.when(in_words(F.lower(whole), longer[n]), whole))
-        choices.append(F.when(in_words(F.lower(at["chunk"]), single), at["chunk"]))
-        return F.coalesce(*choices)
-
-    def step(acc, i):
-        start = words[i]["start"]
-
-        def advance(name):
-            return F.when(name.isNull(), acc).otherwise(
-                F.struct(
-                    (start + F.length(name)).alias("free"),
-                    F.concat(acc["out"], F.array(S.hit(F.lit(rule), start, name))).alias("out"),
-                )
-            )
+def _words_pattern(alternatives: Column) -> Column:
+    """Whole-word pattern of the given alternatives in their order; null when there are none."""
+    body = F.concat(F.lit(r"(?iU)\b(?:"), F.array_join(alternatives, "|"), F.lit(r")\b"))
+    return F.when(F.size(alternatives) > 0, body)
 
-        return let(F.when(start >= acc["free"], longest(i)), advance)
 
-    zero = F.struct(F.lit(0).alias("free"), S.empty(S.HIT_TYPE).alias("out"))
-    indices = F.sequence(F.lit(0), F.size(words) - 1)
-    return F.when(F.size(words) > 0, F.aggregate(indices, zero, step, lambda a: a["out"])).otherwise(
-        S.empty(S.HIT_TYPE)
+def _name_alternatives(words: Column, names) -> Column:
+    """Listed names that can occur given the words present; longer names first, as they win."""
+    lower = {n.lower() for n in names}
+    single = {n for n in lower if re.fullmatch(r"\w+", n)}
+    longer = [escape_regex(n) for n in sorted(lower - single, key=lambda n: (-len(n), n))]
+    known = F.filter(words, lambda w: in_words(w, single))
+    if not longer:
+        return known
+    possible = F.filter(
+        literal_array(longer, "string"),
+        lambda n: F.forall(F.filter(F.split(n, r"(?U)\W+"), lambda w: w != ""), lambda w: F.array_contains(words, w)),
     )
+    return F.concat(possible, known)
 
 
-def _word_level_hits(text, table):
-    """Word-list and name detectors share one tokenisation."""
+def _word_level_hits(text, words, table):
+    """Word lists and names, searched only for what is present, so the cost does not grow with the lists."""
     scoped = table.scoped("words", "names")
-    vocabulary = set()
-    for _, d in scoped:
-        vocabulary |= name_vocabulary(table.lexicon.names) if d.scope == "names" else {w.lower() for w in d.words}
-
-    def listed(hits, words, rule):
-        mine = F.filter(hits, lambda h: in_words(F.lower(h["chunk"]), words))
-        return F.transform(mine, lambda h: S.hit(F.lit(rule), h["start"], h["chunk"]))
-
-    def run(hits):
-        parts = []
-        for i, d in scoped:
-            if d.scope == "names":
-                parts.append(name_hits(text, hits, table.lexicon.names, table.first[i]))
-            else:
-                parts.append(listed(hits, {w.lower() for w in d.words}, table.first[i]))
-        return F.when(F.size(hits) > 0, F.concat(*parts)).otherwise(S.empty(S.HIT_TYPE))
-
-    return let(word_hits(text, vocabulary), run)
-
-
-def raw_hits(text: Column, table: RuleTable) -> Column:
-    """Hits of all rules, as they are found. ``text`` must be guarded."""
-    parts = []
-    if table.scoped("digits"):
-        parts.append(_digit_hits(text, table))
-    if table.scoped("words", "names"):
-        parts.append(_word_level_hits(text, table))
-    for i, d in table.scoped("text"):
-        found = _numbered_hits(text, [(i, d)], table)
-        parts.append(F.when(text.contains(d.needs), found).otherwise(S.empty(S.HIT_TYPE)) if d.needs else found)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _score(text, hit, detector, table, use_context):
+    rule = literal_array([table.first[i] for i, _ in scoped], "int")
+
+    def among(own):
+        return F.filter(words, lambda w: in_words(w, own))
+
+    patterns = [
+        _words_pattern(
+            _name_alternatives(words, table.lexicon.names) if d.scope == "names" else among({w.lower() for w in d.words})
+        )
+        for _, d in scoped
+    ]
+    hits = F.transform(
+        S.matches(text, patterns), lambda h: S.hit(F.element_at(rule, h["rule"] + 1), h["start"], h["chunk"])
+    )
+    return F.when(F.size(words) > 0, hits).otherwise(S.empty(S.HIT_TYPE))
+
+
+def _score(text, hit, detector, table, use_context, cut):
     """Validated and boosted score; null when the validator rejects the hit."""
     valid = F.lit(None).cast("boolean")
     for i, d in enumerate(table.detectors):
@@ -194,44 +138,109 @@ def _score(text, hit, detector, table, use_context):
             return F.when(near, boosted(score)).otherwise(score)
 
         # A full score cannot rise and a rejected hit must not, so no window is read for those.
-        return F.when(score < 1.0, let(preceding_tokens(text, hit["start"]), look)).otherwise(score)
+        return F.when(score < 1.0, let(preceding_tokens(text, hit["start"], cut=cut), look)).otherwise(score)
 
     return let(let(valid, lambda v: apply_validation(v, table.base(hit["rule"]))), raise_)
 
 
-def candidate_spans(text: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, use_context: bool = True) -> Column:
-    """Scored spans at or above the threshold, possibly overlapping, with their chunk."""
-    table = RuleTable(detectors, lexicon)
-
-    def build(clean):
-        def finish(h):
-            return let(
-                table.detector(h["rule"]),
-                lambda d: F.struct(
-                    table.entity(d).alias("entity"), h["start"].alias("start"),
-                    (h["start"] + F.length(h["chunk"])).alias("end"),
-                    _score(clean, h, d, table, use_context).alias("score"), F.lit(0).alias("src"),
-                    h["chunk"].alias("chunk"),
-                ),
-            )
-
-        return F.filter(F.transform(raw_hits(clean, table), finish), lambda s: s["score"] >= SCORE_THRESHOLD)
-
-    return let(S.guard(text), build)
-
-
-def add_external(text: Column, spans: Column, external: Column) -> Column:
-    """Append spans of a user's model (array of SPAN_TYPE) that reach the threshold."""
-    usable = F.filter(external, lambda s: (s["score"] >= SCORE_THRESHOLD) & (s["end"] > s["start"]))
-    rich = F.transform(
-        usable,
-        lambda s: F.struct(
-            s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"),
-            s["score"].alias("score"), s["src"].alias("src"),
-            F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("chunk"),
-        ).cast(_RICH),
-    )
-    return F.concat(spans, F.coalesce(rich, S.empty(_RICH)))
+class Stages:
+    """Steps from a text to its final spans. Each maps a struct Column to the next one.
+
+    Steps are projections of their own: an intermediate result is computed once, and expressions stay shallow,
+    which the analyzer needs. A unit starts as ``struct<text, external>``; blank text has no spans.
+    """
+
+    def __init__(self, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, use_context: bool = True):
+        self.table = RuleTable(detectors, lexicon)
+        self.lexicon, self.use_context = lexicon, use_context
+
+    @staticmethod
+    def unit(text: Column, external: Column | None = None) -> Column:
+        extra = S.empty(S.SPAN_TYPE) if external is None else F.coalesce(external, S.empty(S.SPAN_TYPE))
+        return F.struct(F.when(not_blank(text), S.guard(text)).alias("text"), extra.alias("external"))
+
+    def views(self, u: Column) -> Column:
+        """The short view around digits and the listed words that occur."""
+        vocabulary = set()
+        for _, d in self.table.scoped("words", "names"):
+            vocabulary |= name_vocabulary(self.lexicon.names) if d.scope == "names" else {w.lower() for w in d.words}
+        fields = [u["text"].alias("text"), u["external"].alias("external")]
+        if self.table.scoped("digits"):
+            fields.append(S.digit_view(u["text"]).alias("view"))
+        if vocabulary:
+            fields.append(_present_words(u["text"], vocabulary).alias("words"))
+        return F.struct(*fields)
+
+    def hits(self, u: Column) -> Column:
+        """Hits of all rules, as they are found."""
+        text, parts = u["text"], []
+        if self.table.scoped("digits"):
+            parts.append(_digit_hits(u["view"], self.table))
+        if self.table.scoped("words", "names"):
+            parts.append(_word_level_hits(text, u["words"], self.table))
+        for i, d in self.table.scoped("text"):
+            found = _numbered_hits(text, [(i, d)], self.table)
+            parts.append(F.when(text.contains(d.needs), found).otherwise(S.empty(S.HIT_TYPE)) if d.needs else found)
+        found = F.concat(*parts) if len(parts) > 1 else parts[0]
+        return F.struct(text.alias("text"), u["external"].alias("external"), found.alias("hits"))
+
+    def scores(self, u: Column) -> Column:
+        """Validated, boosted spans at or above the threshold, with their text; outside spans join here."""
+        text = u["text"]
+
+        def scored(cut):
+            def finish(h):
+                return let(
+                    self.table.detector(h["rule"]),
+                    lambda d: F.struct(
+                        self.table.entity(d).alias("entity"), h["start"].alias("start"),
+                        (h["start"] + F.length(h["chunk"])).alias("end"),
+                        _score(text, h, d, self.table, self.use_context, cut).alias("score"),
+                        F.lit(0).alias("src"), h["chunk"].alias("chunk"),
+                    ),
+                )
+
+            def outside(s):
+                return F.struct(
+                    s["entity"].alias("entity"), s["start"].alias("start"), s["end"].alias("end"),
+                    s["score"].alias("score"), s["src"].alias("src"),
+                    cut(s["start"], s["end"] - s["start"]).alias("chunk"),
+                )
+
+            usable = F.filter(u["external"], lambda s: s["end"] > s["start"])
+            spans = F.concat(F.transform(u["hits"], finish), F.transform(usable, outside))
+            return F.filter(spans, lambda s: s["score"] >= SCORE_THRESHOLD)
+
+        none = (F.size(u["hits"]) == 0) & (F.size(u["external"]) == 0)
+        return F.when(none | text.isNull(), S.empty(_RICH)).otherwise(S.with_slices(text, scored))
+
+    @staticmethod
+    def resolved(spans: Column) -> Column:
+        return F.when(F.size(spans) < 2, spans).otherwise(S.resolve(spans, _RICH))
+
+    def filtered(self, spans: Column) -> Column:
+        return filter_spans(spans, self.lexicon)
+
+    def upto(self, last: str):
+        names = ("views", "hits", "scores", "resolved", "filtered")
+        return [getattr(self, n) for n in names[: names.index(last) + 1]]
+
+
+@lru_cache(maxsize=256)
+def _stage_columns(app: str, column: str, many: bool, last: str, detectors, lexicon, use_context: bool):
+    """The projections of all steps. Building them takes thousands of driver calls, so they are kept."""
+    steps = Stages(detectors, lexicon, use_context).upto(last)
+    return [F.transform(F.col(column), step) if many else step(F.col(column)) for step in steps]
+
+
+def run_stages(df: DataFrame, units: Column, column: str, many: bool = False, last: str = "filtered",
+               detectors=DETECTORS, lexicon=DEFAULT_LEXICON, use_context: bool = True) -> DataFrame:
+    """Add ``column``: spans of one unit, or with ``many`` an array of spans per unit of an array."""
+    app = df.sparkSession.sparkContext.applicationId
+    out = df.withColumn(column, units)
+    for step in _stage_columns(app, column, many, last, tuple(detectors), lexicon, use_context):
+        out = out.withColumn(column, step)
+    return out
 
 
 def filter_spans(spans: Column, lexicon=DEFAULT_LEXICON) -> Column:
@@ -255,35 +264,17 @@ def filter_spans(spans: Column, lexicon=DEFAULT_LEXICON) -> Column:
     return F.filter(F.transform(spans, judge), lambda s: s["end"].isNotNull())
 
 
-def detect(text: Column, detectors, lexicon=DEFAULT_LEXICON, use_context: bool = True) -> Column:
-    """Resolved spans of some detectors, with chunk, before the false-positive rules."""
-    return S.resolve(candidate_spans(text, detectors, lexicon, use_context), _RICH)
-
-
-def analyze(text: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, external: Column | None = None) -> Column:
-    """Final spans of a text: detect, validate, boost, threshold, resolve, filter. Blank text has none."""
-
-    def run(t):
-        found = candidate_spans(t, detectors, lexicon)
-        if external is not None:
-            found = add_external(t, found, external)
-        return filter_spans(S.resolve(found, _RICH), lexicon)
-
-    return F.when(not_blank(text), let(text, run)).otherwise(S.empty(S.SPAN_TYPE))
-
+def with_spans(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
+               external: str | None = None, column: str = "spans", last: str = "filtered",
+               use_context: bool = True) -> DataFrame:
+    """Add the spans of a text column: final ones, or those after an earlier step.
 
-@lru_cache(maxsize=64)
-def _column_analysis(app: str, text: str, detectors, lexicon, external):
-    """The analysis of a named column. Building the expression takes thousands of driver calls, so it is kept."""
+    ``last="scores"`` gives all candidates, ``last="resolved"`` those left by overlap resolution; both carry
+    the matched text as ``chunk``.
+    """
     ext = F.col(external) if external else None
-    return analyze(F.col(f"`{text}`"), detectors, lexicon, ext)
-
-
-def with_spans(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
-               external: str | None = None, column: str = "spans") -> DataFrame:
-    """Add the final spans of a text column."""
-    app = df.sparkSession.sparkContext.applicationId
-    return df.withColumn(column, _column_analysis(app, text, tuple(detectors), lexicon, external))
+    units = Stages.unit(F.col(f"`{text}`"), ext)
+    return run_stages(df, units, column, False, last, detectors, lexicon, use_context)
 
 
 def own_placeholders(detectors) -> dict:
@@ -302,7 +293,3 @@ def anonymize(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DE
     shown = ["spans"] if keep_spans else []
     return found.select(*rest, redacted.alias("redacted"), *shown, F.size("spans").cast("bigint").alias("n"))
 
-
-def redact_text(text: Column, detectors=DETECTORS, lexicon=DEFAULT_LEXICON) -> Column:
-    """Redacted text as one expression."""
-    return let(text, lambda t: S.redact(t, analyze(t, detectors, lexicon), own_placeholders(detectors)))

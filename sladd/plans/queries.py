@@ -8,7 +8,7 @@ from sladd.functions import filters, spans as S, validators as V
 from sladd.functions.text import let, not_blank
 from sladd.operators import aggregates as A, audit, flags, hooks, joins, language, markup, tables
 from sladd.plans import oracles as O
-from sladd.plans.analyze import anonymize, candidate_spans, detect, with_spans
+from sladd.plans.analyze import anonymize, with_spans
 from sladd.plans.fixtures import fixture_sql
 from sladd.rules.detectors import BY_KEY, DETECTORS
 from sladd.rules.entities import SCORE_THRESHOLD
@@ -51,8 +51,8 @@ def mixed(spark, folder):
     return documents(spark, folder).unionByName(prose)
 
 
-def span_rows(df: DataFrame, spans, chunk: bool = True) -> DataFrame:
-    rows = df.select("unit_id", F.explode(spans).alias("s"))
+def span_rows(df: DataFrame, chunk: bool = True) -> DataFrame:
+    rows = df.select("unit_id", F.explode("spans").alias("s"))
     cols = ["unit_id", "s.entity", "s.start", F.col("s.end").alias("stop")]
     return rows.select(*cols, *(["s.chunk"] if chunk else []), F.round("s.score", 4).alias("score"))
 
@@ -227,7 +227,7 @@ _DETECTOR_SOURCES = {
 def _detector_query(key, source):
     def run(spark, folder):
         df = fixture(spark, folder, source) if source else documents(spark, folder)
-        return span_rows(df, detect(F.col("text"), [BY_KEY[key]]))
+        return span_rows(with_spans(df, detectors=[BY_KEY[key]], last="resolved"))
 
     query(f"det_{key}", O.detect_sql(O.fx(source) if source else O.DOCUMENTS, [key]))(run)
 
@@ -280,8 +280,8 @@ for _name, _spec in _VALIDATORS.items():
        O.with_(O.candidate_ctes(O.fx("idnum"), [BY_KEY["national_id"], BY_KEY["us_ssn"]], use_context=False),
                f"SELECT {O.HIT_COLUMNS} FROM cand"))
 def apply_validation(spark, folder):
-    found = candidate_spans(F.col("text"), [BY_KEY["national_id"], BY_KEY["us_ssn"]], use_context=False)
-    return span_rows(fixture(spark, folder, "idnum"), found)
+    checked = [BY_KEY["national_id"], BY_KEY["us_ssn"]]
+    return span_rows(with_spans(fixture(spark, folder, "idnum"), detectors=checked, last="scores", use_context=False))
 
 
 _BOOSTED = ("postal_address", "street_address", "postal_code", "city")
@@ -290,8 +290,8 @@ _BOOSTED = ("postal_address", "street_address", "postal_code", "city")
 @query("context_boost",
        O.with_(O.candidate_ctes(O.fx("address"), [BY_KEY[k] for k in _BOOSTED]), f"SELECT {O.HIT_COLUMNS} FROM cand"))
 def context_boost(spark, folder):
-    found = candidate_spans(F.col("text"), [BY_KEY[k] for k in _BOOSTED])
-    return span_rows(fixture(spark, folder, "address"), found)
+    boosted = [BY_KEY[k] for k in _BOOSTED]
+    return span_rows(with_spans(fixture(spark, folder, "address"), detectors=boosted, last="scores"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------
@@ -416,7 +416,7 @@ def fp_salvage_prefix(spark, folder):
 
 @query("analyze", O.analyze_sql(O.DOCUMENTS))
 def analyze_(spark, folder):
-    return span_rows(with_spans(documents(spark, folder)), F.col("spans"), chunk=False)
+    return span_rows(with_spans(documents(spark, folder)), chunk=False)
 
 
 @query("redact_text", O.redact_sql(O.fx("prose")))

@@ -24,7 +24,7 @@ def decode_units(df: DataFrame, unit: str, content: str = "content") -> DataFram
 
 
 def read_text_units(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: ``path, text``."""
+    """One row per file: ``path, text``. Spark gives no row for an empty file."""
     return decode_units(spark.read.format("binaryFile").load(path), "path")
 
 
