@@ -5,13 +5,20 @@
 
 from pyspark.sql import Column, functions as F
 
-from sladd.functions.text import in_words, is_upper, let
+from sladd.functions.text import in_words, is_upper, let, spelled_out, symbol_tree
 from sladd.rules.words import COMPOUND_SUFFIXES, DATE_PREPOSITIONS, NAME_PARTICLES
 
-SUFFIX = "(?iU)(?:" + "|".join(COMPOUND_SUFFIXES) + ")$"
+# The endings, spelled out and reversed: one anchored look at the reversed word instead of a search in the word.
+_REVERSED = r"\A" + symbol_tree(v[::-1] for ending in COMPOUND_SUFFIXES for v in spelled_out(ending))
 DATE_LEAD = r"(?iU)^(?:[A-Za-zÆØÅæøå]+\s+)?(?:" + "|".join(DATE_PREPOSITIONS) + r")\b"
 
 PERSON_LIKE = ("PERSON", "NRP")
+# No rule speaks of any other entity.
+JUDGED = (*PERSON_LIKE, "LOCATION", "NO_ADDRESS", "DATE_TIME")
+
+
+def has_suffix(word: Column) -> Column:
+    return F.reverse(F.lower(word)).rlike(_REVERSED)
 
 
 def name_token(token: Column) -> Column:
@@ -36,7 +43,7 @@ def facts(entity: Column, chunk: Column, lexicon) -> Column:
             chunk.contains(" ").alias("multi"), tail_free.contains(" ").alias("multi_tail_free"),
             F.transform(tokens, name_token).alias("name_like"),
             F.transform(words, lambda w: in_words(F.lower(w), lexicon.denied)).alias("denied"),
-            F.transform(words, lambda w: w.rlike(SUFFIX)).alias("suffix"),
+            F.transform(words, lambda w: has_suffix(w)).alias("suffix"),
             F.transform(words, lambda w: in_words(w, lexicon.names)).alias("known"),
             is_upper(chunk).alias("upper"), F.length(chunk).alias("size"),
             entity.isin(*PERSON_LIKE).alias("person"), (entity == "LOCATION").alias("location"),
@@ -192,7 +199,7 @@ def kept_length(entity: Column, chunk: Column, lexicon) -> Column:
             .when(~_fires(LATE_RULES, f), f["size"])
         )
 
-    return let(facts(entity, chunk, lexicon), judge)
+    return F.when(~entity.isin(*JUDGED), F.length(chunk)).otherwise(let(facts(entity, chunk, lexicon), judge))
 
 
 def fires(name: str, entity: Column, chunk: Column, lexicon) -> Column:

@@ -40,17 +40,20 @@ def any_of(words) -> str:
     return "|".join(escape_regex(w) for w in words)
 
 
-def prefix_tree(words) -> str:
-    """An alternation of words that shares prefixes, so its cost follows the word length."""
+def symbol_tree(sequences) -> str:
+    """An alternation of symbol sequences that shares prefixes, so its cost follows their length, not their number.
+
+    A symbol is an escaped character or a small pattern of its own. Longer sequences are preferred.
+    """
     tree: dict = {}
-    for word in words:
+    for sequence in sequences:
         node = tree
-        for char in word:
-            node = node.setdefault(char, {})
+        for symbol in sequence:
+            node = node.setdefault(symbol, {})
         node[""] = {}
 
     def render(node):
-        branches = [escape_regex(c) + render(child) for c, child in sorted(node.items()) if c]
+        branches = [symbol + render(child) for symbol, child in sorted(node.items()) if symbol]
         if not branches:
             return ""
         if len(branches) == 1 and "" not in node:
@@ -60,6 +63,40 @@ def prefix_tree(words) -> str:
     return render(tree)
 
 
+def prefix_tree(words) -> str:
+    """:func:`symbol_tree` of plain words."""
+    return symbol_tree([escape_regex(c) for c in word] for word in words)
+
+
+def spelled_out(term: str):
+    """The finite variants of a term as sequences of letters and gap patterns."""
+
+    def variants(i):
+        out, current = [], [()]
+        while i < len(term) and term[i] != ")":
+            if term[i] == "|":
+                out, current, i = out + current, [()], i + 1
+                continue
+            if term.startswith("(?:", i):
+                options, i = variants(i + 3)
+                i += 1
+            elif term[i] == "[":
+                end = term.index("]", i) + 1
+                body = term[i:end]
+                options = [(body,)] if "\\" in body else [(c,) for c in body[1:-1]]
+                i = end
+            elif term.startswith(r"\s+", i):
+                options, i = [(r"\s+",)], i + 3
+            else:
+                options, i = [(escape_regex(term[i]),)], i + 1
+            if i < len(term) and term[i] == "?":
+                options, i = [*options, ()], i + 1
+            current = [a + b for a in current for b in options]
+        return out + current, i
+
+    return variants(0)[0]
+
+
 def sql_text(value: str) -> str:
     """A SQL string literal."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -4,57 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sladd.functions.text import escape_regex, let, not_blank
+from sladd.functions.text import let, not_blank, spelled_out, symbol_tree
 from sladd.rules.special import SPECIAL_CATEGORIES, SPECIAL_KEYS
 
 
-def spelled_out(term: str):
-    """The finite variants of a term as sequences of letters and gap patterns."""
-
-    def variants(i):
-        out, current = [], [()]
-        while i < len(term) and term[i] != ")":
-            if term[i] == "|":
-                out, current, i = out + current, [()], i + 1
-                continue
-            if term.startswith("(?:", i):
-                options, i = variants(i + 3)
-                i += 1
-            elif term[i] == "[":
-                end = term.index("]", i) + 1
-                body = term[i:end]
-                options = [(body,)] if "\\" in body else [(c,) for c in body[1:-1]]
-                i = end
-            elif term.startswith(r"\s+", i):
-                options, i = [(r"\s+",)], i + 3
-            else:
-                options, i = [(escape_regex(term[i]),)], i + 1
-            if i < len(term) and term[i] == "?":
-                options, i = [*options, ()], i + 1
-            current = [a + b for a in current for b in options]
-        return out + current, i
-
-    return variants(0)[0]
-
-
 def terms_pattern(terms) -> str:
     """Whole-word pattern for lower-case text in which terms share their prefixes."""
-    tree: dict = {}
-    for term in terms:
-        for variant in spelled_out(term):
-            node = tree
-            for symbol in variant:
-                node = node.setdefault(symbol, {})
-            node[""] = {}
-
-    def render(node):
-        branches = [symbol + render(child) for symbol, child in sorted(node.items()) if symbol]
-        if not branches:
-            return ""
-        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
-        return body + ("?" if "" in node else "")
-
-    return rf"(?U)\b{render(tree)}\b"
+    return rf"(?U)\b{symbol_tree(v for term in terms for v in spelled_out(term))}\b"
 
 
 _BY_KEY = dict(zip(SPECIAL_KEYS, SPECIAL_CATEGORIES))

@@ -11,51 +11,61 @@ from sladd.rules.detectors import DETECTORS
 from sladd.rules.words import DEFAULT_LEXICON
 
 
+# Word tables up to this length are broadcast; the length is counted first.
+BROADCAST_WORDS = 200_000
+
+
+def is_short(words: DataFrame) -> bool:
+    return words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+
+
 def word_table(spark, words, column: str) -> DataFrame:
     return spark.createDataFrame([(w,) for w in sorted(words)], f"{column} string")
 
 
-def name_grams(df: DataFrame, unit: str, text: str, longest: int = 2) -> DataFrame:
-    """One row per word and per run of up to ``longest`` words: ``unit, start, chunk``."""
+def word_runs(df: DataFrame, unit: str, text: str, longest: int) -> DataFrame:
+    """One row per word and per run of up to ``longest`` words: ``unit, pieces, at, chunk``.
+
+    Pieces alternate between gaps and words; ``at`` is the piece a run starts with.
+    """
     marked = F.regexp_replace(S.guard(F.col(text)), r"(?U)\w+", f"{S.MARK}$0{S.MARK}")
+    split = df.select(unit, F.split(marked, S.MARK, -1).alias("pieces")).where(F.size("pieces") > 1)
+    pieces = F.col("pieces")
 
-    def grams(m):
-        # Pieces alternate between gaps and words, so a run of n words is 2n - 1 pieces from its first word.
-        pieces = F.split(m, S.MARK, -1)
-
-        def runs(p):
-            def at(word, i):
-                sizes = [F.lit(n) for n in range(1, longest + 1)]
-                fits = F.filter(F.array(*sizes), lambda n: 2 * (i + n) <= F.size(p))
-                return F.transform(
-                    fits,
-                    lambda n: F.struct(
-                        word["start"].alias("start"), F.array_join(F.slice(p, 2 * i + 2, 2 * n - 1), "").alias("chunk")
-                    ),
-                )
+    def of_length(n):
+        def run(i):
+            parts = [F.get(pieces, i + k) for k in range(2 * n - 1)]
+            return F.struct(i.alias("at"), F.concat(*parts).alias("chunk"))
+
+        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), run)
 
-            return F.flatten(F.transform(S.marked_pieces(m, F.lit(0)), at))
+    runs = F.concat(*[of_length(n) for n in range(1, longest + 1)])
+    rows = split.select(unit, "pieces", F.explode(runs).alias("g")).select(unit, "pieces", "g.at", "g.chunk")
+    return rows.where("chunk is not null")
 
-        return let(pieces, runs)
 
-    return df.select(unit, F.explode(let(marked, grams)).alias("g")).select(unit, "g.start", "g.chunk")
+def _offset() -> Column:
+    return F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("at")), ""))
 
 
 def name_list_join(df: DataFrame, names: DataFrame, unit: str = "unit_id", text: str = "text", longest: int = 2,
-                   salts: int = 1) -> DataFrame:
+                   salts: int = 16) -> DataFrame:
     """Words and word runs that are listed names, for lexicons of any length: ``unit, start, end, chunk``.
 
-    Spark broadcasts the lexicon when its measured size allows. For longer ones it shuffles, and ``salts``
-    spreads frequent words over that many copies of the lexicon.
+    A lexicon of checked size is broadcast: words are matched where they are, and only hits get an offset and
+    leave the row. A longer one is joined by shuffle; then words carry their offset instead of the text, and
+    ``salts`` spreads frequent words over that many copies of the lexicon.
     """
     keys = names.select(F.lower("name").alias("key")).distinct()
-    grams = name_grams(df, unit, text, longest).withColumn("key", F.lower("chunk"))
-    on = ["key"]
-    if salts > 1:
+    runs = word_runs(df, unit, text, longest).withColumn("key", F.lower("chunk"))
+    if is_short(keys):
+        hits = runs.join(F.broadcast(keys), "key").select(unit, _offset().alias("start"), "chunk")
+    else:
         keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        grams = grams.withColumn("salt", F.pmod(F.xxhash64(unit, "start"), F.lit(salts)).cast("int"))
-        on = ["key", "salt"]
-    return grams.join(keys, on).select(unit, "start", (F.col("start") + F.length("chunk")).alias("end"), "chunk")
+        placed = runs.select(unit, "key", _offset().alias("start"), "chunk")
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64(unit, "start"), F.lit(salts)).cast("int"))
+        hits = placed.join(keys, ["key", "salt"])
+    return hits.select(unit, "start", (F.col("start") + F.length("chunk")).alias("end"), "chunk")
 
 
 def longest_name_first(hits: DataFrame, unit: str = "unit_id") -> DataFrame:
@@ -71,6 +81,8 @@ def denylist_antijoin(candidates: DataFrame, denied: DataFrame, chunk: str = "ch
     """Candidates whose trimmed lower-case text is not a denied word."""
     keyed = candidates.withColumn("_key", F.lower(strip(F.col(chunk))))
     words = denied.select(F.lower("word").alias("_key")).distinct()
+    if is_short(words):
+        words = F.broadcast(words)
     return keyed.join(words, "_key", "left_anti").drop("_key")
 
 

@@ -66,7 +66,8 @@ def language_scores(docs: DataFrame, profiles: DataFrame, doc: str = "doc_id", t
     """
     cut = docs.select(doc, sample(F.col(text)).alias("text")).where(F.length(strip(F.col("text"))) >= MIN_SAMPLE_CHARS)
     grams = cut.select(doc, F.explode(trigrams(F.col("text"))).alias("tri"))
-    sums = grams.join(profiles, "tri").groupBy(doc).agg(
+    # The profiles hold at most PROFILE_SIZE rows per language, whatever the corpus.
+    sums = grams.join(F.broadcast(profiles), "tri").groupBy(doc).agg(
         *[F.sum(F.col("lp")[i]).alias(f"s{i}") for i in range(len(languages))]
     )
     best = F.greatest(*[F.col(f"s{i}") for i in range(len(languages))])
