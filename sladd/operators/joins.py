@@ -29,7 +29,7 @@ def word_runs(df: DataFrame, unit: str, text: str, longest: int) -> DataFrame:
     Pieces alternate between gaps and words; ``at`` is the piece a run starts with.
     """
     marked = F.regexp_replace(S.guard(F.col(text)), r"(?U)\w+", f"{S.MARK}$0{S.MARK}")
-    split = df.select(unit, F.split(marked, S.MARK, -1).alias("pieces")).where(F.size("pieces") > 1)
+    split = df.select(unit, F.split(marked, S.MARK, -1).alias("pieces"))
     pieces = F.col("pieces")
 
     def of_length(n):
@@ -39,7 +39,8 @@ def word_runs(df: DataFrame, unit: str, text: str, longest: int) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), run)
 
-    runs = F.concat(*[of_length(n) for n in range(1, longest + 1)])
+    # Texts without a word give null, hence no row. A filter would be pushed down and split the text twice.
+    runs = F.when(F.size(pieces) > 1, F.concat(*[of_length(n) for n in range(1, longest + 1)]))
     rows = split.select(unit, "pieces", F.explode(runs).alias("g")).select(unit, "pieces", "g.at", "g.chunk")
     return rows.where("chunk is not null")
 
