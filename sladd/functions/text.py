@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body) -> Column:
@@ -10,6 +10,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def exploded(df: DataFrame, keep, array: Column, name: str) -> DataFrame:
+    """One row per array element, as ``explode`` gives.
+
+    ``explode`` makes the optimizer filter on the size of the array first, which repeats the expression behind
+    it; the outer form with a filter on the element does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

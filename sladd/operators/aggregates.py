@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sladd.functions.spans import SPAN_TYPE, label_counts, placeholder_of, resolve
+from sladd.functions.text import exploded
 
 
 def label_counts_unit(df: DataFrame, unit: str = "unit_id", spans: str = "spans") -> DataFrame:
     """``unit, placeholder, n``. A unit is one row, so counting needs no shuffle."""
-    return df.select(unit, F.explode(label_counts(F.col(spans))).alias("placeholder", "n"))
+    entries = exploded(df, [unit], F.map_entries(label_counts(F.col(spans))), "e")
+    return entries.select(unit, F.col("e.key").alias("placeholder"), F.col("e.value").alias("n"))
 
 
 def label_counts_doc(counts: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -44,7 +46,7 @@ def collect_spans(rows: DataFrame, unit: str = "unit_id") -> DataFrame:
 
 def resolve_spans(rows: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Overlap resolution of span rows: the kept ones, as rows."""
-    kept = collect_spans(rows, unit).select(unit, F.explode(resolve(F.col("spans"))).alias("s"))
+    kept = exploded(collect_spans(rows, unit), [unit], resolve(F.col("spans")), "s")
     return kept.select(unit, "s.*")
 
 

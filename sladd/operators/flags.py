@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sladd.functions.text import let, not_blank, spelled_out, symbol_tree
+from sladd.functions.text import exploded, let, not_blank, spelled_out, symbol_tree
 from sladd.rules.special import SPECIAL_CATEGORIES, SPECIAL_KEYS
 
 
@@ -43,12 +43,9 @@ def manual_review(categories: Column) -> Column:
 def special_summary(flagged: DataFrame, categories: str = "categories") -> DataFrame:
     """Documents per category; the row with category null counts the documents that need manual review.
 
-    One pass: each document contributes its labels and, if it has any, one null label.
+    One pass: each document contributes its labels and, if it has any, one label for the total.
     """
-    labels = F.concat(F.col(categories), F.array(F.lit(None).cast("string")))
-    return (
-        flagged.where(manual_review(F.col(categories)))
-        .select(F.explode(labels).alias("category"))
-        .groupBy("category")
-        .agg(F.count(F.lit(1)).alias("documents"))
-    )
+    total = "*"
+    labels = F.when(manual_review(F.col(categories)), F.concat(F.col(categories), F.array(F.lit(total))))
+    counted = exploded(flagged, [], labels, "category").groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
+    return counted.withColumn("category", F.when(F.col("category") != total, F.col("category")))

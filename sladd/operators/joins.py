@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sladd.functions import spans as S
-from sladd.functions.text import let, strip
+from sladd.functions.text import exploded, let, strip
 from sladd.plans.analyze import with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.words import DEFAULT_LEXICON
@@ -41,7 +41,7 @@ def word_runs(df: DataFrame, unit: str, text: str, longest: int) -> DataFrame:
 
     # Texts without a word give null, hence no row. A filter would be pushed down and split the text twice.
     runs = F.when(F.size(pieces) > 1, F.concat(*[of_length(n) for n in range(1, longest + 1)]))
-    rows = split.select(unit, "pieces", F.explode(runs).alias("g")).select(unit, "pieces", "g.at", "g.chunk")
+    rows = exploded(split, [unit, "pieces"], runs, "g").select(unit, "pieces", "g.at", "g.chunk")
     return rows.where("chunk is not null")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sladd.functions.text import strip
+from sladd.functions.text import exploded, strip
 from sladd.rules.languages import (
     MIN_PROBABILITY, MIN_SAMPLE_CHARS, NORWEGIAN_TRAINING_TEXT, SAMPLE_CHARS, SUPPORTED_LANGUAGES,
 )
@@ -43,10 +43,9 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
     """
     rows = labelled.select(F.col(lang).alias("lang"), sample(F.col(text)).alias("text"))
     own = labelled.sparkSession.range(1).select(F.lit("no").alias("lang"), F.lit(NORWEGIAN_TRAINING_TEXT).alias("text"))
+    labelled_text = rows.unionByName(own).where(F.col("lang").isin(*languages))
     counted = (
-        rows.unionByName(own)
-        .where(F.col("lang").isin(*languages))
-        .select("lang", F.explode(trigrams(F.col("text"))).alias("tri"))
+        exploded(labelled_text, ["lang"], trigrams(F.col("text")), "tri")
         .groupBy("lang", "tri")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -65,7 +64,7 @@ def language_scores(docs: DataFrame, profiles: DataFrame, doc: str = "doc_id", t
     Trigram sums are taken before the shuffle: what moves is one short row per document, not the text.
     """
     cut = docs.select(doc, sample(F.col(text)).alias("text")).where(F.length(strip(F.col("text"))) >= MIN_SAMPLE_CHARS)
-    grams = cut.select(doc, F.explode(trigrams(F.col("text"))).alias("tri"))
+    grams = exploded(cut, [doc], trigrams(F.col("text")), "tri")
     # The profiles hold at most PROFILE_SIZE rows per language, whatever the corpus.
     sums = grams.join(F.broadcast(profiles), "tri").groupBy(doc).agg(
         *[F.sum(F.col("lp")[i]).alias(f"s{i}") for i in range(len(languages))]

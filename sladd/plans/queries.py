@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sladd.functions import filters, spans as S, validators as V
-from sladd.functions.text import let, not_blank
+from sladd.functions.text import exploded, let, not_blank
 from sladd.operators import aggregates as A, audit, flags, hooks, joins, language, markup, tables
 from sladd.plans import oracles as O
 from sladd.plans.analyze import anonymize, with_spans
@@ -52,7 +52,7 @@ def mixed(spark, folder):
 
 
 def span_rows(df: DataFrame, chunk: bool = True) -> DataFrame:
-    rows = df.select("unit_id", F.explode("spans").alias("s"))
+    rows = exploded(df, ["unit_id"], F.col("spans"), "s")
     cols = ["unit_id", "s.entity", "s.start", F.col("s.end").alias("stop")]
     return rows.select(*cols, *(["s.chunk"] if chunk else []), F.round("s.score", 4).alias("score"))
 
