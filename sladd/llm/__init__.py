@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Functions of this subpackage travel to the executors by value, so that these need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,7 +3,8 @@
 A word is a run without ASCII white space; the tokenizer drops white space and never merges across it, so the ids of a text
 are those of its words in order. Documents are packed into chunks of bounded size. A chunk becomes the list of its distinct
 words and, for each document, the positions of its words in that list. The lists of all chunks meet by word hash, where each
-distinct word is encoded once; the ids go back to the chunks that asked, and are put in place by position. Decoding looks the
+distinct word is encoded once; the ids go back to the chunks that asked, and are put in place by position. Chunks are a table bucketed by
+their name, so their positions stay where they are. Decoding looks the
 pieces up by id in the id-to-piece table, once for each distinct word. What is shuffled are distinct words of chunks and
 compressed positions, never one row for each word of the corpus, so a frequent word costs one entry a chunk.
 
@@ -15,20 +16,22 @@ from __future__ import annotations
 
 import json
 import os
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import parts, text_bytes, written
+from sladd.llm.common import bucketed, packed, parts, text_bytes, unpacked
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 16 << 20
 #: Stands for a null id inside a chunk.
 NO_ID = -(1 << 63)
-CHUNK = "chunk string, bucket int, docs binary, counts binary, body binary"
+CHUNK = "chunk string, bucket int, docs binary, counts binary, places binary, body binary"
+IDS = "chunk string, bucket int, sizes binary, ids binary"
 
 
 def default_vocabulary() -> str:
@@ -37,34 +40,38 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pack(words: list[bytes]) -> bytes:
-    return zlib.compress(b"\n".join(words), 1)
+def _record(rows, schema):
+    names = [field.split()[0] for field in schema.split(", ")]
+    kinds = [pa.string(), pa.int32(), *[pa.binary()] * (len(names) - 2)]
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
 def _chunks(n_buckets, limit):
-    """Chunk rows: bucket -1 holds documents and positions, the others the distinct words of one bucket."""
+    """Chunk rows: bucket -1 holds documents, positions and the bucket of each distinct word; the others the words of one bucket."""
 
     def flush(keys, texts, number):
         ids: dict[bytes, int] = {}
-        counts, places = [], []
+        counts, found = [], []
         for text in texts:
             words = text.split()
             counts.append(len(words))
-            places.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words)))
-        words = list(ids)
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int32, len(words))
+            found.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+        seen = np.concatenate(found)
+        often = np.bincount(seen, minlength=len(ids)).tolist()
+        words = sorted(ids, key=lambda w: (-often[ids[w]], w))  # frequent words get small numbers
+        rank = np.empty(len(words), np.int64)
+        rank[[ids[w] for w in words]] = np.arange(len(words))
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words), dtype=np.uint32)
-        body = rank[np.concatenate(places)] if words else np.zeros(0, np.uint32)
         doc_ids = np.array([NO_ID if k is None else k for k in keys], np.int64)
-        name = f"{xxhash.xxh3_128_hexdigest(doc_ids.tobytes() + body.tobytes())}-{number}"
-        rows = [(name, -1, doc_ids.tobytes(), np.array(counts, np.int64).tobytes(), zlib.compress(body.tobytes(), 1))]
+        places = packed(rank[seen])
+        name = f"{xxhash.xxh3_128_hexdigest(doc_ids.tobytes() + places)}-{number}"
+        rows = [(name, -1, doc_ids.tobytes(), np.array(counts, np.int64).tobytes(), places, packed(bucket))]
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            rows.append((name, b, None, None, _pack([words[i] for i in order[cuts[b] : cuts[b + 1]].tolist()])))
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["chunk", "bucket", "docs", "counts", "body"])
+            rows.append((name, b, None, None, None, squeeze(b"\n".join([words[i] for i in order[cuts[b] : cuts[b + 1]].tolist()]))))
+        return _record(rows, CHUNK)
 
     def run(batches):
         keys, texts, size, number = [], [], 0, 0
@@ -83,7 +90,7 @@ def _chunks(n_buckets, limit):
 
 
 def _encode_bucket(model):
-    """Encode the distinct words of a bucket once; each chunk gets ids and their counts in the order of its own words."""
+    """Encode the distinct words of a bucket once; each chunk gets the ids of its own words, in their order."""
 
     def run(rows: pa.Table) -> pa.Table:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,17 +99,20 @@ def _encode_bucket(model):
         tokenizer = Tokenizer.from_str(model)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        asked = [zlib.decompress(b).split(b"\n") for b in rows.column("body").to_pylist()]
+        expand = zstandard.ZstdDecompressor().decompress
+        asked = [expand(b).split(b"\n") for b in rows.column("body").to_pylist()]
         distinct = list({w for ws in asked for w in ws})
-        ids: dict[bytes, bytes] = {}
+        ids: dict[bytes, list[int]] = {}
         for i in range(0, len(distinct), 4096):
             some = distinct[i : i + 4096]
-            for word, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                ids[word] = np.array(e.ids, "<u4").tobytes()
-        counts = [np.array([len(ids[w]) // 4 for w in ws], np.int32).tobytes() for ws in asked]
-        body = [zlib.compress(b"".join([ids[w] for w in ws]), 1) for ws in asked]
-        return pa.table([rows.column("chunk"), rows.column("bucket"), pa.nulls(rows.num_rows, pa.binary()), pa.array(counts, pa.binary()), pa.array(body, pa.binary())],
-                        names=["chunk", "bucket", "docs", "counts", "body"])
+            for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                ids[word] = e.ids
+        out = []
+        for chunk, bucket, ws in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), asked):
+            own = [ids[w] for w in ws]
+            flat = np.fromiter(chain.from_iterable(own), np.int64)
+            out.append((chunk, bucket, packed(np.fromiter(map(len, own), np.int64, len(own))), packed(flat)))
+        return pa.Table.from_batches([_record(out, IDS)])
 
     return run
 
@@ -110,30 +120,33 @@ def _encode_bucket(model):
 def _place(pieces):
     """Put ids and pieces of a chunk's words in the places of its documents."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        by_bucket = sorted(rows.to_pylist(), key=lambda r: r["bucket"])
-        head, ids, texts = by_bucket[0], [], []
-        for r in by_bucket[1:]:
-            body, at = zlib.decompress(r["body"]), 0
-            for n in np.frombuffer(r["counts"], np.int32).tolist():
-                part = body[at : at + 4 * n]
-                at += 4 * n
-                ids.append(part)
-                texts.append(" ".join([pieces[i] for i in np.frombuffer(part, "<u4").tolist()]))
-        keys = np.frombuffer(head["docs"], np.int64)
-        counts = np.frombuffer(head["counts"], np.int64).tolist()
-        body, at, out = np.frombuffer(zlib.decompress(head["body"]), np.uint32), 0, []
-        batches = []
-        for start in range(0, len(keys), 256):
-            encoded, decoded = [], []
-            for n in counts[start : start + 256]:
-                places = body[at : at + n].tolist()
-                at += n
-                encoded.append(b"".join([ids[p] for p in places]))
-                decoded.append(" ".join([texts[p] for p in places if texts[p]]))
-            batches.append(pa.record_batch([pa.array(keys[start : start + 256], mask=keys[start : start + 256] == NO_ID), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())],
-                                           names=["key", "ids", "decoded"]))
-        return pa.Table.from_batches(batches)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                bucket = unpacked(row["body"])
+                order = np.argsort(bucket, kind="stable").tolist()
+                ids, texts, at = [b""] * len(order), [""] * len(order), 0
+                for part in sorted(row["parts"] or [], key=lambda p: p["bucket"]):
+                    flat = unpacked(part["ids"])
+                    raw, names, start = flat.astype("<u4").tobytes(), [pieces[k] for k in flat.tolist()], 0
+                    for n in unpacked(part["sizes"]).tolist():
+                        ids[order[at]] = raw[4 * start : 4 * (start + n)]
+                        texts[order[at]] = " ".join(names[start : start + n])
+                        start, at = start + n, at + 1
+                if at != len(order):
+                    raise RuntimeError("a chunk has words without ids")
+                keys = np.frombuffer(row["docs"], np.int64)
+                counts, places, at = np.frombuffer(row["counts"], np.int64).tolist(), unpacked(row["places"]), 0
+                for start in range(0, len(keys), 256):
+                    encoded, decoded, some = [], [], keys[start : start + 256]
+                    for n in counts[start : start + 256]:
+                        own = places[at : at + n].tolist()
+                        at += n
+                        encoded.append(b"".join([ids[p] for p in own]))
+                        decoded.append(" ".join([texts[p] for p in own if texts[p]]))
+                    yield pa.record_batch([pa.array(some, mask=some == NO_ID), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())],
+                                          names=["key", "ids", "decoded"])
 
     return run
 
@@ -156,8 +169,10 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, key: str = "do
         raise ValueError("pieces are joined by one space; a vocabulary with a decoder of its own isn't supported")
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("long"), F.col(text))
-    chunks = written(source.mapInArrow(_chunks(parts(spark, 2), chunk_bytes), CHUNK))
-    encoded = chunks.filter("bucket >= 0").groupBy("bucket").applyInArrow(_encode_bucket(model), CHUNK)
-    both = chunks.filter("bucket < 0").unionByName(encoded)
-    out = both.groupBy("chunk").applyInArrow(_place(pieces_of(model)), "key long, ids binary, decoded string")
+    chunks = bucketed(source.mapInArrow(_chunks(parts(spark, 2), chunk_bytes), CHUNK), "chunk")
+    asked = chunks.filter("bucket >= 0").select("chunk", "bucket", "body")
+    encoded = asked.groupBy("bucket").applyInArrow(_encode_bucket(model), IDS)
+    answers = encoded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
+    heads = chunks.filter("bucket < 0").select("chunk", "docs", "counts", "places", "body")
+    out = heads.join(answers, "chunk", "left").mapInArrow(_place(pieces_of(model)), "key long, ids binary, decoded string")
     return out.withColumnRenamed("key", key)

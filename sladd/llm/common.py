@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes that belong to words once A-Z are lower-cased: 0-9, a-z and everything beyond ASCII.
@@ -32,6 +33,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """The same rows from a table in the warehouse, bucketed so that a join on ``column`` need not move them."""
+    name = f"sladd_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts(df.sparkSession), column).format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Small non-negative integers, compressed by byte planes."""
+    planes = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    body = b"".join(((values >> (8 * k)) & 255).astype(np.uint8).tobytes() for k in range(planes))
+    return bytes([planes]) + zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, data[0]):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,11 +73,11 @@ def text_bytes(column) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
-def groups(texts: list[bytes], limit: int = GROUP_BYTES):
-    """Index ranges of neighbouring texts of about ``limit`` bytes."""
+def groups(texts: list[bytes], limit: int = GROUP_BYTES, most: int = 1 << 20):
+    """Index ranges of neighbouring texts of about ``limit`` bytes, and of ``most`` texts."""
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+        if i > start and (size + len(text) > limit or i - start >= most):
             yield start, i
             start, size = i, 0
         size += len(text)

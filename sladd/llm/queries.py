@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sladd.llm import bpe, decontaminate, exact_dedup, line_dedup
+from sladd.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, url_filter
 from sladd.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,57 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_url_filter(spark, sf_dir):
+    """Verdict on every page's URL by the list rules, else by rules mined from the labels."""
+    out = url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op1_url_filter"] = r"""
+WITH p AS (SELECT page_id, HOST AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+t AS (SELECT *, list_distinct(list_concat(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+    list_transform(list_filter(regexp_split_to_array(PATH, '[^0-9a-z]+'), lambda x: x <> ''), lambda x: 'p:' || x))) AS w FROM p),
+mark AS (SELECT doc_id, max(coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0) AS block FROM labels GROUP BY doc_id),
+seen AS (SELECT t.w, mark.block FROM t JOIN mark ON mark.doc_id = t.page_id),
+sub AS (SELECT list_sort(list_filter(w, lambda x, i: (m >> (i - 1)) % 2 = 1)) AS g, block FROM seen, unnest(range(1, (1 << len(w))::BIGINT)) AS u(m)),
+rules AS (SELECT g FROM sub GROUP BY g HAVING count(*) FILTER (block) >= (SELECT greatest(5, ceil(0.002 * count(*))) FROM seen)
+  AND count(*) FILTER (block) / count(*) >= 0.5),
+met AS (SELECT DISTINCT page_id FROM t JOIN rules ON list_has_all(t.w, rules.g)),
+listed(verdict, rule) AS (VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN listed
+  ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.verdict, CASE WHEN met.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id) LEFT JOIN met USING (page_id)""".replace("HOST", SQL_LOWER.format(r"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")).replace("PATH", SQL_LOWER.format("path"))
+
+
+@query
+def op2_license_scan(spark, sf_dir):
+    """Best licence template of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    rows = ",\n  ".join(f"({i}, '{name}', {licenses.bigrams(body)})" for i, (name, body) in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH template(pos, license, g) AS (VALUES
+  {rows}),
+norm AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')) AS t FROM documents),
+unit AS (SELECT DISTINCT doc_id, replace(u, chr(10), ' ') AS u FROM (
+  SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n ?(?:\\n ?)+'), [t])) AS u FROM norm)),
+word AS (SELECT doc_id, u, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM unit),
+gram AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM word WHERE len(w) > 1),
+score AS (SELECT doc_id, u, pos, license, 2.0::DOUBLE * len(list_intersect(gram.g, template.g)) / (len(gram.g) + len(template.g)) AS dice FROM gram, template
+  WHERE len(gram.g) <= 1.5 * len(template.g) AND len(gram.g) >= len(template.g) / 1.5 - 1e-9),
+best AS (SELECT doc_id, arg_max(license, (dice, -pos)) AS license, max(dice) AS dice, count(DISTINCT u) AS n_units FROM score WHERE dice >= 0.8 GROUP BY doc_id)
+SELECT doc_id, license, dice, coalesce(n_units, 0) AS n_units FROM documents LEFT JOIN best USING (doc_id)"""
+
+
+ORACLES["op2_license_scan"] = _license_sql()
+
+
 @query
 def op3_line_dedup(spark, sf_dir):
     """Drop lines of 20 code points or more that three documents share, but for the largest document."""
@@ -81,3 +132,12 @@ name AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY it
 SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN name USING (doc_id)""".replace("LOWERED", SQL_LOWER.format("coalesce(text, '')"))
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    """Language of every document, learnt from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    out = language_id.identify(docs, model, ["doc_id"])
+    return out.select("rest.doc_id", language_id.held_out("rest.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
