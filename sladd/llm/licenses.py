@@ -1,9 +1,10 @@
-"""Licence scan by the Dice coefficient over word bigrams, in DataFrame functions only, row by row and without a shuffle.
+"""Licence scan by the Dice coefficient over word bigrams, in DataFrame functions only.
 
 A text is normalised (lower case, everything but letters and digits becomes one space, line ends stay) and cut into units: each
 line, each paragraph and the whole text. A unit is compared with a template only if the numbers of their distinct bigrams
 allow the threshold: ``2 min(a, b) / (a + b) >= threshold``. Before that, units without any marker word are left out. The
 markers of a template cover so many of its bigrams that a unit without all of them cannot reach the threshold, so no match is lost.
+The few units that are left meet the templates by their bigrams in a broadcast table of fixed size; only ids are shuffled.
 
 Cases: null, empty and one-word texts match nothing; the best unit counts, ties go to the first template; a notice that is
 repeated counts once; repeated rows are judged each; an empty table gives no rows; other columns are not read.
@@ -17,6 +18,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sladd.llm.common import fingerprint
+
 THRESHOLD = 0.8
 #: Names and texts of public licence notices.
 TEMPLATES = (
@@ -87,34 +90,30 @@ def normalised(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\n]+", " "))
 
 
-def unit_bigrams(unit: Column) -> Column:
-    found = F.filter(F.split(unit, " "), lambda w: w != "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(found) - 1, F.lit(1)), lambda i: F.concat_ws(" ", F.get(found, i - 1), F.get(found, i))))
-
-
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``key, license, dice, n_units``: the best template, its coefficient, and how many units reach the threshold."""
+    spark = docs.sparkSession
     known = sorted(reduce(set.union, (markers(t, threshold) for _, t in templates), set()))
     marked = F.array(*[F.lit(w) for w in known])
-    base = docs.select(F.col(key), normalised(F.col(text)).alias("norm"))
-    # a text without any marker word has no units to compare
-    some = F.arrays_overlap(F.split("norm", r"[ \n]"), marked)
-    lines = F.split("norm", "\n")
-    paragraphs = F.transform(F.split("norm", r"\n ?(?:\n ?)+"), lambda p: F.translate(p, "\n", " "))
-    units = F.array_distinct(F.concat(lines, paragraphs, F.array(F.translate("norm", "\n", " "))))
-    units = F.filter(units, lambda u: F.arrays_overlap(F.split(u, " "), marked))
-    grams = F.when(some, F.transform(units, lambda u: F.when(F.size(F.filter(F.split(u, " "), lambda w: w != "")) > 1, unit_bigrams(u)).otherwise(F.array().cast("array<string>"))))
-    cut = base.select(key, F.coalesce(grams, F.array().cast("array<array<string>>")).alias("units"))
-
-    def compare(unit):
-        n, best = F.size(unit), []
-        for at, (name, body) in enumerate(templates):
-            own = bigrams(body)
-            fits = (n > 0) & (2 * F.least(n, F.lit(len(own))) >= F.lit(threshold) * (n + len(own)))
-            dice = 2.0 * F.size(F.array_intersect(unit, F.array(*[F.lit(g) for g in own]))) / (n + len(own))
-            best.append(F.when(fits, F.struct(dice.alias("dice"), F.lit(-at).alias("at"), F.lit(name).alias("license"))))
-        return F.array_max(F.array(*best))
-
-    scored = cut.select(key, F.filter(F.transform("units", compare), lambda m: m.isNotNull() & (m["dice"] >= threshold)).alias("found"))
-    top = scored.select(key, "found", F.array_max("found").alias("top"))
-    return top.select(key, F.col("top.license").alias("license"), F.col("top.dice").alias("dice"), F.size("found").cast("long").alias("n_units"))
+    has = lambda words: F.arrays_overlap(F.split(words, " "), marked)
+    base = docs.select(F.col(key).alias("id"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
+    norm = base.select("id", "fp", normalised(F.col("text")).alias("norm")).filter(has(F.translate("norm", "\n", " ")))
+    cut = F.concat(F.split("norm", "\n"), F.split("norm", r"\n ?(?:\n ?)+"), F.array("norm"))
+    units = norm.select("id", "fp", F.explode(cut).alias("unit")).select("id", "fp", F.trim(F.regexp_replace("unit", r"[ \n]+", " ")).alias("unit"))
+    units = units.filter(has("unit")).distinct()
+    pairs = units.withColumn("w", F.split("unit", " ")).filter(F.size("w") > 1)
+    grams = pairs.withColumn("grams", F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))))
+    # the templates are a fixed table of a few thousand short rows
+    rows = [(at, name, len(bigrams(body)), gram) for at, (name, body) in enumerate(templates) for gram in bigrams(body)]
+    postings = F.broadcast(spark.createDataFrame(rows, "at int, license string, b int, gram string"))
+    n, b = F.col("n"), F.col("b")
+    bounds = 2 * F.least(n, b) >= F.lit(threshold) * (n + b)
+    sizes = sorted({len(bigrams(body)) for _, body in templates})
+    possible = reduce(lambda x, y: x | y, [2 * F.least(n, F.lit(k)) >= F.lit(threshold) * (n + k) for k in sizes])
+    open_ = grams.withColumn("n", F.size("grams")).filter(possible).select("id", "fp", "unit", "n", F.explode("grams").alias("gram"))
+    met = open_.join(postings, "gram").filter(bounds).groupBy("id", "fp", "unit", "n", "at", "license", "b").agg(F.count("*").alias("both"))
+    scored = met.withColumn("dice", 2.0 * F.col("both") / (n + b)).filter(F.col("dice") >= threshold)
+    best = scored.groupBy("id", "fp").agg(F.max(F.struct("dice", -F.col("at"), "license")).alias("top"), F.countDistinct("unit").alias("n_units"))
+    ids = base.select("id", "fp").alias("d")
+    out = ids.join(best.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.fp") == F.col("m.fp")), "left")
+    return out.select(F.col("d.id").alias(key), F.col("top.license").alias("license"), F.col("top.dice").alias("dice"), F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"))

@@ -59,9 +59,9 @@ def _license_sql() -> str:
 WITH template(pos, license, g) AS (VALUES
   {rows}),
 norm AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')) AS t FROM documents),
-unit AS (SELECT DISTINCT doc_id, replace(u, chr(10), ' ') AS u FROM (
+unit AS (SELECT DISTINCT doc_id, trim(regexp_replace(u, '[ \\n]+', ' ', 'g')) AS u FROM (
   SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n ?(?:\\n ?)+'), [t])) AS u FROM norm)),
-word AS (SELECT doc_id, u, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM unit),
+word AS (SELECT doc_id, u, string_split(u, ' ') AS w FROM unit),
 gram AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM word WHERE len(w) > 1),
 score AS (SELECT doc_id, u, pos, license, 2.0::DOUBLE * len(list_intersect(gram.g, template.g)) / (len(gram.g) + len(template.g)) AS dice FROM gram, template
   WHERE len(gram.g) <= 1.5 * len(template.g) AND len(gram.g) >= len(template.g) / 1.5 - 1e-9),
