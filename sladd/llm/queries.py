@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sladd.llm import bpe, decontaminate, exact_dedup, language_id, licenses, line_dedup, url_filter
+from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, licenses, line_dedup, url_filter
 from sladd.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,10 @@ def op4_language_id(spark, sf_dir):
     model = language_id.train(docs.filter(~language_id.held_out()))
     out = language_id.identify(docs, model, ["doc_id"])
     return out.select("rest.doc_id", language_id.held_out("rest.doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op9_html_extract(spark, sf_dir):
+    """Main text of every page."""
+    out = html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("rest.page_id", "rest.url", "text", F.char_length("text").cast("long").alias("n_chars"))
