@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, licenses, line_dedup, url_filter
+from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, licenses, line_dedup, suffix_dedup, url_filter
 from sladd.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,3 +148,11 @@ def op9_html_extract(spark, sf_dir):
     """Main text of every page."""
     out = html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return out.select("rest.page_id", "rest.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    """Bytes of every document in a string of 100 bytes that starts earlier in the corpus."""
+    out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
