@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, licenses, line_dedup, suffix_dedup, url_filter
+from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_dedup, suffix_dedup, url_filter
 from sladd.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +156,9 @@ def op10_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_jaccard_join(spark, sf_dir):
+    """Near-duplicate class and number of links of every document: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
