@@ -7,7 +7,8 @@ can lie outside such a run. The automaton gives the longest match that ends at e
 covers them, and the state that holds the last ``window`` words names the items. Items with fewer words are one window each.
 
 Cases: words are ``[0-9a-z\\x80-]+`` after lower-casing A-Z; null or empty texts have no words and no hits; items without
-words have no window; items with the same text are all named; repeated rows are judged each; an empty benchmark hits nothing.
+words have no window; items with the same text are all named; items without an id are left out; repeated rows
+are judged each; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -236,3 +237,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], t
     merged = joined.select(F.struct("rest", "n_words", "items", "copies").alias("rest"), "spans", "cuts")
     merged = merged.mapInArrow(_merge_blocks, f"rest {merged.schema['rest'].dataType.simpleString()}, spans array<long>, cuts array<long>")
     return merged.select("rest.rest", "rest.n_words", "spans", "cuts", "rest.items", F.explode(F.sequence(F.lit(1), "rest.copies")).alias("copy")).drop("copy")
+
+
+def _cut(batches):
+    for batch in batches:
+        texts = []
+        for text, cuts in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            edges = [0, *cuts, len(text)]
+            texts.append(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])]))
+        yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["rest", "text"])
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: float = 0.5, **limits) -> DataFrame:
+    """All columns of ``docs``: covered ranges are cut out; rows of which more than ``most`` of the words are covered go."""
+    found = find_contamination(docs, benchmark, docs.columns, text, **limits)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)
+    kept = found.filter(hit <= most * F.col("n_words")).select("rest", F.col(f"rest.`{text}`").alias("text"), "cuts")
+    kind = kept.schema["rest"].dataType.simpleString()
+    both = kept.mapInArrow(_cut, f"rest {kind}, text string")
+    return both.select(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
