@@ -12,7 +12,7 @@ thirty remains.
 3. Each range sorts its suffixes by multikey quicksort, eight bytes at a time, and likewise the texts before them. Common
    prefixes of neighbours give classes of equal bytes to the right and left, and two members of a window's pair of classes
    hold the same window: all but the earliest are repeats. A frequent anchor is spread over several ranges by its whole key;
-   what stands first in its range is compared across the ranges by a small grouping of window digests.
+   windows that reach a boundary of their range are compared across it by a small grouping of window digests.
 
 Memory: a task holds one range, one hash bucket or one chunk of texts; an anchor with more than ``GROUP`` neighbourhoods is
 spread. Repeats inside a task are settled there, so of a hot group at most one entry a task and neighbourhood is shuffled.
@@ -344,8 +344,19 @@ def repeats(suffix: list[bytes], before: list[bytes], doc: np.ndarray, pos: np.n
     return exists, found
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
 def _compare(chunks):
-    """Sort one range of suffixes and mark what repeats; windows of spread anchors that come first here are asked for by digest."""
+    """Sort one range of suffixes and mark what repeats.
+
+    A spread anchor may go on in the ranges before and after. Of its windows that come first here, those that the first or last
+    suffix of the range has in part are asked for by digest.
+    """
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -360,8 +371,15 @@ def _compare(chunks):
         rows = [(c, d, p, m, None) for c, _, d, p, m in _marks(doc[hit] % chunks, REPEAT, doc[hit], pos[hit], found[hit])]
         yield _asked(rows)
         rows = []
+        # ranges follow the suffixes, so only windows whose right part is that of the first or last suffix can go on beyond
+        keys = list(zip(table.column("head").to_pylist(), table.column("tail").to_pylist()))
+        edges = [suffix[keys.index(edge)] for edge in (min(keys), max(keys))]
         for i in np.flatnonzero(spread).tolist():
-            around, mask = before[i][::-1] + suffix[i], int(exists[i] & ~found[i])
+            reach = max(common_prefix(suffix[i], edge) for edge in edges)
+            if reach < ANCHOR:
+                continue
+            beyond = FULL ^ ((1 << (WINDOW - reach)) - 1)
+            around, mask = before[i][::-1] + suffix[i], int(exists[i] & ~found[i]) & beyond
             for o in range(REACH + 1):
                 if mask >> o & 1:
                     start = len(before[i]) - o
