@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sladd.llm.common import bucketed, packed, parts, text_bytes, unpacked
@@ -65,7 +66,7 @@ def _chunks(n_buckets, limit):
         order = np.argsort(bucket, kind="stable")
         doc_ids = np.array([NO_ID if k is None else k for k in keys], np.int64)
         places = packed(rank[seen])
-        name = f"{xxhash.xxh3_128_hexdigest(doc_ids.tobytes() + places)}-{number}"
+        name = f"{TaskContext.get().partitionId()}-{number}"
         rows = [(name, -1, doc_ids.tobytes(), np.array(counts, np.int64).tobytes(), places, packed(bucket))]
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         squeeze = zstandard.ZstdCompressor(level=3).compress
