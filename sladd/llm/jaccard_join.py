@@ -40,7 +40,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     _, _, _, hashes, first = words(texts)
     rolled = hashes.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(hashes))):
         rolled[: len(hashes) - k] = mix(rolled[: len(hashes) - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
