@@ -306,7 +306,11 @@ def redact(text: Column, spans: Column, extra: dict | None = None) -> Column:
 
 def label_counts(spans: Column, extra: dict | None = None) -> Column:
     """Placeholder -> number of spans, as a map with sorted keys."""
-    labels = F.transform(spans, lambda s: placeholder_of(s["entity"], extra))
+    return count_labels(F.transform(spans, lambda s: placeholder_of(s["entity"], extra)))
+
+
+def count_labels(labels: Column) -> Column:
+    """Label -> number, as a map with sorted keys."""
     return let(
         labels,
         lambda all_: F.map_from_entries(

@@ -20,12 +20,19 @@ def custom_detector(entity: str, patterns: Iterable[tuple], placeholder: str, co
     return Detector(entity.lower(), entity, table, tuple(context), validator, scope="text", placeholder=placeholder)
 
 
+def usable(span, size: int) -> bool:
+    """A span with offsets inside its text and a score."""
+    _, start, end, score = span
+    return start is not None and end is not None and score is not None and 0 <= start < end <= size
+
+
 def with_model_spans(df: DataFrame, model: Callable[[pd.Series], Iterable], text: str = "text",
-                     column: str = "external") -> DataFrame:
+                     column: str = "external", primary: bool = False) -> DataFrame:
     """Add the spans a model finds, one list per text, as an array column.
 
     ``model`` gets a batch of texts and returns, per text, ``(entity, start, end, score)`` tuples. Rows stay
-    where they are: batches stream through Arrow, nothing is shuffled or collected.
+    where they are: batches stream through Arrow, nothing is shuffled or collected. Spans with missing offsets
+    or offsets outside their text are left out. A model that is not ``primary`` may add persons and places only.
     """
     span = T.StructType([
         T.StructField("entity", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -38,8 +45,9 @@ def with_model_spans(df: DataFrame, model: Callable[[pd.Series], Iterable], text
         for batch in batches:
             found = model(batch[text])
             rows = [
-                [{"entity": e, "start": int(s), "end": int(t), "score": float(p), "src": 1} for e, s, t, p in spans]
-                for spans in found
+                [{"entity": s[0], "start": int(s[1]), "end": int(s[2]), "score": float(s[3]), "src": int(not primary)}
+                 for s in spans if usable(s, len(value or "")) and (primary or s[0] in SECONDARY_ENTITIES)]
+                for value, spans in zip(batch[text], found)
             ]
             yield batch.assign(**{column: rows})
 

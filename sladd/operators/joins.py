@@ -11,61 +11,67 @@ from sladd.rules.detectors import DETECTORS
 from sladd.rules.words import DEFAULT_LEXICON
 
 
-# Word tables up to this length are broadcast; the length is counted first.
+# Word tables up to this length and this many characters are broadcast; both are counted first.
 BROADCAST_WORDS = 200_000
+BROADCAST_CHARS = 8_000_000
 
 
 def is_short(words: DataFrame) -> bool:
-    return words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    """Whether a one-column word table is small enough to be broadcast."""
+    head = words.select(F.length(words.columns[0]).alias("n")).limit(BROADCAST_WORDS + 1)
+    n, chars = head.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return n <= BROADCAST_WORDS and chars <= BROADCAST_CHARS
 
 
 def word_table(spark, words, column: str) -> DataFrame:
     return spark.createDataFrame([(w,) for w in sorted(words)], f"{column} string")
 
 
+def longest_run(names: DataFrame, column: str = "name") -> int:
+    """Words of the longest listed name."""
+    words = F.regexp_count(F.col(column), F.lit(r"(?U)\w+"))
+    return names.agg(F.max(words)).first()[0] or 1
+
+
 def word_runs(df: DataFrame, unit: str, text: str, longest: int) -> DataFrame:
-    """One row per word and per run of up to ``longest`` words: ``unit, pieces, at, chunk``.
+    """One row per word and per run of up to ``longest`` words: ``unit, start, chunk``.
 
-    Pieces alternate between gaps and words; ``at`` is the piece a run starts with.
+    Pieces alternate between gaps and words, and one running sum of their lengths gives all offsets. Only short
+    rows leave the text.
     """
     marked = F.regexp_replace(S.guard(F.col(text)), r"(?U)\w+", f"{S.MARK}$0{S.MARK}")
-    split = df.select(unit, F.split(marked, S.MARK, -1).alias("pieces"))
-    pieces = F.col("pieces")
 
-    def of_length(n):
-        def run(i):
-            parts = [F.get(pieces, i + k) for k in range(2 * n - 1)]
-            return F.struct(i.alias("at"), F.concat(*parts).alias("chunk"))
+    def runs(pieces):
+        def with_starts(starts):
+            def of_length(n):
+                def run(i):
+                    parts = [F.get(pieces, i + k) for k in range(2 * n - 1)]
+                    return F.struct(starts[i].alias("start"), F.concat(*parts).alias("chunk"))
 
-        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), run)
+                return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), run)
 
-    # Texts without a word give null, hence no row. A filter would be pushed down and split the text twice.
-    runs = F.when(F.size(pieces) > 1, F.concat(*[of_length(n) for n in range(1, longest + 1)]))
-    rows = exploded(split, [unit, "pieces"], runs, "g").select(unit, "pieces", "g.at", "g.chunk")
-    return rows.where("chunk is not null")
+            return F.concat(*[of_length(n) for n in range(1, longest + 1)])
 
+        return F.when(F.size(pieces) > 1, let(S.running(F.transform(pieces, lambda p: F.length(p)), lambda a, b: a + b), with_starts))
 
-def _offset() -> Column:
-    return F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("at")), ""))
+    rows = exploded(df, [unit], let(F.split(marked, S.MARK, -1), runs), "g").select(unit, "g.start", "g.chunk")
+    return rows.where("chunk is not null")
 
 
-def name_list_join(df: DataFrame, names: DataFrame, unit: str = "unit_id", text: str = "text", longest: int = 2,
+def name_list_join(df: DataFrame, names: DataFrame, unit: str = "unit_id", text: str = "text", longest: int | None = None,
                    salts: int = 16) -> DataFrame:
     """Words and word runs that are listed names, for lexicons of any length: ``unit, start, end, chunk``.
 
-    A lexicon of checked size is broadcast: words are matched where they are, and only hits get an offset and
-    leave the row. A longer one is joined by shuffle; then words carry their offset instead of the text, and
-    ``salts`` spreads frequent words over that many copies of the lexicon.
+    Runs are as long as the longest listed name unless ``longest`` says otherwise. A lexicon of checked size is
+    broadcast. A longer one is joined by shuffle; ``salts`` spreads frequent words over that many copies of it.
     """
     keys = names.select(F.lower("name").alias("key")).distinct()
-    runs = word_runs(df, unit, text, longest).withColumn("key", F.lower("chunk"))
+    runs = word_runs(df, unit, text, longest or longest_run(names)).withColumn("key", F.lower("chunk"))
     if is_short(keys):
-        hits = runs.join(F.broadcast(keys), "key").select(unit, _offset().alias("start"), "chunk")
+        hits = runs.join(F.broadcast(keys), "key")
     else:
         keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        placed = runs.select(unit, "key", _offset().alias("start"), "chunk")
-        placed = placed.withColumn("salt", F.pmod(F.xxhash64(unit, "start"), F.lit(salts)).cast("int"))
-        hits = placed.join(keys, ["key", "salt"])
+        hits = runs.withColumn("salt", F.pmod(F.xxhash64(unit, "start"), F.lit(salts)).cast("int")).join(keys, ["key", "salt"])
     return hits.select(unit, "start", (F.col("start") + F.length("chunk")).alias("end"), "chunk")
 
 
@@ -91,43 +97,53 @@ def _escaped(value: Column) -> Column:
     return F.regexp_replace(value, r"([\\.\[\](){}*+?^$|])", r"\\$1")
 
 
+def _alternation(values: Column) -> Column:
+    """A pattern of all values, longer ones first; values with the same first character share a branch."""
+    firsts = F.array_distinct(F.transform(values, lambda v: F.left(v, F.lit(1))))
+
+    def branch(first):
+        own = F.transform(F.filter(values, lambda v: v.startswith(first)), lambda v: F.struct((-F.length(v)).alias("size"), v.alias("value")))
+        rest = F.transform(F.array_sort(own), lambda v: _escaped(F.substring(v["value"], 2, F.length(v["value"]))))
+        return F.concat(_escaped(first), F.lit("(?:"), F.array_join(rest, "|"), F.lit(")"))
+
+    return F.concat(F.lit("(?iu)(?:"), F.array_join(F.transform(firsts, branch), "|"), F.lit(")"))
+
+
 def propagate_values(text: Column, spans: Column) -> Column:
     """Mask every occurrence of each detected value, not only the detected one, longer values first.
 
     Occurrences are searched without regard to case in the original text, so a placeholder is never masked
-    again. A value takes the placeholder of its first span.
+    again. A value takes the placeholder of its first span. An occurrence that lower-casing doesn't bring back
+    to its value (such as a dotted capital I) is compared with each value by the pattern's own rules of case.
     """
 
     def run(clean):
         def values(found):
-            value = F.transform(
-                found,
-                lambda s: F.struct(
-                    F.lower(strip(F.substring(clean, s["start"] + 1, s["end"] - s["start"]))).alias("value"),
-                    s["entity"].alias("entity"),
-                ),
-            )
-            return F.filter(value, lambda v: v["value"] != "")
+            def cut_out(cut):
+                each = F.transform(found, lambda s, i: F.struct(
+                    F.lower(strip(cut(s["start"], s["end"] - s["start"]))).alias("value"), i.alias("at"), s["entity"].alias("entity")))
+                return F.array_sort(F.filter(each, lambda v: v["value"] != ""))
+
+            def first_of_each(ordered):
+                return F.filter(ordered, lambda v, i: (i == 0) | (F.get(ordered, i - 1)["value"] != v["value"]))
+
+            return let(S.with_slices(clean, cut_out), first_of_each)
 
         def mask(known):
-            longest = F.transform(
-                F.array_sort(F.array_distinct(F.transform(
-                    known, lambda v: F.struct((-F.length(v["value"])).alias("size"), v["value"].alias("value"))
-                ))),
-                lambda v: _escaped(v["value"]),
-            )
-            pattern = F.concat(F.lit("(?iu)(?:"), F.array_join(longest, "|"), F.lit(")"))
-
-            def as_span(h):
-                first = F.filter(known, lambda v: v["value"] == F.lower(h["chunk"]))[0]
-                return F.struct(
-                    first["entity"].alias("entity"), h["start"].alias("start"),
-                    (h["start"] + F.length(h["chunk"])).alias("end"), F.lit(1.0).alias("score"),
-                    F.lit(0).alias("src"),
-                )
-
-            all_spans = F.transform(S.matches(clean, [pattern]), as_span)
-            return F.when(F.size(known) == 0, clean).otherwise(S.redact(clean, all_spans))
+            def spans_of(table):
+                def as_span(h):
+                    alike = F.filter(known, lambda v: F.rlike(h["chunk"], F.concat(F.lit("(?iu)\\A"), _escaped(v["value"]), F.lit("\\z"))))
+                    entity = F.coalesce(F.element_at(table, F.lower(h["chunk"])), F.get(alike, 0)["entity"], F.lit("UNKNOWN"))
+                    return F.struct(
+                        entity.alias("entity"), h["start"].alias("start"), (h["start"] + F.length(h["chunk"])).alias("end"),
+                        F.lit(1.0).alias("score"), F.lit(0).alias("src"),
+                    )
+
+                pattern = _alternation(F.transform(known, lambda v: v["value"]))
+                return F.transform(S.matches(clean, [pattern]), as_span)
+
+            table = F.map_from_entries(F.transform(known, lambda v: F.struct(v["value"].alias("key"), v["entity"].alias("value"))))
+            return F.when(F.size(known) == 0, clean).otherwise(S.redact(clean, let(table, spans_of)))
 
         return let(let(spans, values), mask)
 

@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sladd.functions import spans as S
-from sladd.functions.text import let, not_blank, strip
+from sladd.functions.text import exploded, let, not_blank, strip
 from sladd.plans.analyze import Stages, own_placeholders, run_stages, with_spans
 from sladd.rules.detectors import DETECTORS
-from sladd.rules.headers import HEADER_RULES, rule_pattern
+from sladd.rules.headers import HEADER_RULES
 from sladd.rules.words import DEFAULT_LEXICON
 
 # Rule tables larger than this do not belong in an expression.
@@ -20,8 +20,8 @@ MAX_RULES = 1_000
 def header_placeholder(header: str | None) -> str | None:
     """Placeholder that a column name forces, decided on the driver once per table."""
     name = (header or "").strip()
-    for placeholder, alternatives in HEADER_RULES:
-        if name and re.search(rule_pattern(alternatives), name, re.IGNORECASE):
+    for placeholder, pattern in HEADER_RULES:
+        if name and re.search(pattern, name, re.IGNORECASE):
             return placeholder
     return None
 
@@ -37,7 +37,7 @@ def first_rule(header: Column, rules) -> Column:
 
 
 def default_rules():
-    return [(i, placeholder, rule_pattern(alt)) for i, (placeholder, alt) in enumerate(HEADER_RULES, 1)]
+    return [(i, placeholder, pattern) for i, (placeholder, pattern) in enumerate(HEADER_RULES, 1)]
 
 
 def header_rule(header: Column) -> Column:
@@ -83,8 +83,8 @@ def _prefix(header: Column) -> Column:
 
 
 def redact_value_cells(df: DataFrame, cells: Column, out: str, detectors=DETECTORS,
-                       lexicon=DEFAULT_LEXICON) -> DataFrame:
-    """Add ``out``: redacted values of an array of ``struct<h, v>`` (header, value).
+                       lexicon=DEFAULT_LEXICON, labels: str | None = None) -> DataFrame:
+    """Add ``out``: redacted values of an array of ``struct<h, v>`` (header, value); and ``labels``: their placeholders.
 
     A value is read as ``"<header>: <value>"``, so that the header counts as context. When a span touches the
     header part, the bare value is analysed instead. A blank header gives no context.
@@ -123,27 +123,59 @@ def redact_value_cells(df: DataFrame, cells: Column, out: str, detectors=DETECTO
 
     first = read(df.withColumn("_cell", F.transform(cells, prepare)), "full", "_first")
     second = read(first.withColumn("_cell", F.zip_with("_cell", "_first", judged)), "again", "_second")
-    return second.withColumn(out, F.zip_with("_cell", "_second", written)).drop("_cell", "_first", "_second")
+    done = second.withColumn(out, F.zip_with("_cell", "_second", written))
+    if labels:
+        found = F.zip_with("_cell", "_second", lambda c, again: F.when(not_blank(c["v"]), F.coalesce(c["spans"], again)).otherwise(S.empty(S.SPAN_TYPE)))
+        done = done.withColumn(labels, F.transform(F.flatten(found), lambda s: S.placeholder_of(s["entity"], extra)))
+    return done.drop("_cell", "_first", "_second")
 
 
-def redact_table(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=()) -> DataFrame:
-    """Mask forced columns, analyse the other string columns, leave everything else alone. No shuffle."""
+def text_arrays(df: DataFrame):
+    """Columns that hold arrays of text, such as the cells beyond a CSV header."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType)]
+
+
+def redact_table(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=(), counts: str | None = None) -> DataFrame:
+    """Mask forced columns, analyse the other text columns, leave everything else alone. No shuffle.
+
+    Cells of an array of text are analysed without a header. ``counts`` adds a map of placeholders to their number
+    in the row: spans of analysed cells, and forced cells that the mask changes.
+    """
     forced, analysed = column_roles(df, exclude)
+    arrays = [c for c in text_arrays(df) if c not in exclude]
     done = df
-    if analysed:
-        cells = F.array(*[F.struct(F.lit(c).alias("h"), F.col(f"`{c}`").alias("v")) for c in analysed])
-        done = redact_value_cells(df, cells, "_cells", detectors, lexicon)
-    out = []
+    if analysed or arrays:
+        none = S.empty("struct<h:string,v:string>")
+        cells = F.array(*[F.struct(F.lit(c).alias("h"), F.col(f"`{c}`").alias("v")) for c in analysed]) if analysed else none
+        for name in arrays:
+            loose = F.transform(F.col(f"`{name}`"), lambda v: F.struct(F.lit("").alias("h"), v.alias("v")))
+            cells = F.concat(cells, F.coalesce(loose, none))
+        done = redact_value_cells(df, cells, "_cells", detectors, lexicon, "_labels")
+    out, at = [], F.lit(len(analysed) + 1)
     for name in df.columns:
+        value = F.col(f"`{name}`")
         if name in forced:
-            out.append(forced_mask(F.col(f"`{name}`"), forced[name]).alias(name))
+            out.append(forced_mask(value, forced[name]).alias(name))
         elif name in analysed:
             out.append(F.col("_cells")[analysed.index(name)].alias(name))
+        elif name not in arrays:
+            out.append(value)
         else:
-            out.append(F.col(f"`{name}`"))
+            before = sum((F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) for c in arrays[: arrays.index(name)]), at)
+            out.append(F.when(value.isNotNull(), F.slice("_cells", before, F.size(value))).alias(name))
+    if counts:
+        masks = [F.when(not_blank(F.col(f"`{c}`")) & (F.col(f"`{c}`") != p), F.lit(p)) for c, p in forced.items()]
+        changed = F.filter(F.array(*masks), lambda x: x.isNotNull()) if masks else S.empty("string")
+        out.append(S.count_labels(F.concat(F.col("_labels"), changed) if analysed or arrays else changed).alias(counts))
     return done.select(*out)
 
 
+def table_label_counts(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=()) -> DataFrame:
+    """``placeholder, n`` of a whole table; partial sums before the shuffle."""
+    rows = exploded(redact_table(df, detectors, lexicon, exclude, counts="_counts"), [], F.map_entries("_counts"), "e")
+    return rows.groupBy(F.col("e.key").alias("placeholder")).agg(F.sum("e.value").alias("n"))
+
+
 def column_profile(df: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, exclude=()) -> DataFrame:
     """Per string column: forced or not, placeholder, cells with text and cells that masking changes.
 
@@ -188,8 +220,11 @@ def cell_header_join(cells: DataFrame, salts: int = 16) -> DataFrame:
     return joined.select(*cells.columns, F.when(F.col("row_no") > 0, F.col("forced")).alias("forced"))
 
 
-def redact_cells(cells: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, salts: int = 16) -> DataFrame:
-    """Mask forced columns of cell tables and analyse every other cell, row 0 included."""
+def redact_cells(cells: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON, salts: int = 16, counts: str | None = None) -> DataFrame:
+    """Mask forced columns of cell tables and analyse every other cell, row 0 included.
+
+    ``counts`` adds a map of placeholders to their number in the cell; a forced cell with text counts once.
+    """
     joined = cell_header_join(cells, salts)
     masked = F.col("forced").isNotNull() & not_blank(F.col("text"))
     # Cells to be masked are not analysed: their text is null in the analysed column.
@@ -197,4 +232,14 @@ def redact_cells(cells: DataFrame, detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
     text = F.when(masked, F.col("forced")).otherwise(
         S.redact(F.col("text"), F.col("spans"), own_placeholders(detectors))
     )
+    if counts:
+        extra = own_placeholders(detectors)
+        labels = F.when(masked, F.array("forced")).otherwise(F.transform("spans", lambda s: S.placeholder_of(s["entity"], extra)))
+        found = found.withColumn(counts, S.count_labels(labels))
     return found.withColumn("text", text).drop("_rest", "spans")
+
+
+def cell_label_counts(cells: DataFrame, doc: str = "doc_id", detectors=DETECTORS, lexicon=DEFAULT_LEXICON) -> DataFrame:
+    """``doc, placeholder, n`` of the cell tables of each document."""
+    rows = exploded(redact_cells(cells, detectors, lexicon, counts="_counts"), [doc], F.map_entries("_counts"), "e")
+    return rows.groupBy(doc, F.col("e.key").alias("placeholder")).agg(F.sum("e.value").alias("n"))

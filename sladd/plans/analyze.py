@@ -46,7 +46,7 @@ class RuleTable:
 
     def patterns(self, scoped):
         """Rule numbers and patterns of some detectors."""
-        return zip(*[(self.first[i] + k, "(?iU)" + p.regex) for i, d in scoped for k, p in enumerate(d.patterns)])
+        return zip(*[(self.first[i] + k, "(?iU)" + (p.java or p.regex)) for i, d in scoped for k, p in enumerate(d.patterns)])
 
 
 def _numbered_hits(text, scoped, table, offset=lambda start: start):

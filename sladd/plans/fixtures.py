@@ -16,6 +16,20 @@ SELECT o_orderkey AS unit_id,
    WHEN 6 THEN 'pan ABCDE' || lpad(cast(o_orderkey % 10000 as string),4,'0') || 'F nric S' || lpad(cast((o_orderkey * 11) % 10000000 as string),7,'0') || 'D'
    ELSE 'abn ' || lpad(cast((o_orderkey * 1299709) % 100000000000 as string),11,'0') || ' passport ' || lpad(cast((o_orderkey * 15485863) % 1000000000 as string),9,'0')
   END AS text FROM {orders}""",
+    "address_ip": """
+SELECT doc_id AS unit_id, text || CASE doc_id % 6
+   WHEN 0 THEN ' dead::beef'
+   WHEN 1 THEN repeat(' prose far from digits', 40) || ' fe80::dead:beef ' || repeat(' and more of it', 40)
+   WHEN 2 THEN repeat(' x 1', 300) || repeat(' far', 100) || ' dead::beef'
+   WHEN 3 THEN ' 2001:db8:0:0:0:0:2:1, 10.1.2.3 and 300.1.2.3'
+   WHEN 4 THEN ' at 12:30:45, a:b'
+   ELSE '' END AS text FROM {documents}""",
+    "mail": """
+SELECT doc_id AS unit_id, text || CASE doc_id % 4
+   WHEN 0 THEN ' ' || repeat('long.', 16) || 'name@x.no'
+   WHEN 1 THEN ' a@b.com.x@y.no, ' || repeat('w', 5000) || ' ..@x.no'
+   WHEN 2 THEN ' a@b@c.de x@y'
+   ELSE '' END AS text FROM {documents}""",
     "license": """
 SELECT o_orderkey AS unit_id,
   CASE o_orderkey % 3
@@ -127,7 +141,7 @@ SELECT unit_id, CAST(j AS INT) AS src, CAST((unit_id * (j + 3)) % 40 AS INT) AS
 
 CELLS_FIXTURE = """
 SELECT c_nationkey AS doc_id, 0 AS table_no, 1 + c_custkey AS row_no, 0 AS col_no, c_name AS text FROM {customer}
- UNION ALL SELECT c_nationkey, 0, 1 + c_custkey, 1, c_mktsegment FROM {customer}
+ UNION ALL SELECT c_nationkey, 0, 1 + c_custkey, 1, CASE WHEN c_custkey % 3 = 0 THEN 'kunde@example.com ' || c_mktsegment ELSE c_mktsegment END FROM {customer}
  UNION ALL SELECT DISTINCT c_nationkey, 0, CAST(0 AS BIGINT), 0, 'Kundenavn' FROM {customer}
  UNION ALL SELECT DISTINCT c_nationkey, 0, CAST(0 AS BIGINT), 1, 'Segment' FROM {customer}"""
 

@@ -12,7 +12,7 @@ from sladd.plans.analyze import anonymize, with_spans
 from sladd.plans.fixtures import fixture_sql
 from sladd.rules.detectors import BY_KEY, DETECTORS
 from sladd.rules.entities import SCORE_THRESHOLD
-from sladd.rules.headers import HEADER_RULES, rule_pattern
+from sladd.rules.headers import HEADER_RULES
 from sladd.rules.special import SPECIAL_CATEGORIES, SPECIAL_KEYS
 from sladd.rules.words import DEFAULT_LEXICON
 from sladd.sources import readers, writers
@@ -29,12 +29,14 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return readers.read_typed_table(spark, f"{folder}/{name}.parquet")
+    """A table; one that comes as a single split, hence at most as one file block, is dealt out to the cores."""
+    df = readers.read_typed_table(spark, f"{folder}/{name}.parquet")
+    return readers.spread(df, spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def fixture(spark: SparkSession, folder: str, name: str) -> DataFrame:
     sql = fixture_sql(name)
-    used = [t for t in ("orders", "customer", "pages") if "{" + t + "}" in sql]
+    used = [t for t in ("orders", "customer", "pages", "documents") if "{" + t + "}" in sql]
     return spark.sql(sql, **{t: table(spark, folder, t) for t in used})
 
 
@@ -74,14 +76,27 @@ def read_text_units(spark, folder):
     return readers.decode_units(docs.select("doc_id", content.alias("content")), "doc_id")
 
 
+def _csv_files(spark, header, lines):
+    """CSV files of raw lines, each file under the same header line."""
+    out, parts = writers.scratch_folder(spark), 8
+    rows = lines.select("line", F.pmod(F.xxhash64("line"), F.lit(parts)).alias("part"), F.lit(1).alias("o"))
+    heads = spark.range(parts).select(F.lit(header).alias("line"), F.col("id").alias("part"), F.lit(0).alias("o"))
+    both = rows.unionByName(heads).repartition(parts, "part").sortWithinPartitions("part", "o")
+    both.select("line", "part").write.partitionBy("part").text(out)
+    return f"{out}/part=*"
+
+
 @query("read_csv_text",
-       "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-       "c_mktsegment, c_name || ', ' || chr(34) || c_mktsegment || chr(34) || chr(10) || 'x' AS note FROM customer")
+       "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 5 <> 1 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey, "
+       "CASE WHEN c_custkey % 5 <> 1 THEN c_mktsegment || ', ' || chr(34) || 'q' || chr(34) || chr(10) || 'x' END AS note, "
+       "CASE WHEN c_custkey % 5 = 0 THEN 'a, ' || chr(34) || 'b' || chr(34) || '|' || c_mktsegment WHEN c_custkey % 5 = 2 THEN '' END AS overflow FROM customer")
 def read_csv_text(spark, folder):
-    note = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nx'))
-    out = writers.scratch_folder(spark)
-    rows = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", note.alias("note"))
-    return readers.read_csv_text(spark, writers.write_redacted(rows, out, "csv"))
+    """Rows as long as the header, shorter ones and longer ones."""
+    line = F.expr('''
+        c_custkey || ',' || c_name || CASE WHEN c_custkey % 5 = 1 THEN '' ELSE ',' || c_nationkey || ',"' || c_mktsegment || ', ""q""\nx"' END ||
+        CASE c_custkey % 5 WHEN 0 THEN ',"a, ""b""",' || c_mktsegment WHEN 2 THEN ',' ELSE '' END''')
+    path = _csv_files(spark, "c_custkey,c_name,c_nationkey,note", table(spark, folder, "customer").select(line.alias("line")))
+    return readers.read_csv_text(spark, path).withColumn("overflow", F.array_join("overflow", "|"))
 
 
 @query("read_typed_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -147,8 +162,8 @@ def entity_allowlist(spark, folder):
 _H = r"regexp_replace(header, '^\s+|\s+$', '', 'g')"
 def _header_case(values):
     out = "CASE "
-    for value, (_, alt) in zip(values, HEADER_RULES):
-        out += f"WHEN regexp_matches({_H}, {O.q('(?i)' + rule_pattern(alt))}) THEN {value} "
+    for value, (_, pattern) in zip(values, HEADER_RULES):
+        out += f"WHEN regexp_matches({_H}, {O.q('(?i)' + pattern)}) THEN {value} "
     return out + "END"
 
 
@@ -194,22 +209,39 @@ def header_context_cell(spark, folder):
     return done.select("unit_id", "h", F.col("_cells")[0].alias("redacted"))
 
 
+# Analysed cells with phones, e-mail addresses and names, and what becomes of them.
+_NOTE = ("CASE c_custkey % 4 WHEN 0 THEN 'ring 91234567 i dag' WHEN 1 THEN 'skriv til kunde@example.com' "
+         "WHEN 2 THEN 'avtale med Bjørn-Arne Haugen ble signert' ELSE 'ingen merknad' END")
+_NOTE_MASKED = ("CASE c_custkey % 4 WHEN 0 THEN 'ring [PHONE] i dag' WHEN 1 THEN 'skriv til [EMAIL]' "
+                "WHEN 2 THEN 'avtale med [NAME] ble signert' ELSE 'ingen merknad' END")
+
+
+def _customers(spark, folder):
+    return table(spark, folder, "customer").withColumn("merknad", F.expr(_NOTE))
+
+
 @query("typed_table_redact",
-       "SELECT c_custkey, '[NAME]' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+       f"SELECT c_custkey, '[NAME]' AS c_name, c_nationkey, c_acctbal, c_mktsegment, {_NOTE_MASKED} AS merknad FROM customer")
 def typed_table_redact(spark, folder):
-    return tables.redact_table(table(spark, folder, "customer"))
+    return tables.redact_table(_customers(spark, folder))
+
+
+@query("table_label_counts",
+       "SELECT placeholder, CAST(count(*) AS BIGINT) AS n FROM (SELECT '[NAME]' AS placeholder FROM customer UNION ALL SELECT "
+       "['[PHONE]', '[EMAIL]', '[NAME]'][c_custkey % 4 + 1] FROM customer WHERE c_custkey % 4 < 3) GROUP BY placeholder")
+def table_label_counts(spark, folder):
+    return tables.table_label_counts(_customers(spark, folder))
 
 
 @query("csv_table_redact",
-       "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, '[NAME]' AS c_name, '[ACCOUNT_NUMBER]' AS kontonummer, "
-       "'epost [EMAIL]' AS merknad FROM customer")
+       "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, '[NAME]' AS c_name, CASE WHEN c_custkey % 5 <> 1 THEN '[ACCOUNT_NUMBER]' END AS kontonummer, "
+       f"CASE WHEN c_custkey % 5 <> 1 THEN {_NOTE_MASKED} END AS merknad, CASE WHEN c_custkey % 5 = 0 THEN '[PHONE]|til [EMAIL]' END AS overflow FROM customer")
 def csv_table_redact(spark, folder):
-    rows = table(spark, folder, "customer").select(
-        "c_custkey", "c_name", (F.col("c_custkey") + 1000000).alias("kontonummer"),
-        F.concat(F.lit("epost kunde"), "c_custkey", F.lit("@example.com")).alias("merknad"),
-    )
-    folder_out = writers.write_redacted(rows, writers.scratch_folder(spark), "csv")
-    return tables.redact_table(readers.read_csv_text(spark, folder_out))
+    """The cells of longer rows are analysed too."""
+    line = F.concat_ws(",", "c_custkey", "c_name", F.expr(f"CASE WHEN c_custkey % 5 <> 1 THEN c_custkey + 1000000 || ',' || {_NOTE} END"),
+                       F.expr("CASE WHEN c_custkey % 5 = 0 THEN '91234567,til a@example.com' END"))
+    path = _csv_files(spark, "c_custkey,c_name,kontonummer,merknad", table(spark, folder, "customer").select(line.alias("line")))
+    return tables.redact_table(readers.read_csv_text(spark, path)).withColumn("overflow", F.array_join("overflow", "|"))
 
 
 # --- detectors --------------------------------------------------------------------------------------------------
@@ -217,19 +249,21 @@ def csv_table_redact(spark, folder):
 _DETECTOR_SOURCES = {
     "national_id": "idnum", "org_number": "idnum", "phone_no": "phone", "bank_account": "account",
     "health_terms": "prose", "postal_address": "address", "street_address": "address", "postal_code": "address",
-    "city": "address", "written_date": "date", "hyphen_name": "prose", "name_list": "prose", "email": None,
-    "phone_intl": None, "credit_card": None, "ip": None, "date_numeric": "date", "iban": "account", "us_ssn": "idnum",
+    "city": "address", "written_date": "date", "hyphen_name": "prose", "name_list": "prose", "email": "mail",
+    "phone_intl": None, "credit_card": None, "ip": "address_ip", "date_numeric": "date", "iban": "account", "us_ssn": "idnum",
     "uk_nhs": "idnum", "us_passport": "idnum", "us_license": "license", "in_pan": "idnum", "sg_nric": "idnum",
     "au_abn": "idnum", "au_acn": "license", "medical_license": "license",
 }
 
 
 def _detector_query(key, source):
+    keys = ("ip", "ip6") if key == "ip" else (key,)
+
     def run(spark, folder):
         df = fixture(spark, folder, source) if source else documents(spark, folder)
-        return span_rows(with_spans(df, detectors=[BY_KEY[key]], last="resolved"))
+        return span_rows(with_spans(df, detectors=[BY_KEY[k] for k in keys], last="resolved"))
 
-    query(f"det_{key}", O.detect_sql(O.fx(source) if source else O.DOCUMENTS, [key]))(run)
+    query(f"det_{key}", O.detect_sql(O.fx(source) if source else O.DOCUMENTS, keys))(run)
 
 
 for _key, _source in _DETECTOR_SOURCES.items():
@@ -358,12 +392,19 @@ def cell_header_join(spark, folder):
 
 
 @query("cell_table_redact",
-       f"SELECT doc_id, table_no, row_no, col_no, CASE WHEN row_no > 0 AND col_no = 0 THEN '[NAME]' ELSE text END AS text "
-       f"FROM ({O.fx('cells')}) AS c")
+       f"SELECT doc_id, table_no, row_no, col_no, CASE WHEN row_no > 0 AND col_no = 0 THEN '[NAME]' "
+       f"ELSE replace(text, 'kunde@example.com', '[EMAIL]') END AS text FROM ({O.fx('cells')}) AS c")
 def cell_table_redact(spark, folder):
     return tables.redact_cells(fixture(spark, folder, "cells")).drop("forced")
 
 
+@query("cell_label_counts",
+       f"SELECT doc_id, placeholder, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, CASE WHEN row_no > 0 AND col_no = 0 THEN '[NAME]' "
+       f"WHEN contains(text, '@') THEN '[EMAIL]' END AS placeholder FROM ({O.fx('cells')}) AS c) WHERE placeholder IS NOT NULL GROUP BY ALL")
+def cell_label_counts(spark, folder):
+    return tables.cell_label_counts(fixture(spark, folder, "cells"))
+
+
 _REPEATED = f"SELECT unit_id, text || ' karismatisk PERSONLIG haugenes' AS text FROM ({O.fx('prose')}) AS r"
 _NAME_DETECTOR = [BY_KEY["name_list"]]
 
@@ -505,9 +546,10 @@ def summary_sorted(spark, folder):
 
 @query("column_profile",
        "SELECT 'c_name' AS column_name, true AS forced, '[NAME]' AS placeholder, count(c_name) AS cells, count(c_name) AS masked "
-       "FROM customer UNION ALL SELECT 'c_mktsegment', false, NULL, count(c_mktsegment), 0 FROM customer")
+       "FROM customer UNION ALL SELECT 'c_mktsegment', false, NULL, count(c_mktsegment), 0 FROM customer "
+       "UNION ALL SELECT 'merknad', false, NULL, count(*), count(*) FILTER (c_custkey % 4 < 3) FROM customer")
 def column_profile(spark, folder):
-    return tables.column_profile(table(spark, folder, "customer"))
+    return tables.column_profile(_customers(spark, folder))
 
 
 # --- ordering, windows, sets ------------------------------------------------------------------------------------
@@ -702,8 +744,14 @@ _AUDIT_SQL = O.with_(
      ("found", f"SELECT unit_id, {_JSON} AS pii_found, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY unit_id"),
      ("cat", f"SELECT unit_id, {_CATEGORY_LIST} AS cats FROM src")],
     "SELECT unit_id, 'unknown' AS detected_language, false AS language_warning, array_to_string(cats, ';') AS categories, "
-    "len(cats) > 0 AS review, coalesce(pii_found, '{}') AS pii_found, coalesce(total, 0) AS total_replacements, 'success' AS status "
-    "FROM cat LEFT JOIN found USING (unit_id)")
+    "len(cats) > 0 AS review, coalesce(pii_found, '{}') AS pii_found, coalesce(total, 0) AS total_replacements, 'success' AS status, "
+    "'u' || unit_id || '.txt' AS input_file, '/in/u' || unit_id || '.txt' AS input_path, '/out/u' || unit_id || '.txt' AS output_path, "
+    "CAST(NULL AS VARCHAR) AS error FROM cat LEFT JOIN found USING (unit_id)")
+
+
+def _paths(docs):
+    name = F.concat(F.lit("u"), "unit_id", F.lit(".txt"))
+    return docs.select("unit_id", F.concat(F.lit("/in/"), name).alias("input_path"), F.concat(F.lit("/out/"), name).alias("output_path"))
 
 
 def _audit_columns(records):
@@ -711,45 +759,60 @@ def _audit_columns(records):
         "unit_id", "detected_language", "language_warning",
         F.array_join("article9_categories_detected", ";").alias("categories"),
         F.col("article9_manual_review_required").alias("review"), F.to_json("pii_found").alias("pii_found"),
-        "total_replacements", "status",
+        "total_replacements", "status", "input_file", "input_path", "output_path", "error",
     )
 
 
 @query("audit_records", _AUDIT_SQL)
 def audit_records(spark, folder):
-    return _audit_columns(audit.audit_records(mixed(spark, folder), doc="unit_id"))
+    docs = mixed(spark, folder)
+    return _audit_columns(audit.audit_records(docs, doc="unit_id", paths=_paths(docs)))
 
 
 @query("audit_records_language")
 def audit_records_language(spark, folder):
     docs = documents(spark, folder)
     found = language.detect_language(docs, _profiles(spark, folder), doc="unit_id")
-    return _audit_columns(audit.audit_records(docs, found, doc="unit_id"))
+    return _audit_columns(audit.audit_records(docs, found, doc="unit_id", paths=_paths(docs)))
 
 
 @query("audit_sink",
-       f"SELECT unit_id, status, total_replacements, review FROM ({_AUDIT_SQL}) AS a")
+       f"SELECT unit_id, status, total_replacements, review, input_file, error FROM ({_AUDIT_SQL}) AS a UNION ALL "
+       "SELECT doc_id, 'error', 0, false, 'u' || doc_id || '.txt', 'missing content' FROM documents WHERE doc_id % 10 = 9")
 def audit_sink(spark, folder):
-    out = writers.scratch_folder(spark)
-    writers.audit_sink(audit.audit_records(mixed(spark, folder), doc="unit_id"), out)
-    schema = "unit_id bigint, status string, total_replacements bigint, article9_manual_review_required boolean"
+    """Records of inputs that were read and of inputs that were not, in one sink."""
+    docs, out = mixed(spark, folder), writers.scratch_folder(spark)
+    lost = documents(spark, folder).where("unit_id % 10 = 9").select("unit_id", F.lit("missing content").alias("error"))
+    records = audit.audit_records(docs, doc="unit_id", paths=_paths(docs))
+    writers.audit_sink(records.unionByName(audit.error_records(lost, "unit_id", paths=_paths(lost))), out)
+    schema = "unit_id bigint, status string, total_replacements bigint, article9_manual_review_required boolean, input_file string, error string"
     back = spark.read.schema(schema).json(out)
-    return back.select("unit_id", "status", "total_replacements", F.col("article9_manual_review_required").alias("review"))
+    return back.select("unit_id", "status", "total_replacements", F.col("article9_manual_review_required").alias("review"), "input_file", "error")
+
+
+@query("table_audit_records",
+       f"SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_replacements, {_JSON} AS pii_found, 'success' AS status, 'unknown' AS detected_language FROM ("
+       f"SELECT doc_id, placeholder, count(*) AS n FROM (SELECT doc_id, CASE WHEN row_no > 0 AND col_no = 0 THEN '[NAME]' "
+       f"WHEN contains(text, '@') THEN '[EMAIL]' END AS placeholder FROM ({O.fx('cells')}) AS c) WHERE placeholder IS NOT NULL GROUP BY ALL) GROUP BY doc_id")
+def table_audit_records(spark, folder):
+    records = audit.table_audit_records(tables.cell_label_counts(fixture(spark, folder, "cells")))
+    return records.select("doc_id", "total_replacements", F.to_json("pii_found").alias("pii_found"), "status", "detected_language")
 
 
 @query("error_isolation",
-       "SELECT doc_id, CASE WHEN bad THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 10 = 9 THEN 'missing content' "
-       "WHEN bad THEN 'invalid UTF-8' END AS error FROM (SELECT doc_id, doc_id % 10 IN (3, 9) AS bad FROM documents)")
+       "SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'error' ELSE 'success' END AS status, CASE WHEN doc_id % 10 = 9 THEN 'missing content' END "
+       "AS error, CASE WHEN doc_id % 10 <> 9 THEN CASE WHEN doc_id % 10 = 3 THEN regexp_replace(text, '[^\\x00-\\x7f]', '', 'g') || 'ÿ' ELSE text END END AS text FROM documents")
 def error_isolation(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    """Bytes that are not UTF-8 are read as Latin-1; missing ones are an error."""
+    docs = table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7f]", "").alias("ascii"), "text")
     content = (
         F.when(F.col("doc_id") % 10 == 9, F.lit(None).cast("binary"))
-        .when(F.col("doc_id") % 10 == 3, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))))
+        .when(F.col("doc_id") % 10 == 3, F.concat(F.encode("ascii", "UTF-8"), F.unhex(F.lit("FF"))))
         .otherwise(F.encode("text", "UTF-8"))
     )
     good, errors = audit.error_isolation(docs.select("doc_id", content.alias("content")), "doc_id")
-    done = good.select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
-    return done.unionByName(errors.select("doc_id", "status", "error"))
+    done = readers.decode_units(good, "doc_id").select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"), "text")
+    return done.unionByName(errors.select("doc_id", "status", "error", F.lit(None).cast("string").alias("text")))
 
 
 # --- extension points -------------------------------------------------------------------------------------------
@@ -767,10 +830,19 @@ def toy_model(texts):
     import re
 
     pattern = re.compile(r"(?:avtale med|eier) (\S+ \S+)")
-    return [[("PERSON", m.start(1), m.end(1), 0.85) for m in pattern.finditer(text or "")] for text in texts]
+    wrong = [("NRP", 0, 4, 0.9), ("PERSON", None, 3, 0.9), ("PERSON", 5, 10**6, 0.9)]  # kinds and offsets that the hook leaves out
+    return [[("PERSON", m.start(1), m.end(1), 0.85) for m in pattern.finditer(text or "")] + wrong for text in texts]
+
+
+_OWN_CTES = O.candidate_ctes(O.fx("prose"), DETECTORS)
+_MODEL_ROWS = ("SELECT unit_id, 'PERSON' AS entity, CAST(strpos(text, m) + length(m) - length(c) - 1 AS BIGINT) AS start, CAST(strpos(text, m) + length(m) - 1 AS BIGINT) "
+               "AS \"end\", c AS chunk, 1 AS src, 0.85::DOUBLE AS score FROM (SELECT unit_id, text, regexp_extract(text, '(?:avtale med|eier) (\\S+ \\S+)') AS m, "
+               "regexp_extract(text, '(?:avtale med|eier) (\\S+ \\S+)', 1) AS c FROM src) WHERE m <> ''")
 
 
-@query("custom_model_hook")
+@query("custom_model_hook",
+       O.with_([*_OWN_CTES[:-1], ("own", _OWN_CTES[-1][1]), ("cand", "SELECT unit_id, entity, start, \"end\", chunk, src, score FROM own UNION ALL " + _MODEL_ROWS),
+                *O.resolve_ctes(), *O.filter_ctes(), *O.redact_ctes()], "SELECT unit_id, redacted, n FROM redacted"))
 def custom_model_hook(spark, folder):
     rows = hooks.with_model_spans(fixture(spark, folder, "prose"), toy_model)
     return anonymize(rows, external="external", keep_spans=False)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sladd.rules.media import AUDIO_SUFFIXES, IMAGE_SUFFIXES, SUPPORTED_SUFFIXES, VIDEO_SUFFIXES
 
-# Below this size per core an input is too small to be split well by file blocks.
-SPREAD_BYTES = 32 * 1024 * 1024
+# A field of a CSV record with what separates it from the field before.
+_FIELD = r'(?s)(?:^|,)(?:"((?:[^"]|"")*+)"|([^,]*+))'
+CORRUPT = "_corrupt_record"
 
 
 def decode(content: Column) -> Column:
@@ -28,25 +29,34 @@ def read_text_units(spark: SparkSession, path: str) -> DataFrame:
     return decode_units(spark.read.format("binaryFile").load(path), "path")
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, every column as text. Short rows are padded with nulls."""
-    options = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False, "encoding": "UTF-8"}
-    return spark.read.options(**options).csv(path)
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True, overflow: str | None = "overflow") -> DataFrame:
+    """CSV with a header, every column as text. Short rows are padded with nulls.
 
+    Cells beyond the header go to the array ``overflow`` (null for other rows); with ``overflow=None`` a longer
+    row raises nothing and its extra cells are lost, so give a name unless the input is known. ``multi_line``
+    allows line ends inside quotes but makes each file one task; turn it off for large files without them.
+    """
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "encoding": "UTF-8"}
+    header = spark.read.options(**options, inferSchema=False).csv(path).schema
+    if overflow is None:
+        return spark.read.options(**options).schema(header).csv(path)
+    names = [f.name for f in header.fields]
+    read = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(header.add(CORRUPT, "string")).csv(path)
+    record = F.regexp_replace(CORRUPT, r"[\r\n]+\z", "")
+    fields = F.regexp_extract_all(record, F.lit(_FIELD), 0)
+    extra = F.slice(fields, len(names) + 1, F.greatest(F.size(fields) - len(names), F.lit(0)))
+    plain = F.transform(extra, lambda c: F.regexp_replace(c, r"\A,", ""))
+    cells = F.transform(plain, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'\A"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return read.select(*[F.col(f"`{n}`") for n in names], F.when(F.size(fields) > len(names), cells).alias(overflow))
 
-def read_typed_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
 
+def read_typed_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give small inputs one partition per core.
 
-    A small file often is a single row group, hence a single task. Large inputs come in many files and are
-    left as they are, so no text is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deal a small input of few row groups out over more tasks. It shuffles, so the caller decides."""
+    return df.repartition(partitions)
 
 
 def manifest_triage(df: DataFrame, path: str) -> DataFrame:

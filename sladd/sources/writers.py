@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -13,10 +12,17 @@ def run_timestamp() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d_%H%M%S")
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh path in the shared folder the cluster names; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/sladd-{uuid.uuid4().hex}"
+def scratch_folder(spark: SparkSession, base: str | None = None) -> str:
+    """A fresh path in the folder given, else in ``spark.checkpoint.dir``, else in the warehouse.
+
+    Executors must see it too, so a local warehouse will not do on a cluster.
+    """
+    shared = base or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir")
+        if shared.startswith(("/", "file:")) and not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/')}/sladd-{uuid.uuid4().hex}"
 
 
 def write_redacted(df: DataFrame, out: str, fmt: str = "parquet", run_ts: str | None = None) -> str:

@@ -7,7 +7,6 @@ from sladd.plans.analyze import with_spans
 from sladd.rules.media import COMMENT_REMOVED, IMAGE_REMOVED, VIDEO_REMOVED
 from sladd.rules.special import SPECIAL_CATEGORIES
 from sladd.sources import readers, writers
-from sladd.streaming import redact_stream
 
 
 def test_wide_table(spark):
@@ -123,7 +122,7 @@ def test_stream_takes_the_batch_plan(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"id": 1, "text": "tlf 91234567"}\n')
     stream = spark.readStream.schema("id int, text string").json(str(tmp_path / "in"))
-    query = (redact_stream(stream, keep_spans=False).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = (anonymize(stream, keep_spans=False).writeStream.format("parquet").option("path", str(tmp_path / "out"))
              .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     query.awaitTermination(120)
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "tlf [PHONE]", 1)]
