@@ -25,10 +25,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import bucketed, packed, parts, text_bytes, unpacked
+from sladd.llm.common import bucketed, packed, parts, short_batches, text_bytes, unpacked
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Stands for a null id inside a chunk.
 NO_ID = -(1 << 63)
 CHUNK = "chunk string, bucket int, docs binary, counts binary, places binary, body binary"
@@ -169,7 +169,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, key: str = "do
     if json.loads(model).get("decoder"):
         raise ValueError("pieces are joined by one space; a vocabulary with a decoder of its own isn't supported")
     spark = docs.sparkSession
-    source = docs.select(F.col(key).cast("long"), F.col(text))
+    source = short_batches(docs).select(F.col(key).cast("long"), F.col(text))
     chunks = bucketed(source.mapInArrow(_chunks(parts(spark, 2), chunk_bytes), CHUNK), "chunk")
     asked = chunks.filter("bucket >= 0").select("chunk", "bucket", "body")
     encoded = asked.groupBy("bucket").applyInArrow(_encode_bucket(model), IDS)

@@ -55,6 +55,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Make Arrow batches of at most so many rows from now on, unless the session asks for fewer.
+
+    Texts are long, and the default of 10,000 rows would let one batch fill a Python worker's memory.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

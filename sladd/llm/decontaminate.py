@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import LOWER, WORD_BYTE, fingerprint, groups, text_bytes, words
+from sladd.llm.common import LOWER, WORD_BYTE, fingerprint, groups, short_batches, text_bytes, words
 
 WINDOW = 10
 #: Bytes of benchmark text in a block.
@@ -220,7 +220,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], t
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-total * 2 // block_bytes)) if total > block_bytes else 1
-    base = docs.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("rest"), fingerprint(text).alias("fp"), F.col(text))
+    base = short_batches(docs).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("rest"), fingerprint(text).alias("fp"), F.col(text))
     kind = base.schema["rest"].dataType.simpleString()
     schema = f"rest {kind}, fp long, n_words long, spans array<long>, cuts array<long>, items array<string>"
     found = None

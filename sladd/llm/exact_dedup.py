@@ -17,7 +17,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sladd.llm.common import text_bytes, written
+from sladd.llm.common import short_batches, text_bytes, written
 
 COUNTERS = 1024
 
@@ -31,7 +31,7 @@ def text_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["key", "digest"])
 
     schema = f"key {docs.schema[key].dataType.simpleString()}, digest binary"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(digest, schema)
+    return short_batches(docs).select(F.col(key), F.col(text)).mapInArrow(digest, schema)
 
 
 def frequent(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:

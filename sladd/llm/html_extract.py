@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import text_bytes, written
+from sladd.llm.common import short_batches, text_bytes, written
 from sladd.llm.url_filter import address
 
 GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.25, 3
@@ -168,7 +168,7 @@ def _pages(batches):
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host, node, pages, importance`` of the site style trees."""
-    seen = pages.select(address(F.col(url))[0].alias("host"), F.col(html)).mapInArrow(_pages, "host string, node string, kind int, digest long, pages long")
+    seen = short_batches(pages).select(address(F.col(url))[0].alias("host"), F.col(html)).mapInArrow(_pages, "host string, node string, kind int, digest long, pages long")
     styles = seen.groupBy("host", "node", "kind", "digest").agg(F.sum("pages").alias("c"))
     nodes = styles.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"),

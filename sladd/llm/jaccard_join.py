@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import groups, mix, parts, text_bytes, words, written
+from sladd.llm.common import groups, mix, parts, short_batches, text_bytes, words, written
 from sladd.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -273,7 +273,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``class_id`` is the smallest id that a chain of links leads to; ``n_links`` counts the other rows of similarity ``threshold`` or more.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    base = short_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     sketches = written(base.mapInArrow(_sketch(size), "doc long, digest binary, n int, sig binary"))
     reps = sketches.filter("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()))

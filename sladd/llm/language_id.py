@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sladd.llm.common import LOWER, groups, parts, text_bytes, written
+from sladd.llm.common import LOWER, groups, parts, short_batches, text_bytes, written
 
 DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 8192, 1500, 4, 10
 #: A text is rejected if its cosine is below so much of the lowest (0.1 %) cosine in the language's sample.
@@ -104,7 +104,7 @@ def _cluster(idf):
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE):
     """``(langs, centres, lows, idf)`` from the rows given; at most a few vectors a language reach the driver."""
     spark = docs.sparkSession
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = short_batches(docs).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     shares = {r[0]: min(1.0, sample / r[1]) for r in rows.groupBy(lang).count().collect()}  # a row a language
     if not shares:
         return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32)
@@ -160,6 +160,6 @@ def held_out(key: str | Column = "doc_id") -> Column:
 
 def identify(docs: DataFrame, model, keys: list[str], text: str = "text") -> DataFrame:
     """``rest`` (struct of ``keys``), ``lang_pred, score, rejected`` for each row."""
-    base = docs.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("rest"), F.col(text))
+    base = short_batches(docs).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("rest"), F.col(text))
     kind = base.schema["rest"].dataType.simpleString()
     return base.mapInArrow(_predict(model), f"rest {kind}, lang_pred string, score double, rejected boolean")

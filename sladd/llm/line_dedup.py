@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import fingerprint, parts, text_bytes, written
+from sladd.llm.common import fingerprint, parts, short_batches, text_bytes, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -116,7 +116,7 @@ def _bitmaps(batches):
 def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``key, fp, n_lines, n_dropped, keep`` for each document that loses lines; ``keep`` is a zlib-compressed bit for each line."""
     spark = docs.sparkSession
-    lines = docs.select(F.col(key).cast("long").alias("doc"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
+    lines = short_batches(docs).select(F.col(key).cast("long").alias("doc"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
     rows = lines.mapInArrow(_lines(min_chars), ROW)
     ordered = rows.repartitionByRange(parts(spark), "h", F.desc("doc")).sortWithinPartitions("h", F.desc("doc"), "fp")
     judged = written(ordered.mapInArrow(_stream(min_docs), ROW + ", seen long, counts boolean"))

@@ -29,7 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import GROUP_BYTES, mix, parts, text_bytes, written
+from sladd.llm.common import GROUP_BYTES, mix, parts, short_batches, text_bytes, written
 
 WINDOW, ANCHOR = 100, 40
 REACH = WINDOW - ANCHOR
@@ -223,22 +223,34 @@ def _meet(chunks):
 def _pack(chunks):
     """Texts by chunk, compressed: chunk, ids, lengths, body."""
 
+    squeeze = zstandard.ZstdCompressor
+
+    def flush(held):
+        rows = [(c, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), squeeze(level=3).compress(b"".join(texts)))
+                for c, (ids, texts) in held.items()]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["chunk", "ids", "sizes", "body"])
+
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        held: dict[int, tuple[list, list]] = {}
+        size = 0
         for batch in batches:
-            held: dict[int, tuple[list, list]] = {}
             for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 key = NO_ID if key is None else key
                 ids, texts = held.setdefault(key % chunks, ([], []))
                 ids.append(key)
                 texts.append(text)
-            rows = [(c, np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), squeeze(b"".join(texts))) for c, (ids, texts) in held.items()]
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["chunk", "ids", "sizes", "body"])
+                size += len(text)
+            if size > PACK_BYTES:
+                yield flush(held)
+                held, size = {}, 0
+        yield flush(held)
 
     return run
 
 
+#: Bytes of text that a task packs at a time.
+PACK_BYTES = 24 << 20
 PACK = "chunk long, ids binary, sizes binary, body binary"
 
 
@@ -452,7 +464,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", group:
     """``key, n_bytes, spans, kept`` for each row: removed ranges as starts and ends in bytes, and the bytes that stay."""
     spark = docs.sparkSession
     buckets, chunks = parts(spark, 2), chunk_count(parts(spark, 4))
-    base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    base = short_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     spread_from = max(2, group // max(1, base.rdd.getNumPartitions()))
     records = base.mapInArrow(_find(buckets, chunks, spread_from), RECORD)
     marks = written(records.groupBy("bucket").applyInArrow(_meet(chunks), MARKS))
