@@ -11,6 +11,7 @@ from sladd.rules.languages import (
 
 LANGUAGES = ("de", "en", "es", "fr", "no")
 PROFILE_SIZE = 400
+MAX_PROFILE_ROWS = 10_000
 
 
 def sample(text: Column) -> Column:
@@ -39,9 +40,10 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
                    size: int = PROFILE_SIZE) -> DataFrame:
     """Log-probabilities of the most frequent trigrams: ``tri, lp`` with one entry per language.
 
-    At most ``size`` trigrams per language are kept, so the table is bounded whatever the corpus.
+    Whole texts are counted. At most ``size`` trigrams per language are kept, a parameter of the model, so the
+    table is bounded whatever the corpus.
     """
-    rows = labelled.select(F.col(lang).alias("lang"), sample(F.col(text)).alias("text"))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     own = labelled.sparkSession.range(1).select(F.lit("no").alias("lang"), F.lit(NORWEGIAN_TRAINING_TEXT).alias("text"))
     labelled_text = rows.unionByName(own).where(F.col("lang").isin(*languages))
     counted = (
@@ -57,36 +59,44 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
     return top.groupBy("tri").agg(F.array(*lp).alias("lp"))
 
 
+def checked(profiles: DataFrame) -> DataFrame:
+    """The profiles as a local table of at most MAX_PROFILE_ROWS rows, which may be broadcast."""
+    rows = profiles.limit(MAX_PROFILE_ROWS + 1).collect()
+    if len(rows) > MAX_PROFILE_ROWS:
+        raise ValueError(f"more than {MAX_PROFILE_ROWS} trigrams in the profiles")
+    return profiles.sparkSession.createDataFrame(rows, profiles.schema)
+
+
 def language_scores(docs: DataFrame, profiles: DataFrame, doc: str = "doc_id", text: str = "text",
                     languages=LANGUAGES) -> DataFrame:
-    """``doc, lang, p`` for every language, from the sample of each document.
+    """``doc, scores``: an array of ``struct<p, lang>`` for every document, null where the sample is too short to tell.
 
-    Trigram sums are taken before the shuffle: what moves is one short row per document, not the text.
+    One scan and one shuffle: trigrams meet the broadcast profiles, and their sums are taken before the shuffle.
     """
-    cut = docs.select(doc, sample(F.col(text)).alias("text")).where(F.length(strip(F.col("text"))) >= MIN_SAMPLE_CHARS)
-    grams = exploded(cut, [doc], trigrams(F.col("text")), "tri")
-    # The profiles hold at most PROFILE_SIZE rows per language, whatever the corpus.
-    sums = grams.join(F.broadcast(profiles), "tri").groupBy(doc).agg(
+    long = F.length(strip(F.col(text))) >= MIN_SAMPLE_CHARS
+    cut = docs.select(doc, F.when(long, sample(F.col(text))).alias("text"))
+    grams = cut.select(doc, F.explode_outer(trigrams(F.col("text"))).alias("tri"))
+    sums = grams.join(F.broadcast(checked(profiles)), "tri", "left").groupBy(doc).agg(
         *[F.sum(F.col("lp")[i]).alias(f"s{i}") for i in range(len(languages))]
     )
     best = F.greatest(*[F.col(f"s{i}") for i in range(len(languages))])
     weights = [F.exp(F.col(f"s{i}") - best) for i in range(len(languages))]
     total = sum(weights[1:], weights[0])
-    each = F.array(*[F.struct(F.lit(x).alias("lang"), (w / total).alias("p")) for x, w in zip(languages, weights)])
-    return sums.select(doc, F.explode(each).alias("r")).select(doc, "r.lang", "r.p")
+    each = F.array(*[F.struct((w / total).alias("p"), F.lit(x).alias("lang")) for x, w in zip(languages, weights)])
+    return sums.select(doc, F.when(best.isNotNull(), each).alias("scores"))
 
 
 def top_language(scores: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Best language per document."""
-    return scores.groupBy(doc).agg(F.max_by("lang", F.struct("p", "lang")).alias("lang"), F.max("p").alias("p"))
+    """``doc, lang, p``: the best language of each document, null where there is none."""
+    top = scores.select(doc, F.array_max("scores").alias("top"))
+    return top.select(doc, F.col("top.lang").alias("lang"), F.col("top.p").alias("p"))
 
 
 def detect_language(docs: DataFrame, profiles: DataFrame, doc: str = "doc_id", text: str = "text",
                     languages=LANGUAGES) -> DataFrame:
     """``doc, language``: null for short samples and for uncertain ones."""
     best = top_language(language_scores(docs, profiles, doc, text, languages), doc)
-    sure = best.where(F.col("p") >= MIN_PROBABILITY).select(doc, F.col("lang").alias("language"))
-    return docs.select(doc).join(sure, doc, "left")
+    return best.select(doc, F.when(F.col("p") >= MIN_PROBABILITY, F.col("lang")).alias("language"))
 
 
 def is_supported(lang: Column) -> Column:

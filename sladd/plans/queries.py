@@ -13,6 +13,7 @@ from sladd.plans.fixtures import fixture_sql
 from sladd.rules.detectors import BY_KEY, DETECTORS
 from sladd.rules.entities import SCORE_THRESHOLD
 from sladd.rules.headers import HEADER_RULES
+from sladd.rules.languages import NORWEGIAN_TRAINING_TEXT
 from sladd.rules.special import SPECIAL_CATEGORIES, SPECIAL_KEYS
 from sladd.rules.words import DEFAULT_LEXICON
 from sladd.sources import readers, writers
@@ -644,18 +645,48 @@ def special_summary(spark, folder):
 
 
 def _profiles(spark, folder):
-    return language.train_profiles(table(spark, folder, "documents"))
+    """Learnt from the documents with an even id; the others test it."""
+    return language.train_profiles(table(spark, folder, "documents").where("doc_id % 2 = 0"))
+
+
+def _language_ctes(docs):
+    """``top(unit_id, lang, p)``: trigram counts, ranks, log sums and the best language, for every document."""
+    def gram(text):
+        return f"(' ' || regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g') || ' ')"
+
+    def grams(rows, keys):
+        return f"SELECT {keys}, unnest(list_transform(range(1, greatest(length(g) - 1, 1)), lambda i: substr(g, i, 3))) AS tri FROM ({rows})"
+
+    langs = language.LANGUAGES
+    lp = ", ".join(f"ln(coalesce(max(p) FILTER (lang = '{x}'), 1e-5)) AS l{i}" for i, x in enumerate(langs))
+    sums = ", ".join(f"sum(l{i}) AS s{i}" for i in range(len(langs)))
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(langs))) + ")"
+    total = " + ".join(f"exp(s{i} - {best})" for i in range(len(langs)))
+    each = ", ".join(f"{{'p': exp(s{i} - {best}) / ({total}), 'lang': '{x}'}}" for i, x in enumerate(langs))
+    return [
+        ("labelled", f"SELECT lang, {gram('text')} AS g FROM documents WHERE doc_id % 2 = 0 AND lang IN {O.values(langs)} "
+                     f"UNION ALL SELECT 'no', {gram(O.q(NORWEGIAN_TRAINING_TEXT))}"),
+        ("counted", f"SELECT lang, tri, count(*) AS n FROM ({grams('FROM labelled', 'lang')}) GROUP BY ALL"),
+        ("ranked_tri", "SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, tri) AS r FROM counted"),
+        ("share", f"SELECT lang, tri, n / sum(n) OVER (PARTITION BY lang) AS p FROM ranked_tri WHERE r <= {language.PROFILE_SIZE}"),
+        ("profile", f"SELECT tri, {lp} FROM share GROUP BY tri"),
+        ("sampled", f"SELECT unit_id, {gram('substr(text, 1, 3000)')} AS g FROM ({docs}) AS d WHERE length({O._STRIP.format('text')}) >= 30"),
+        ("sums", f"SELECT unit_id, {sums} FROM ({grams('FROM sampled', 'unit_id')}) JOIN profile USING (tri) GROUP BY unit_id"),
+        ("judged_lang", f"SELECT unit_id, list_max([{each}]) AS t FROM sums"),
+        ("top", f"SELECT d.unit_id, t.lang AS lang, t.p AS p FROM ({docs}) AS d LEFT JOIN judged_lang USING (unit_id)"),
+    ]
 
 
-@query("detect_language")
+@query("detect_language",
+       O.with_(_language_ctes(O.DOCUMENTS), "SELECT unit_id AS doc_id, CASE WHEN p >= 0.7 THEN lang END AS language FROM top"))
 def detect_language(spark, folder):
     return language.detect_language(table(spark, folder, "documents").select("doc_id", "text"), _profiles(spark, folder))
 
 
-@query("top_language")
+@query("top_language", O.with_(_language_ctes(O.DOCUMENTS), "SELECT unit_id AS doc_id, lang, round(p, 4) AS p FROM top"))
 def top_language(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return language.top_language(language.language_scores(docs, _profiles(spark, folder)))
+    return language.top_language(language.language_scores(docs, _profiles(spark, folder))).withColumn("p", F.round("p", 4))
 
 
 @query("language_supported",
@@ -769,7 +800,14 @@ def audit_records(spark, folder):
     return _audit_columns(audit.audit_records(docs, doc="unit_id", paths=_paths(docs)))
 
 
-@query("audit_records_language")
+@query("audit_records_language",
+       O.with_([*O.analysis_ctes(O.DOCUMENTS), ("counts", f"SELECT unit_id, {O.placeholder_sql()} AS placeholder, count(*) AS n FROM spans GROUP BY ALL"),
+                ("found", f"SELECT unit_id, {_JSON} AS pii_found, CAST(sum(n) AS BIGINT) AS total FROM counts GROUP BY unit_id"),
+                ("cat", f"SELECT unit_id, {_CATEGORY_LIST} AS cats FROM src"), *_language_ctes(O.DOCUMENTS)],
+               "SELECT cat.unit_id, CASE WHEN p >= 0.7 THEN lang ELSE 'unknown' END AS detected_language, coalesce(p >= 0.7 AND lang NOT IN ('en', 'nb', 'no', 'nn'), false) "
+               "AS language_warning, array_to_string(cats, ';') AS categories, len(cats) > 0 AS review, coalesce(pii_found, '{}') AS pii_found, "
+               "coalesce(total, 0) AS total_replacements, 'success' AS status, 'u' || cat.unit_id || '.txt' AS input_file, '/in/u' || cat.unit_id || '.txt' AS input_path, "
+               "'/out/u' || cat.unit_id || '.txt' AS output_path, CAST(NULL AS VARCHAR) AS error FROM cat JOIN top USING (unit_id) LEFT JOIN found USING (unit_id)"))
 def audit_records_language(spark, folder):
     docs = documents(spark, folder)
     found = language.detect_language(docs, _profiles(spark, folder), doc="unit_id")

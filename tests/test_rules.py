@@ -108,3 +108,48 @@ def test_lexicon_from_files(spark, tmp_path):
     assert lexicon.names == {"Zebulon", "Ida-Bente"} and "soverom" in lexicon.denied
     with pytest.raises(ValueError):
         Lexicon(names=frozenset(str(i) for i in range(30_000)))
+
+
+def test_digit_patterns_need_a_digit():
+    """What the short view around digits leaves out can't hold a hit of these."""
+    from re import _parser as parser
+
+    from sladd.rules.detectors import DETECTORS
+
+    def needs(tree):
+        for op, arg in tree:
+            name = str(op)
+            if name == "IN" and all(str(k) == "CATEGORY" and str(v) == "CATEGORY_DIGIT" or str(k) == "RANGE" and 48 <= v[0] <= v[1] <= 57
+                                    or str(k) == "LITERAL" and 48 <= v <= 57 for k, v in arg):
+                return True
+            if name == "LITERAL" and 48 <= arg <= 57:
+                return True
+            if name == "BRANCH" and all(needs(x) for x in arg[1]):
+                return True
+            if name == "SUBPATTERN" and needs(arg[-1]):
+                return True
+            if name == "MAX_REPEAT" and arg[0] > 0 and needs(arg[2]):
+                return True
+        return False
+
+    for d in DETECTORS:
+        for p in d.patterns if d.scope == "digits" else ():
+            assert needs(parser.parse(p.regex)), p.regex
+
+
+def test_addresses_far_from_digits_and_long_local_parts(spark, texts):
+    from sladd.plans.analyze import anonymize
+    from sladd.rules.detectors import BY_KEY
+
+    df = texts("dead::beef", "ord " * 200 + "1 x", "1 x " * 300 + "ord " * 100 + "dead::beef", "w" * 80 + "@x.no", "a@b.com.x@y.no")
+    out = anonymize(df, detectors=[BY_KEY["ip"], BY_KEY["ip6"], BY_KEY["email"]]).orderBy("unit_id").collect()
+    assert [r.n for r in out] == [1, 0, 1, 1, 2] and out[3].redacted == "[EMAIL]"
+
+
+def test_header_goldens():
+    from sladd.operators.tables import header_placeholder as p
+
+    want = {"Fødselsnummer": "[FØDSELSNUMMER]", "fullt navn": "[NAME]", "Mobil": "[PHONE]", "e-post": "[EMAIL]", "Gateadr.": "[ADDRESS]", "Post nr": "[ADDRESS]",
+            "by": "[ADDRESS]", "født": "[DATE_OF_BIRTH]", "Konto": "[ACCOUNT_NUMBER]", "org.nr": "[ORGNUMMER]", "kortnr": "[CREDIT_CARD]", "ip-adresse": "[ADDRESS]",
+            "ansattnr": "[SENSITIVE_DATA]", "diagnose": "[HEALTH_INFO]", "dna": "[SENSITIVE_DATA]", "merknad": None, "": None}
+    assert {h: p(h) for h in want} == want
