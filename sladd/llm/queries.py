@@ -162,3 +162,29 @@ def op10_suffix_dedup(spark, sf_dir):
 def op6_jaccard_join(spark, sf_dir):
     """Near-duplicate class and number of links of every document: five-word shingles, similarity 0.8 or more."""
     return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g AS a JOIN g AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
+reach(x, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT link.y, reach.r FROM reach JOIN link USING (x)),
+class AS (SELECT x AS doc_id, min(r) AS class_id FROM reach GROUP BY x),
+links AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n, 0) AS n_shingles
+FROM documents JOIN class USING (doc_id) LEFT JOIN links USING (doc_id) LEFT JOIN n USING (doc_id)""".replace("LOWERED", SQL_LOWER.format("coalesce(text, '')"))
+
+ORACLES["op10_suffix_dedup"] = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM b, unnest(range(0, n - 99)) AS u(p)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
+step AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS fresh FROM later),
+run AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS e FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM step) GROUP BY doc_id, k),
+cut AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+kept AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front
+  FROM cut JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM b LEFT JOIN kept USING (doc_id)"""
