@@ -21,7 +21,7 @@ MEDIA = (
 # Fields that may name people or organisations.
 METADATA_FIELDS = ("author", "creator", "last_modified_by", "company", "manager", "subject", "keywords", "category",
                    "comments", "description", "identifier", "producer")
-_META = r"(?is)<meta\b[^>]*\bname\s*=\s*[\"']?(?:" + "|".join(METADATA_FIELDS) + r")\b[^>]*>"
+_META = r"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']?(?:[a-z]+:)?(?:" + "|".join(METADATA_FIELDS) + r")\b[^>]*>"
 _TITLE = r"(?is)(<title\b[^>]*>).*?(</title>)"
 
 

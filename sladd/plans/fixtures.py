@@ -150,7 +150,7 @@ SELECT page_id, html || CASE page_id % 6
   WHEN 0 THEN '<img src="a.png"><p>x</p><img src="b.gif">' WHEN 1 THEN '<video src="v.mp4"></video>'
   WHEN 2 THEN '<audio src="s.mp3"></audio>' WHEN 3 THEN '<p>a <del>gammel</del><ins>ny</ins> b</p>'
   WHEN 4 THEN '<p>Kari Olsen, tlf 91 23 45 67, kari@example.com</p>'
-  ELSE '<object data="o.bin"></object><meta name="author" content="Kari Olsen">' END AS html FROM {pages}"""
+  ELSE '<object data="o.bin"></object><meta name="author" content="Kari Olsen"><meta property="article:author" content="Ola"><meta property="og:url" content="u">' END AS html FROM {pages}"""
 
 
 def _cases(values, quote=True):
