@@ -34,6 +34,7 @@ MARK = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)")
 #: Element kinds of HTML, and names that markup gives to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -47,6 +48,13 @@ NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising spo
                         "social related recommended newsletter subscribe signup login popup modal overlay widget toolbar pagination pager skip".split())
 
 
+#: Names under which even an article is none of the page, and words that turn a name into one of layout, as in ``has-sidebar``.
+FIRM_NAMES = frozenset("comment comments reply replies disqus related recommended sponsored ad ads promo".split())
+LAYOUT = frozenset("has with no without free layout".split())
+#: Kinds of noise: none, by a name that may also be that of a wrapper, for certain.
+NONE, NAMED, FIRM = range(3)
+
+
 class Node:
     __slots__ = ("parent", "tag", "path", "noise", "inside", "named", "kids")
 
@@ -54,21 +62,25 @@ class Node:
         self.parent, self.tag, self.path, self.noise, self.inside, self.named, self.kids = parent, tag, path, noise, inside, named, []
 
 
-def names_of(attributes: str) -> tuple[list[str], str]:
-    """Words of class and id, and the role."""
-    found, role = [], ""
+def names_of(attributes: str) -> tuple[list[str], str, int]:
+    """Words of class and id, the role, and the kind of noise that they name."""
+    found, role, noise = [], "", NONE
     for kind, a, b, c in NAMES.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "role":
             role = value.strip()
-        else:
-            found += [w for w in re.split(r"[^a-z0-9]+", value) if w]
-    return found, role
+            continue
+        for name in value.split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            found += words
+            if not LAYOUT.intersection(words):
+                noise = max(noise, FIRM if FIRM_NAMES.intersection(words) else NAMED if NOISE_NAMES.intersection(words) else NONE)
+    return found, role, noise
 
 
 def parse(page: str) -> list[tuple[Node | None, str | None]]:
     """The page as a list of events: a text with its node, or a node with None at a block's edge."""
-    root = Node(None, "", "", False, None, False)
+    root = Node(None, "", "", NONE, None, False)
     stack, events, at = [root], [], 0
 
     def text(raw):
@@ -115,14 +127,19 @@ def parse(page: str) -> list[tuple[Node | None, str | None]]:
                     close_to(i)
                     break
         parent, attributes = stack[-1], m.group(4)
-        named, role = names_of(attributes) if "=" in attributes else ([], "")
+        named, role, noise = names_of(attributes) if "=" in attributes else ([], "", NONE)
         inside = parent.inside or (tag if tag in ("article", "main") else None)
         if tag == "article":
             inside = "article"
-        noise = (parent.noise or tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes and re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)", attributes) is not None
-                 or any(w in NOISE_NAMES for w in named) and tag not in ("html", "body", "article", "main")
-                 or tag in ("article",) and any(w in ("comment", "comments", "reply", "ad", "ads", "sponsored", "related") for w in named)
-                 or not parent.inside and (tag == "header" or "header" in named and tag not in ("html", "body", "article", "main")))
+        if tag in ("html", "body", "article", "main") and noise == NAMED or tag in ("html", "body"):
+            noise = NONE
+        if tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes and HIDDEN.search(attributes):
+            noise = FIRM
+        if not parent.inside and (tag == "header" or "header" in named and tag not in ("html", "body", "article", "main")):
+            noise = max(noise, NAMED)
+        # a wrapper that is named after a sidebar or menu doesn't make the article in it one
+        if not (tag in ("article", "main") and parent.noise == NAMED):
+            noise = max(noise, parent.noise)
         node = Node(parent, tag, f"{parent.path}/{tag}" + ("." + ".".join(named) if named else ""), noise, inside, bool(named))
         parent.kids.append(tag)
         if tag in BLOCK:

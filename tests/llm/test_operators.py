@@ -263,6 +263,9 @@ class TestHtml:
     def test_odd_markup(self):
         assert self.text("") == "" and self.text("plain & simple < 3") == "plain & simple < 3"
         assert self.text("<nav>menu<article><p>kept</article>") == "kept"
+        assert self.text("<body class='no-sidebar'><div class='content-sidebar-wrap'><main><p>kept</main><div class=sidebar>gone</div></div>") == "kept"
+        assert self.text("<div class='has-sidebar'><p>kept</p><div class='site-footer'>gone</div></div>") == "kept"
+        assert self.text("<article>kept<div id=comments><article>gone</article></div></article><div class=related><article>gone</article></div>") == "kept"
         assert self.text("<p title='a>b'>x</p><p>y") == "x\n\ny" and self.text("<script>never closed <p>x") == ""
         assert self.text("<div><p>" + "w " * 100_000 + "</div>") == ("w " * 100_000).strip()
 
