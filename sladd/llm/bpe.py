@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -51,21 +52,17 @@ def _chunks(n_buckets, limit):
     """Chunk rows: bucket -1 holds documents, positions and the bucket of each distinct word; the others the words of one bucket."""
 
     def flush(keys, texts, number):
-        ids: dict[bytes, int] = {}
-        counts, found = [], []
-        for text in texts:
-            words = text.split()
-            counts.append(len(words))
-            found.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
-        seen = np.concatenate(found)
-        often = np.bincount(seen, minlength=len(ids)).tolist()
-        words = sorted(ids, key=lambda w: (-often[ids[w]], w))  # frequent words get small numbers
-        rank = np.empty(len(words), np.int64)
-        rank[[ids[w] for w in words]] = np.arange(len(words))
+        split = [text.split() for text in texts]
+        counts, often = [len(words) for words in split], Counter(chain.from_iterable(split))
+        words = sorted(often)
+        # frequent words get small numbers
+        words = [words[i] for i in np.argsort(-np.fromiter(map(often.__getitem__, words), np.int64, len(words)), kind="stable").tolist()]
+        rank = dict(zip(words, range(len(words))))
+        places = np.fromiter(map(rank.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
         bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         doc_ids = np.array([NO_ID if k is None else k for k in keys], np.int64)
-        places = packed(rank[seen])
+        places = packed(places)
         name = f"{TaskContext.get().partitionId()}-{number}"
         rows = [(name, -1, doc_ids.tobytes(), np.array(counts, np.int64).tobytes(), places, packed(bucket))]
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
