@@ -4,13 +4,14 @@ The pages of a host are merged into one tree whose nodes are tag paths with clas
 many pages show it in which style (sequence of child tags) and with which content. A node's importance is
 ``(1 - GAMMA) * style + GAMMA * content``: style is the entropy of its styles to the base of its pages, content is one minus
 the mean entropy of its texts over the pages, so what repeats from page to page is unimportant. Branches below
-``LEAST_IMPORTANCE`` are removed from each page. Two priors complete the tree: nodes that markup names as menus, adverts,
+``LEAST_IMPORTANCE`` are removed from each page. Pages of a host whose nodes have equal styles and texts are copies and count as
+one page, so a page isn't boilerplate for being copied. Two priors complete the tree: nodes that markup names as menus, adverts,
 forms and the like have importance zero on any page, and ``article`` or ``main`` is the content, of which only branches
 with a class or an id of their own are judged. Counts are summed before the shuffle, so a hot host costs a row for each
-distinct node text, and no host's pages meet in one task.
+distinct node text; only the copies of a page, one from each task, meet in one task.
 
 Cases: null or empty html gives an empty text; a page that is alone on its host, or whose node is on fewer than
-``LEAST_PAGES`` pages, loses only what markup names; unclosed tags end with their parent; a null URL has the empty host;
+``LEAST_PAGES`` distinct pages, loses only what markup names; unclosed tags end with their parent; a null URL has the empty host;
 repeated rows are extracted each; an empty table gives no rows; other columns are not read.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import short_batches, text_bytes, written
+from sladd.llm.common import parts, short_batches, text_bytes, written
 from sladd.llm.url_filter import address
 
 GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.25, 3
@@ -153,17 +154,11 @@ def parse(page: str) -> list[tuple[Node | None, str | None]]:
 
 
 def _pages(batches):
-    """Counts of one task: host, node, kind (0 style, 1 content), digest, pages."""
-    held: Counter = Counter()
-
-    def flush():
-        keys = list(held)
-        out = pa.record_batch([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))]
-                              + [pa.array(list(held.values()), pa.int64())], names=["host", "node", "kind", "digest", "pages"])
-        held.clear()
-        return out
-
+    """Each distinct page of a host in one task: host, digest, and its nodes with the digests of style and content."""
+    held: set = set()
+    names = ["host", "page", "nodes", "styles", "contents"]
     for batch in batches:
+        out = []
         for host, page in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
             nodes: dict[str, tuple[list, dict]] = {}
             for node, text in parse(page.decode()):
@@ -174,18 +169,50 @@ def _pages(batches):
                         texts.append(text)
                         same[id(node)] = node
                     node = node.parent
-            for path, (texts, same) in nodes.items():
-                style = "|".join(",".join(n.kids) for n in same.values())
-                for kind, value in enumerate((style, "\x00".join(texts))):
-                    held[host, path, kind, xxhash.xxh3_64_intdigest(value) - (1 << 63)] += 1
+            paths = sorted(nodes)
+            styles = [xxhash.xxh3_64_intdigest("|".join(",".join(n.kids) for n in nodes[p][1].values())) - (1 << 63) for p in paths]
+            contents = [xxhash.xxh3_64_intdigest("\x00".join(nodes[p][0])) - (1 << 63) for p in paths]
+            digest = xxhash.xxh3_128_digest(repr((paths, styles, contents)))
+            if paths and (host, digest) not in held:
+                if len(held) > 1_000_000:  # the copies that pass are found after the shuffle
+                    held.clear()
+                held.add((host, digest))
+                out.append((host, digest, paths, styles, contents))
+        kinds = pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())
+        yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+
+
+def _counts(batches):
+    """Counts of one task: host, node, kind (0 style, 1 content), digest, pages; all copies of a page meet here and count once."""
+    held: Counter = Counter()
+    known: set = set()
+
+    def flush():
+        keys = list(held)
+        out = pa.record_batch([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))]
+                              + [pa.array(list(held.values()), pa.int64())], names=["host", "node", "kind", "digest", "pages"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for host, digest, *nodes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if (host, digest) in known:
+                continue
+            known.add((host, digest))
+            for path, style, content in zip(*nodes):
+                held[host, path, 0, style] += 1
+                held[host, path, 1, content] += 1
             if len(held) > 100_000:
                 yield flush()
     yield flush()
 
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, node, pages, importance`` of the site style trees."""
-    seen = short_batches(pages).select(address(F.col(url))[0].alias("host"), F.col(html)).mapInArrow(_pages, "host string, node string, kind int, digest long, pages long")
+    """``host, node, pages, importance`` of the site style trees; ``pages`` are distinct ones."""
+    spark = pages.sparkSession
+    each = short_batches(pages).select(address(F.col(url))[0].alias("host"), F.col(html)).mapInArrow(
+        _pages, "host string, page binary, nodes array<string>, styles array<long>, contents array<long>")
+    seen = each.repartition(parts(spark), "host", "page").mapInArrow(_counts, "host string, node string, kind int, digest long, pages long")
     styles = seen.groupBy("host", "node", "kind", "digest").agg(F.sum("pages").alias("c"))
     nodes = styles.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"),

@@ -278,6 +278,19 @@ class TestHtml:
         assert got == sorted(want, key=repr)
         assert html_extract.extract(pages.limit(0), ["page_id"]).count() == 0
 
+    def extracted(self, spark, rows):
+        pages = spark.createDataFrame([(i, "http://one.net/%d" % i, h) for i, h in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+        return [r.text for r in html_extract.extract(pages, ["page_id"]).orderBy("rest.page_id").select("text").collect()]
+
+    @pytest.mark.parametrize("groups, copies", [(1, 3), (1, 40), (2, 60), (5, 60)])
+    def test_copies_are_one_page(self, spark, groups, copies):
+        page = "<html><body><div class=text><p>Own text %d</p></div><article class=post><p>Article %d</p></article><script>var nonce=%d</script></body></html>"
+        rows = [page % (g, g, c) for g in range(groups) for c in range(copies)]
+        texts = self.extracted(spark, rows)
+        assert all("Own text %d" % g in texts[g * copies + c] or "Article %d" % g in texts[g * copies + c] for g in range(groups) for c in range(copies))
+        rows = ["<html><body><div class=text><p>Own text %d</p></div></body></html>" % (i // copies) for i in range(groups * copies)]
+        assert self.extracted(spark, rows) == ["Own text %d" % (i // copies) for i in range(groups * copies)]
+
     def test_generated_pages(self, spark):
         import html
         import re
