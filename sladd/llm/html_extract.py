@@ -35,7 +35,9 @@ MARK = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"hidden|none", re.I)
+UNSEEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 #: Element kinds of HTML, and names that markup gives to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -79,6 +81,15 @@ def names_of(attributes: str) -> tuple[list[str], str, int]:
     return found, role, noise
 
 
+def hidden(attributes: str) -> bool:
+    """Whether the element itself is hidden; the words of class and other attributes decide nothing."""
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and UNSEEN_STYLE.search(value):
+            return True
+    return False
+
+
 def parse(page: str) -> list[tuple[Node | None, str | None]]:
     """The page as a list of events: a text with its node, or a node with None at a block's edge."""
     root = Node(None, "", "", NONE, None, False)
@@ -134,7 +145,7 @@ def parse(page: str) -> list[tuple[Node | None, str | None]]:
             inside = "article"
         if tag in ("html", "body", "article", "main") and noise == NAMED or tag in ("html", "body"):
             noise = NONE
-        if tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes and HIDDEN.search(attributes):
+        if tag in NOISE_TAGS or role in NOISE_ROLES or UNSEEN.search(attributes) and hidden(attributes):
             noise = FIRM
         if not parent.inside and (tag == "header" or "header" in named and tag not in ("html", "body", "article", "main")):
             noise = max(noise, NAMED)

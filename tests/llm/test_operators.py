@@ -269,6 +269,12 @@ class TestHtml:
         assert self.text("<p title='a>b'>x</p><p>y") == "x\n\ny" and self.text("<script>never closed <p>x") == ""
         assert self.text("<div><p>" + "w " * 100_000 + "</div>") == ("w " * 100_000).strip()
 
+    def test_hidden(self):
+        for kept in ('class="overflow-hidden"', 'style="overflow:hidden"', "class='x hidden-xs'", 'hidden="false"', 'aria-hidden="false"', 'data-x="a hidden b"', "style='border:none'"):
+            assert self.text(f"<div {kept}><article>kept</article></div>") == "kept", kept
+        for gone in ("hidden", "class=x HIDDEN", 'hidden=""', 'aria-hidden="true"', "aria-hidden=true", 'style="display: none"', 'style="color:red;visibility:hidden;"', "style=DISPLAY:NONE"):
+            assert self.text(f"<div {gone}><p>gone</p></div><p>kept</p>") == "kept", gone
+
     def test_site_style_tree(self, spark):
         page = "<html><body><div class='top'>Always the same</div><div class='text'><p>Own text %d</p></div></body></html>"
         rows = [(i, "http://one.net/%d" % i, page % i) for i in range(8)] + [(20, "http://alone.net/", page % 20), (21, None, None), (22, "x", "<article>a</article>"), (0, "http://one.net/0", page % 0)]
