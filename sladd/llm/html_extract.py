@@ -6,8 +6,8 @@ many pages show it in which style (sequence of child tags) and with which conten
 the mean entropy of its texts over the pages, so what repeats from page to page is unimportant. Branches below
 ``LEAST_IMPORTANCE`` are removed from each page. Pages of a host whose nodes have equal styles and texts are copies and count as
 one page, so a page isn't boilerplate for being copied. Two priors complete the tree: nodes that markup names as menus, adverts,
-forms and the like have importance zero on any page, and ``article`` or ``main`` is the content, of which only branches
-with a class or an id of their own are judged. Counts are summed before the shuffle, so a hot host costs a row for each
+forms and the like have importance zero on any page, and ``article`` or ``main`` are likely content, so their branches start
+from the importance ``PRIOR``. What stands beside them stays too, unless markup names it or it is unimportant. Counts are summed before the shuffle, so a hot host costs a row for each
 distinct node text; only the copies of a page, one from each task, meet in one task.
 
 Cases: null or empty html gives an empty text; a page that is alone on its host, or whose node is on fewer than
@@ -29,6 +29,8 @@ from sladd.llm.common import parts, short_batches, text_bytes, written
 from sladd.llm.url_filter import address
 
 GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.25, 3
+#: The share of importance that a branch of an article or main has before its pages are looked at.
+PRIOR = 0.2
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -232,14 +234,13 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     base = F.log(F.col("pages").cast("double"))
     style = (base - F.col("spread") / F.col("pages")) / base
     value = F.when(F.col("pages") > 1, (1 - GAMMA) * style + GAMMA * (1 - F.col("repeat") / base)).otherwise(1.0)
+    value = F.when(F.col("node").rlike(r"/(article|main)([./]|$)"), PRIOR + (1 - PRIOR) * value).otherwise(value)
     return nodes.select("host", "node", "pages", value.alias("importance"))
 
 
 def blocks(page: str, unimportant: frozenset[str]) -> list[str]:
     """Blocks of the main text; ``unimportant`` has the nodes to remove with all below them."""
     events = parse(page)
-    roots = {n.inside for n, t in events if t is not None and n.inside and not n.noise and t.strip()}
-    root = "article" if "article" in roots else "main" if "main" in roots else None
     out, current = [], []
 
     def removed(node):
@@ -255,7 +256,7 @@ def blocks(page: str, unimportant: frozenset[str]) -> list[str]:
             if current:
                 out.append(" ".join("".join(current).split()))
                 current = []
-        elif not node.noise and (root is None or node.inside == root) and not (unimportant and removed(node)):
+        elif not node.noise and not (unimportant and removed(node)):
             current.append(text)
     if current:
         out.append(" ".join("".join(current).split()))

@@ -269,6 +269,11 @@ class TestHtml:
         assert self.text("<p title='a>b'>x</p><p>y") == "x\n\ny" and self.text("<script>never closed <p>x") == ""
         assert self.text("<div><p>" + "w " * 100_000 + "</div>") == ("w " * 100_000).strip()
 
+    def test_beside_articles(self):
+        assert self.text("<main><h1>Title</h1><p>body</p><article>related card</article></main>") == "Title\n\nbody\n\nrelated card"
+        assert self.text("<div class=content><p>body</p></div><article>teaser</article><nav>menu</nav>") == "body\n\nteaser"
+        assert self.text("<div class=content><p>body</p></div><main>more</main><div class=top>same</div>", ["/div.top"]) == "body\n\nmore"
+
     def test_hidden(self):
         for kept in ('class="overflow-hidden"', 'style="overflow:hidden"', "class='x hidden-xs'", 'hidden="false"', 'aria-hidden="false"', 'data-x="a hidden b"', "style='border:none'"):
             assert self.text(f"<div {kept}><article>kept</article></div>") == "kept", kept
