@@ -7,7 +7,8 @@ the mean entropy of its texts over the pages, so what repeats from page to page
 ``LEAST_IMPORTANCE`` are removed from each page. Pages of a host whose nodes have equal styles and texts are copies and count as
 one page, so a page isn't boilerplate for being copied. Two priors complete the tree: nodes that markup names as menus, adverts,
 forms and the like have importance zero on any page, and ``article`` or ``main`` are likely content, so their branches start
-from the importance ``PRIOR``. What stands beside them stays too, unless markup names it or it is unimportant. Counts are summed before the shuffle, so a hot host costs a row for each
+from the importance ``PRIOR``. What stands beside them stays too, unless markup names it or it is unimportant. Where importance
+would leave nothing of a page, its articles and main stay. Counts are summed before the shuffle, so a hot host costs a row for each
 distinct node text; only the copies of a page, one from each task, meet in one task.
 
 Cases: null or empty html gives an empty text; a page that is alone on its host, or whose node is on fewer than
@@ -61,10 +62,10 @@ NONE, NAMED, FIRM = range(3)
 
 
 class Node:
-    __slots__ = ("parent", "tag", "path", "noise", "inside", "named", "kids")
+    __slots__ = ("parent", "tag", "path", "noise", "inside", "kids")
 
-    def __init__(self, parent, tag, path, noise, inside, named):
-        self.parent, self.tag, self.path, self.noise, self.inside, self.named, self.kids = parent, tag, path, noise, inside, named, []
+    def __init__(self, parent, tag, path, noise, inside):
+        self.parent, self.tag, self.path, self.noise, self.inside, self.kids = parent, tag, path, noise, inside, []
 
 
 def names_of(attributes: str) -> tuple[list[str], str, int]:
@@ -94,7 +95,7 @@ def hidden(attributes: str) -> bool:
 
 def parse(page: str) -> list[tuple[Node | None, str | None]]:
     """The page as a list of events: a text with its node, or a node with None at a block's edge."""
-    root = Node(None, "", "", NONE, None, False)
+    root = Node(None, "", "", NONE, None)
     stack, events, at = [root], [], 0
 
     def text(raw):
@@ -154,7 +155,7 @@ def parse(page: str) -> list[tuple[Node | None, str | None]]:
         # a wrapper that is named after a sidebar or menu doesn't make the article in it one
         if not (tag in ("article", "main") and parent.noise == NAMED):
             noise = max(noise, parent.noise)
-        node = Node(parent, tag, f"{parent.path}/{tag}" + ("." + ".".join(named) if named else ""), noise, inside, bool(named))
+        node = Node(parent, tag, f"{parent.path}/{tag}" + ("." + ".".join(named) if named else ""), noise, inside)
         parent.kids.append(tag)
         if tag in BLOCK:
             events.append((node, None))
@@ -177,10 +178,9 @@ def _pages(batches):
             for node, text in parse(page.decode()):
                 text = text and text.strip()
                 while text and node.path:  # a branch has the texts of all below it
-                    if not node.inside or node.named:
-                        texts, same = nodes.setdefault(node.path, ([], {}))
-                        texts.append(text)
-                        same[id(node)] = node
+                    texts, same = nodes.setdefault(node.path, ([], {}))
+                    texts.append(text)
+                    same[id(node)] = node
                     node = node.parent
             paths = sorted(nodes)
             styles = [xxhash.xxh3_64_intdigest("|".join(",".join(n.kids) for n in nodes[p][1].values())) - (1 << 63) for p in paths]
@@ -241,6 +241,10 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def blocks(page: str, unimportant: frozenset[str]) -> list[str]:
     """Blocks of the main text; ``unimportant`` has the nodes to remove with all below them."""
     events = parse(page)
+    return _blocks(events, unimportant) or (_blocks([e for e in events if e[1] is None or e[0].inside], frozenset()) if unimportant else [])
+
+
+def _blocks(events: list, unimportant: frozenset[str]) -> list[str]:
     out, current = [], []
 
     def removed(node):

@@ -302,6 +302,11 @@ class TestHtml:
         rows = ["<html><body><div class=text><p>Own text %d</p></div></body></html>" % (i // copies) for i in range(groups * copies)]
         assert self.extracted(spark, rows) == ["Own text %d" % (i // copies) for i in range(groups * copies)]
 
+    def test_branches_of_articles(self, spark):
+        page = "<body><article><h1>Head %d</h1><p>Own %d</p><ul><li>Always the same</li></ul></article></body>"
+        rows = [page % (i, i) for i in range(6)] + ["<body><article><ul><li>Always the same</li></ul></article></body>"]
+        assert self.extracted(spark, rows) == ["Head %d\n\nOwn %d" % (i, i) for i in range(6)] + ["Always the same"]
+
     def test_generated_pages(self, spark):
         import html
         import re
