@@ -4,7 +4,8 @@ Texts become hashed byte-trigram vectors (letters only, A-Z lower-cased, one spa
 document frequencies counted over all training rows, and scaled to length one. A bounded sample of ``SAMPLE`` rows a language
 (expected size; rows are picked by a hash of the id) is clustered into ``CENTROIDS`` centroids by spherical k-means, one
 Spark group a language. A text takes the language of the centroid with the largest cosine. It is rejected if its distance
-``1 - cosine`` is beyond the radius of that language, which the sample's own distances set.
+``1 - cosine`` is beyond the radius of that language. The radius lies between the rows of the language and those of the others:
+its cosine is the geometric mean of the lowest 2 % of the language's own sample and the highest 5 % of the other languages' rows.
 
 Cases: null texts and texts without letters are ``und`` with score 0 and rejected; ties go to the first language in order;
 rows without a language teach nothing; without any training row every text is ``und``; repeated rows are judged alike.
@@ -19,8 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sladd.llm.common import LOWER, groups, parts, short_batches, text_bytes, written
 
 DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 8192, 1500, 4, 10
-#: A text is rejected if its cosine is below so much of the lowest (0.1 %) cosine in the language's sample.
-SLACK = 0.25
+#: Shares of a language's own rows below, and of the other languages' rows above, the two cosines between which its radius lies.
+OWN, OTHER = 0.02, 0.95
+#: The radius is at least so much of the own cosine, and this where no other language is known.
+SLACK, ALONE = 0.25, 0.5
+#: A centroid of fewer of its language's rows stays only if its cosine with the largest one is above ``FAR``.
+SMALL, FAR = 0.1, 0.7
 TEXTS = 256
 LETTER = LOWER.copy()
 LETTER[:0x41] = LETTER[0x5B:0x61] = LETTER[0x7B:0x80] = 32
@@ -92,15 +97,44 @@ def _cluster(idf):
                 if (own == k).any():
                     m = v[own == k].mean(0)
                     c[k] = m / max(np.linalg.norm(m), 1e-9)
-        c = c[np.bincount(own, minlength=len(c)) >= max(1, len(v) // 100)] if len(c) > 1 else c
-        low = [float(np.quantile((v @ c.T).max(1), 0.001))] * len(c)
+        if len(c) > 1:  # a small centroid far from the largest is made of rows with a wrong label
+            n = np.bincount((v @ c.T).argmax(1), minlength=len(c))
+            c = c[(n > 0) & ((n >= SMALL * len(v)) | (c @ c[n.argmax()] > FAR))]
         lang = rows.column("lang")[0].as_py()
         return pa.table({"lang": pa.array([lang] * len(c), pa.string()), "k": pa.array(range(len(c)), pa.int32()),
-                         "centre": pa.array([x.astype(np.float32).tobytes() for x in c], pa.binary()), "low": pa.array(low, pa.float64())})
+                         "centre": pa.array([x.astype(np.float32).tobytes() for x in c], pa.binary())})
 
     return run
 
 
+def _cosines(langs, centres, idf):
+    """The largest cosine of every sampled row with the centroids of each language."""
+    names = sorted(set(langs))
+
+    def run(batches):
+        for batch in batches:
+            found = np.zeros((batch.num_rows, DIMENSIONS), np.int32)
+            for i, (codes, times) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found[i, np.frombuffer(codes, np.uint16)] = np.frombuffer(times, np.int32)
+            near = weighted(found, idf) @ centres.T
+            own = batch.column(0).to_pylist()
+            rows = [(name, own[i] == name, float(x)) for name in names for i, x in enumerate(near[:, [k for k, at in enumerate(langs) if at == name]].max(1))]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.float64()))], names=["lang", "own", "cosine"])
+
+    return run
+
+
+def radii(sample: DataFrame, langs: list[str], centres: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The least cosine of each centroid's language."""
+    each = sample.select("lang", "a", "b").mapInArrow(_cosines(langs, centres, idf), "lang string, own boolean, cosine double")
+    at = each.groupBy("lang").agg(F.percentile(F.when(F.col("own"), F.col("cosine")), OWN).alias("own"),
+                                  F.percentile(F.when(~F.col("own"), F.col("cosine")), OTHER).alias("other"))
+    low = {}
+    for lang, own, other in at.collect():
+        low[lang] = own * ALONE if other is None else min(own, max(own * SLACK, float(np.sqrt(own * max(other, 0.0)))))
+    return np.array([low[k] for k in langs])
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE):
     """``(langs, centres, lows, idf)`` from the rows given; at most a few vectors a language reach the driver."""
     spark = docs.sparkSession
@@ -114,10 +148,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     sums = learnt.filter("kind = 0").select("a", "b").repartition(min(64, parts(spark))).mapInArrow(_add, "df binary, n long").collect()
     df, n = sum(np.frombuffer(r.df, np.int64) for r in sums), sum(r.n for r in sums)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1e-3)
-    model = learnt.filter("kind = 1").groupBy("lang").applyInArrow(_cluster(idf), "lang string, k int, centre binary, low double")
+    model = learnt.filter("kind = 1").groupBy("lang").applyInArrow(_cluster(idf), "lang string, k int, centre binary")
     rows = sorted(model.collect(), key=lambda r: (r.lang, r.k))
     centres = np.stack([np.frombuffer(r.centre, np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), np.float32)
-    return [r.lang for r in rows], centres, np.array([r.low for r in rows]), idf
+    langs = [r.lang for r in rows]
+    return langs, centres, radii(learnt.filter("kind = 1"), langs, centres, idf) if langs else np.zeros(0), idf
 
 
 def has_letter(text: bytes) -> bool:
@@ -146,7 +181,7 @@ def _predict(model):
                     score = float(min(1.0, max(0.0, near[i - a, k])))
                     names.append(langs[k])
                     scores.append(score)
-                    bad.append(score < SLACK * lows[k])
+                    bad.append(score < lows[k])
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())],
                                   names=["rest", "lang_pred", "score", "rejected"])
 

@@ -197,6 +197,18 @@ class TestLanguage:
         assert {r[0] for r in language_id.identify(docs(rows), none, ["doc_id"]).select("lang_pred").collect()} == {"und"}
 
 
+    @pytest.mark.parametrize("left_out", ["de", "en"])
+    def test_left_out_language_and_junk(self, spark, docs, left_out):
+        rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+        model = language_id.train(rows.filter(~language_id.held_out() & (F.col("lang") != left_out)))
+        out = language_id.identify(rows.filter(language_id.held_out()), model, ["doc_id", "lang"])
+        other, own = out.agg(F.avg(F.when(F.col("rest.lang") == left_out, F.col("rejected").cast("int"))), F.avg(F.when(F.col("rest.lang") != left_out, F.col("rejected").cast("int")))).first()
+        assert other > 0.9 and own < 0.03
+        rng = random.Random(3)
+        junk = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.choice((5, 10, 30, 100, 300))))) for i in range(200)]
+        assert language_id.identify(docs(junk), model, ["doc_id"]).agg(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.95
+
+
 class TestUrls:
     def test_addresses_and_list(self, spark):
         urls = [None, "", "no scheme.org/x", "http://WWW.Example.org/en/12?x=http://a.com/de/", "ftp://example.org", "https://xexample.org/es/", "s://a.com/de/x#y", "s://com/fr/", "s://a.com?/de/",
