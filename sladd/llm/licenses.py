@@ -6,6 +6,11 @@ allow the threshold: ``2 min(a, b) / (a + b) >= threshold``. Before that, units
 markers of a template cover so many of its bigrams that a unit without all of them cannot reach the threshold, so no match is lost.
 The few units that are left meet the templates by their bigrams in a broadcast table of fixed size; only ids are shuffled.
 
+A notice inside a unit or over several units is found by word windows as long as a template: for each licence that no unit of
+the text gives, the windows of the whole text that begin with one of the template's bigrams, or end with the text, are compared
+in the same way. A window that reaches the threshold has at least ``t b / (2 - t)`` bigrams of the template, so only such windows
+are read. Each licence that is found so counts as one unit more. Only texts with such a window are shuffled.
+
 Cases: null, empty and one-word texts match nothing; the best unit counts, ties go to the first template; a notice that is
 repeated counts once; repeated rows are judged each; an empty table gives no rows; other columns are not read.
 """
@@ -18,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sladd.llm.common import fingerprint
+from sladd.llm.common import fingerprint, written
 
 THRESHOLD = 0.8
 #: Names and texts of public licence notices.
@@ -98,6 +103,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     has = lambda words: F.arrays_overlap(F.split(words, " "), marked)
     base = docs.select(F.col(key).alias("id"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
     norm = base.select("id", "fp", normalised(F.col("text")).alias("norm")).filter(has(F.translate("norm", "\n", " ")))
+    norm = written(norm)  # texts with a marker word, which are read three times
     cut = F.concat(F.split("norm", "\n"), F.split("norm", r"\n ?(?:\n ?)+"), F.array("norm"))
     units = norm.select("id", "fp", F.explode(cut).alias("unit")).select("id", "fp", F.trim(F.regexp_replace("unit", r"[ \n]+", " ")).alias("unit"))
     units = units.filter(has("unit")).distinct()
@@ -113,7 +119,40 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     open_ = grams.withColumn("n", F.size("grams")).filter(possible).select("id", "fp", "unit", "n", F.explode("grams").alias("gram"))
     met = open_.join(postings, "gram").filter(bounds).groupBy("id", "fp", "unit", "n", "at", "license", "b").agg(F.count("*").alias("both"))
     scored = met.withColumn("dice", 2.0 * F.col("both") / (n + b)).filter(F.col("dice") >= threshold)
-    best = scored.groupBy("id", "fp").agg(F.max(F.struct("dice", -F.col("at"), "license")).alias("top"), F.countDistinct("unit").alias("n_units"))
+    scored = scored.select("id", "fp", "unit", "at", "license", "dice")
+    inner = _windows(norm, scored, templates, threshold)
+    best = scored.unionByName(inner).groupBy("id", "fp").agg(F.max(F.struct("dice", -F.col("at"), "license")).alias("top"), F.countDistinct("unit").alias("n_units"))
     ids = base.select("id", "fp").alias("d")
     out = ids.join(best.alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")) & (F.col("d.fp") == F.col("m.fp")), "left")
     return out.select(F.col("d.id").alias(key), F.col("top.license").alias("license"), F.col("top.dice").alias("dice"), F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"))
+
+
+def _windows(norm: DataFrame, scored: DataFrame, templates, threshold: float) -> DataFrame:
+    """``id, fp, unit, at, license, dice`` of the best window of each licence that no unit in ``scored`` gives."""
+    spark = norm.sparkSession
+    rows = [(at, name, max(1, len(plain_words(body)) - 1), bigrams(body)) for at, (name, body) in enumerate(templates)]
+    # a fixed table of some twenty rows; ``long`` is the length of a window in bigrams
+    known = F.broadcast(spark.createDataFrame(rows, "at int, license string, long int, own array<string>"))
+    postings = F.broadcast(known.select("at", "license", "long", F.size("own").alias("b"), F.explode("own").alias("gram")))
+    w = F.filter(F.split(F.translate("norm", "\n", " "), " "), lambda x: x != "")
+    pairs = norm.select("id", "fp", w.alias("w")).filter(F.size("w") > 1)
+    grams = pairs.select("id", "fp", F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)).alias("grams"))
+    each = grams.select("id", "fp", F.size("grams").alias("n"), F.posexplode("grams").alias("p", "gram"))
+    met = each.join(postings, "gram").filter(F.col("n") >= F.col("long"))
+    met = met.groupBy("id", "fp", "n", "at", "license", "long", "b").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    need = F.lit(threshold / (2 - threshold)) * F.col("b") - 1e-9
+    met = met.filter(F.size("ps") >= need)
+    # the k-th position from a start tells whether its window has enough of the template's bigrams
+    k = F.ceil(need).cast("int")
+    first = F.transform(F.slice("ps", 1, F.greatest(F.lit(0), F.size("ps") - k + 1)), lambda p, i: F.when(F.element_at("ps", i + k) < p + F.col("long"), F.least(p, F.col("n") - F.col("long"))))
+    met = met.withColumn("starts", F.array_distinct(F.filter(first, lambda x: x.isNotNull()))).filter(F.size("starts") > 0)
+    found = scored.select(F.col("id").alias("i"), F.col("fp").alias("f"), F.col("license").alias("l")).distinct()
+    met = met.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f")) & (F.col("license") == F.col("l")), "left_anti")
+    met = met.select(F.col("id").alias("i"), F.col("fp").alias("f"), "at", "starts")
+    # repeated rows have the same windows and are one text here
+    open_ = grams.join(met, F.col("id").eqNullSafe(F.col("i")) & (F.col("fp") == F.col("f"))).select("id", "fp", "grams", "at", F.explode("starts").alias("start"))
+    cut = open_.join(known, "at").select("id", "fp", "at", "license", "own", F.array_distinct(F.slice("grams", F.col("start") + 1, F.col("long"))).alias("cut"))
+    dice = 2.0 * F.size(F.array_intersect("cut", "own")) / (F.size("cut") + F.size("own"))
+    good = cut.select("id", "fp", "at", "license", dice.alias("dice")).filter(F.col("dice") >= threshold)
+    top = good.groupBy("id", "fp", "license").agg(F.max(F.struct("dice", -F.col("at"))).alias("top"))
+    return top.select("id", "fp", F.concat(F.lit("\n"), F.col("license")).alias("unit"), (-F.col("top.col2")).alias("at"), "license", F.col("top.dice").alias("dice"))
