@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_dedup, suffix_dedup, url_filter
+from sladd.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, licenses, line_dedup, resample, sentencepiece_bpe, suffix_dedup, url_filter, whitening
 from sladd.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +188,54 @@ kept AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, ma
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM b LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op11_resample(spark, sf_dir):
+    """A tenth of the documents with 20 words or more, drawn by importance for the benchmark's distribution of words."""
+    out = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 bit by bit, once for each distinct word.
+ORACLES["op11_resample"] = r"""
+WITH doc AS (SELECT doc_id, coalesce(regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+goal AS (SELECT unnest(regexp_extract_all(LOWERED, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+word AS (SELECT row_number() OVER () AS r, doc_id, u AS w FROM doc, unnest(w) AS x(u)),
+spelled AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM word UNION SELECT w FROM goal)),
+crc AS (SELECT w, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
+    lambda c, b: list_reduce(range(8),
+      lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) % 10000 AS b FROM spelled),
+raw AS (SELECT b, count(*) AS s FROM word JOIN crc USING (w) GROUP BY b),
+want AS (SELECT b, count(*) AS t FROM goal JOIN crc USING (w) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM word)::DOUBLE AS s, (SELECT count(*) FROM goal)::DOUBLE AS t),
+gain AS (SELECT b, floor(1000 * ln((coalesce(want.t, 0)::DOUBLE + 1) * (total.s + 10000) / ((raw.s::DOUBLE + 1) * (total.t + 10000))))::BIGINT AS g
+  FROM raw LEFT JOIN want USING (b), total),
+mean AS (SELECT doc_id, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM word JOIN crc USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM doc LEFT JOIN mean USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)""".replace("LOWERED", SQL_LOWER.format("coalesce(text, '')"))
+
+
+@query
+def op12_sentencepiece(spark, sf_dir):
+    """Ids and decoded text of every document under the piece vocabulary, as digests."""
+    out = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    """Whitened coordinates of every clean vector on 32 directions, with the checks of the fit."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    white = whitening.whiten(vectors, model)
+    error = whitening.identity_error(white, model)
+    shares = F.array(*[F.lit(float(e)) for e in (model.explained if model else ())]).cast("array<double>")
+    rows = white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else None).cast("long").alias("n"),
+                       F.col("deviation").try_cast("long").alias("deviation"), "whitened", F.get(shares, "at").alias("explained"),
+                       F.lit(error).cast("double").alias("identity_error"))
