@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -26,10 +25,12 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import bucketed, packed, parts, short_batches, text_bytes, unpacked
+from sladd.llm.common import bucketed, gather, packed, parts, short_batches, unpacked
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: Words whose ids and texts are put in place at a time.
+PLACED_WORDS = 1 << 17
 #: Stands for a null id inside a chunk.
 NO_ID = -(1 << 63)
 CHUNK = "chunk string, bucket int, docs binary, counts binary, places binary, body binary"
@@ -51,38 +52,47 @@ def _record(rows, schema):
 def _chunks(n_buckets, limit):
     """Chunk rows: bucket -1 holds documents, positions and the bucket of each distinct word; the others the words of one bucket."""
 
-    def flush(keys, texts, number):
-        split = [text.split() for text in texts]
-        counts, often = [len(words) for words in split], Counter(chain.from_iterable(split))
-        words = sorted(often)
-        # frequent words get small numbers
-        words = [words[i] for i in np.argsort(-np.fromiter(map(often.__getitem__, words), np.int64, len(words)), kind="stable").tolist()]
-        rank = dict(zip(words, range(len(words))))
-        places = np.fromiter(map(rank.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        doc_ids = np.array([NO_ID if k is None else k for k in keys], np.int64)
-        places = packed(places)
+    def flush(keys, counts, places, number, index):
+        words = list(index)
+        places = np.concatenate(places) if places else np.zeros(0, np.int64)
+        # frequent words get small numbers, equally frequent ones by name
+        often = np.bincount(places, minlength=len(words))
+        order = sorted(range(len(words)), key=words.__getitem__)
+        order = np.array(order, np.int64)[np.argsort(-often[order], kind="stable")] if words else np.zeros(0, np.int64)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) % n_buckets for i in order.tolist()), np.int64, len(words))
+        by_bucket = np.argsort(bucket, kind="stable")
         name = f"{TaskContext.get().partitionId()}-{number}"
-        rows = [(name, -1, doc_ids.tobytes(), np.array(counts, np.int64).tobytes(), places, packed(bucket))]
-        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        doc_ids = np.array([NO_ID if k is None else k for k in keys], np.int64)
+        yield _record([(name, -1, doc_ids.tobytes(), np.array(counts, np.int64).tobytes(), packed(rank[places]), packed(bucket))], CHUNK)
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(n_buckets + 1))
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            rows.append((name, b, None, None, None, squeeze(b"\n".join([words[i] for i in order[cuts[b] : cuts[b + 1]].tolist()]))))
-        return _record(rows, CHUNK)
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            rows.append((name, k, None, None, None, squeeze(b"\n".join([words[i] for i in order[by_bucket[cuts[k] : cuts[k + 1]]].tolist()]))))
+        yield _record(rows, CHUNK)
 
     def run(batches):
-        keys, texts, size, number = [], [], 0, 0
+        keys, counts, places, index, size, number = [], [], [], {}, 0, 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            column = batch.column(1).cast(pa.large_binary())
+            for k, key in enumerate(batch.column(0).to_pylist()):
+                text = column[k].as_py() or b""
                 if size and size + len(text) > limit:
-                    yield flush(keys, texts, number)
-                    keys, texts, size, number = [], [], 0, number + 1
+                    yield from flush(keys, counts, places, number, index)
+                    keys, counts, places, index, size, number = [], [], [], {}, 0, number + 1
+                # only distinct words outlive their document
+                found = text.split()
+                for word in found:
+                    if word not in index:
+                        index[word] = len(index)
+                places.append(np.fromiter(map(index.__getitem__, found), np.int32, len(found)))
+                counts.append(len(found))
                 keys.append(key)
-                texts.append(text)
                 size += len(text) + 8
         if keys:
-            yield flush(keys, texts, number)
+            yield from flush(keys, counts, places, number, index)
 
     return run
 
@@ -97,54 +107,73 @@ def _encode_bucket(model):
         tokenizer = Tokenizer.from_str(model)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        expand = zstandard.ZstdDecompressor().decompress
-        asked = [expand(b).split(b"\n") for b in rows.column("body").to_pylist()]
-        distinct = list({w for ws in asked for w in ws})
-        ids: dict[bytes, list[int]] = {}
+        expand, body = zstandard.ZstdDecompressor().decompress, rows.column("body")
+        index: dict[bytes, int] = {}
+        for asked in body:
+            for word in expand(asked.as_py()).split(b"\n"):
+                index.setdefault(word, len(index))
+        distinct, flat, sizes = list(index), [], []
         for i in range(0, len(distinct), 4096):
-            some = distinct[i : i + 4096]
-            for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids[word] = e.ids
+            found = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in distinct[i : i + 4096]], add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        del distinct
+        ids, size = np.concatenate(flat), np.concatenate(sizes)
+        first = np.cumsum(size) - size
         out = []
-        for chunk, bucket, ws in zip(rows.column("chunk").to_pylist(), rows.column("bucket").to_pylist(), asked):
-            own = [ids[w] for w in ws]
-            flat = np.fromiter(chain.from_iterable(own), np.int64)
-            out.append((chunk, bucket, packed(np.fromiter(map(len, own), np.int64, len(own))), packed(flat)))
+        for chunk, bucket, asked in zip(rows.column("chunk"), rows.column("bucket"), body):
+            own = np.fromiter(map(index.__getitem__, expand(asked.as_py()).split(b"\n")), np.int64)
+            out.append((chunk.as_py(), bucket.as_py(), packed(size[own]), packed(gather(ids, first[own], size[own]).astype(np.int64))))
         return pa.Table.from_batches([_record(out, IDS)])
 
     return run
 
 
 def _place(pieces):
-    """Put ids and pieces of a chunk's words in the places of its documents."""
+    """Put ids and pieces of a chunk's words in the places of its documents, by arrays of ids and offsets."""
+    spelled = [p.encode() + b" " for p in pieces]
+    blob = np.frombuffer(b"".join(spelled), np.uint8)
+    width = np.array([len(p) for p in spelled], np.int64)
+    begin = np.cumsum(width) - width
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                bucket = unpacked(row["body"])
-                order = np.argsort(bucket, kind="stable").tolist()
-                ids, texts, at = [b""] * len(order), [""] * len(order), 0
-                for part in sorted(row["parts"] or [], key=lambda p: p["bucket"]):
-                    flat = unpacked(part["ids"])
-                    raw, names, start = flat.astype("<u4").tobytes(), [pieces[k] for k in flat.tolist()], 0
-                    for n in unpacked(part["sizes"]).tolist():
-                        ids[order[at]] = raw[4 * start : 4 * (start + n)]
-                        texts[order[at]] = " ".join(names[start : start + n])
-                        start, at = start + n, at + 1
-                if at != len(order):
+            for row in range(batch.num_rows):
+                get = {name: batch.column(name)[row] for name in batch.schema.names}
+                bucket = unpacked(get["body"].as_py())
+                parts = sorted((p["bucket"].as_py(), k) for k, p in enumerate(get["parts"] if get["parts"].is_valid else []))
+                parts = [get["parts"][k] for _, k in parts]
+                sizes = [unpacked(p["sizes"].as_py()) for p in parts]
+                # words are numbered by how frequent they are, and answered bucket by bucket
+                of_word = np.argsort(bucket, kind="stable")
+                if sum(map(len, sizes)) != len(of_word):
                     raise RuntimeError("a chunk has words without ids")
-                keys = np.frombuffer(row["docs"], np.int64)
-                counts, places, at = np.frombuffer(row["counts"], np.int64).tolist(), unpacked(row["places"]), 0
-                for start in range(0, len(keys), 256):
-                    encoded, decoded, some = [], [], keys[start : start + 256]
-                    for n in counts[start : start + 256]:
-                        own = places[at : at + n].tolist()
-                        at += n
-                        encoded.append(b"".join([ids[p] for p in own]))
-                        decoded.append(" ".join([texts[p] for p in own if texts[p]]))
-                    yield pa.record_batch([pa.array(some, mask=some == NO_ID), pa.array(encoded, pa.binary()), pa.array(decoded, pa.string())],
+                size, first = np.zeros(len(of_word), np.int64), np.zeros(len(of_word), np.int64)
+                if parts:
+                    ids = np.concatenate([unpacked(p["ids"].as_py()).astype(np.uint32) for p in parts])
+                    answered = np.concatenate(sizes)
+                    size[of_word], first[of_word] = answered, np.cumsum(answered) - answered
+                else:
+                    ids = np.zeros(0, np.uint32)
+                keys, places = np.frombuffer(get["docs"].as_py(), np.int64), unpacked(get["places"].as_py()).astype(np.int32)
+                ends = np.cumsum(np.frombuffer(get["counts"].as_py(), np.int64))
+                start = done = 0
+                while start < len(keys):
+                    # documents of at most so many words together, or one
+                    stop = max(start + 1, int(np.searchsorted(ends, done + PLACED_WORDS, "right")))
+                    own = places[done : ends[stop - 1]]
+                    flat = gather(ids, first[own], size[own])
+                    after = np.concatenate([[0], np.cumsum(size[own])])[ends[start:stop] - done]
+                    text = gather(blob, begin[flat], width[flat])
+                    reach = np.concatenate([[0], np.cumsum(width[flat])])[after]
+                    some = keys[start:stop]
+                    id_bounds, text_bounds = (np.concatenate([[0], x]).tolist() for x in (after, reach))
+                    raw, text = flat.astype("<u4").tobytes(), text.tobytes()
+                    encoded = [raw[4 * a : 4 * b] for a, b in zip(id_bounds, id_bounds[1:])]
+                    decoded = [text[a : max(a, b - 1)] for a, b in zip(text_bounds, text_bounds[1:])]
+                    yield pa.record_batch([pa.array(some, mask=some == NO_ID), pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary()).cast(pa.string())],
                                           names=["key", "ids", "decoded"])
+                    start, done = stop, int(ends[stop - 1])
 
     return run
 

@@ -55,11 +55,19 @@ def unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``values[start : start + size]`` one after another."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Make Arrow batches of at most so many rows from now on, unless the session asks for fewer.
+    """Make Arrow batches of at most so many rows and 16 MB from now on, unless the session asks for less.
 
-    Texts are long, and the default of 10,000 rows would let one batch fill a Python worker's memory.
+    Texts are long, and the defaults of 10,000 rows and 64 MB would let a few batches fill a Python worker's memory.
     """
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
         df.sparkSession.conf.set(name, str(rows))

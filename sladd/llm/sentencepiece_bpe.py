@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sladd.llm.common import short_batches
+from sladd.llm.common import gather, short_batches
 
 #: Bytes of text whose distinct words are merged together.
 GROUP_BYTES = 4 << 20
@@ -249,12 +249,6 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return out, first
 
 
-def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs ``values[start : start + size]`` one after another."""
-    ends = np.cumsum(sizes)
-    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
-
 def encode_stretches(texts: list[str], v: Vocabulary) -> list[np.ndarray]:
     """Ids of each text, without begin and end; each distinct word is merged once."""
     split = [v.words.findall(t) for t in texts]
