@@ -7,8 +7,8 @@ can lie outside such a run. The automaton gives the longest match that ends at e
 covers them, and the state that holds the last ``window`` words names the items. Items with fewer words are one window each.
 
 Cases: words are ``[0-9a-z\\x80-]+`` after lower-casing A-Z; null or empty texts have no words and no hits; items without
-words have no window; items with the same text are all named; items without an id are left out; repeated rows
-are judged each; an empty benchmark hits nothing.
+words have no window; items with the same words are all named; an item without an id counts like any other, its name
+in ``items`` is null; repeated rows are judged each; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -30,17 +30,21 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of each window."""
+    """Suffix automaton of several word sequences, with the items of each window; items of equal words are one group."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
         self.window, self.next, self.link, self.size = window, [{}], [-1], [0]
-        sequences = [(item, tokens(text)) for item, text in items]
+        by_words: dict[tuple, set] = {}
+        for item, text in items:
+            by_words.setdefault(tuple(tokens(text)), set()).add(item)
+        self.names = list(by_words.values())
+        sequences = list(enumerate(by_words))
         for _, seq in sequences:
             last = 0
             for word in seq:
                 last = self._extend(last, word)
         self.items: dict[int, set] = {}
-        self.short: dict[int, list[tuple[int, object]]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         self.shortest = window
         for item, seq in sequences:
             if not seq:
@@ -109,7 +113,7 @@ class Automaton:
         return state
 
     def match(self, run: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Covered ranges of the run, and the items whose windows occur."""
+        """Covered ranges of the run, and the groups of items whose windows occur."""
         spans, found, done = [], set(), set()
         state = length = 0
         nxt, link, size, near, window = self.next, self.link, self.size, self.near, self.window
@@ -193,7 +197,7 @@ def _scan(block, window):
                     spans = merge(spans)
                     flat = [int(x - first[doc]) for s in spans for x in s]
                     cuts = [int(x - offset[doc]) for s, e in spans for x in (starts[s], ends[e - 1])]
-                    rows.append((n, flat, cuts, sorted(names)))
+                    rows.append((n, flat, cuts, sorted({x for k in names for x in auto.names[k]}, key=lambda x: (x is not None, x))))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()),
                  *(pa.array([r[k] for r in rows], pa.list_(t)) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))],
@@ -214,7 +218,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], t
                        window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rest`` (struct of ``keys``), ``n_words, spans, cuts, items`` for each row.
 
-    ``spans`` lists start and end of each covered range in words, ``cuts`` the same ranges in bytes, ``items`` the item ids as strings.
+    ``spans`` lists start and end of each covered range in words, ``cuts`` the same ranges in bytes, ``items`` the item ids as strings, with one null for all items without an id.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
@@ -225,8 +229,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], t
     schema = f"rest {kind}, fp long, n_words long, spans array<long>, cuts array<long>, items array<string>"
     found = None
     for number in range(n_blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == number) if n_blocks > 1 else items
-        block = sorted((r.item, r.t.encode()) for r in part.filter(F.col("item").isNotNull()).collect())  # at most about block_bytes
+        part = items.filter(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == number) if n_blocks > 1 else items
+        block = sorted(((r.item, r.t.encode()) for r in part.collect()), key=lambda i: (i[0] is not None, i))  # at most about block_bytes
         one = base.mapInArrow(_scan(spark.sparkContext.broadcast(block), window), schema)
         found = one if found is None else found.unionByName(one)
     if n_blocks == 1:

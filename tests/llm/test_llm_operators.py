@@ -172,11 +172,23 @@ class TestDecontaminate:
         bench = spark.createDataFrame([(1, item), (None, "alone")], "item_id long, text string")
         rows = [(1, f"Before it é, {item.upper()}! After it there are some more words of which none is known here."), (2, item), (3, "clean"), (4, None), (5, "alone")]
         out = {r.doc_id: r.text for r in decontaminate.remove_contamination(docs(rows), bench).select("doc_id", "text").collect()}
-        assert out == {1: "Before it é, ! After it there are some more words of which none is known here.", 3: "clean", 4: "", 5: "alone"}
+        assert out == {1: "Before it é, ! After it there are some more words of which none is known here.", 3: "clean", 4: ""}
+        names = {r[0]: r[1] for r in decontaminate.find_contamination(docs(rows), bench, ["doc_id"]).select("rest.doc_id", "items").collect()}
+        assert names[2] == ["1"] and names[5] == [None]
         assert decontaminate.remove_contamination(docs(rows), bench.limit(0)).count() == 5
         assert decontaminate.remove_contamination(docs([]), bench).columns == docs([]).columns
 
 
+    @pytest.mark.parametrize("block", [100, 1 << 20])
+    def test_items_without_id_and_equal_items(self, spark, docs, block):
+        item = "one two three four five six seven eight nine ten eleven"
+        items = [(None, item), (None, "other words"), *((i, "yes") for i in range(300))]
+        rows = [(1, f"x {item} y"), (2, "yes, " * 500), (3, "other words and yes"), (4, "no")]
+        out = decontaminate.find_contamination(docs(rows), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_bytes=block)
+        found = {r[0]: (sum(b - a for a, b in zip(r[1][::2], r[1][1::2])), len(r[2]), None in r[2]) for r in out.select("rest.doc_id", "spans", "items").collect()}
+        assert found == {1: (11, 1, True), 2: (500, 300, False), 3: (3, 301, True), 4: (0, 0, False)}
+
+
 class TestLanguage:
     def test_held_out_accuracy(self, spark):
         rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
