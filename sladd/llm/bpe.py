@@ -25,7 +25,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import bucketed, gather, packed, parts, short_batches, unpacked
+from sladd.llm.common import bucketed, gather, kept, packed, parts, short_batches, tidy, unpacked
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK_BYTES = 8 << 20
@@ -100,13 +100,17 @@ def _chunks(n_buckets, limit):
 def _encode_bucket(model):
     """Encode the distinct words of a bucket once; each chunk gets the ids of its own words, in their order."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def load():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(model)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        return tokenizer
+
+    def run(rows: pa.Table) -> pa.Table:
+        tokenizer = kept("tokenizer", model, load)
         expand, body = zstandard.ZstdDecompressor().decompress, rows.column("body")
         index: dict[bytes, int] = {}
         for asked in body:
@@ -135,6 +139,7 @@ def _place(pieces):
     blob = np.frombuffer(b"".join(spelled), np.uint8)
     width = np.array([len(p) for p in spelled], np.int64)
     begin = np.cumsum(width) - width
+    del spelled, pieces
 
     def run(batches):
         for batch in batches:
@@ -196,10 +201,10 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, key: str = "do
         raise ValueError("pieces are joined by one space; a vocabulary with a decoder of its own isn't supported")
     spark = docs.sparkSession
     source = short_batches(docs).select(F.col(key).cast("long"), F.col(text))
-    chunks = bucketed(source.mapInArrow(_chunks(parts(spark, 2), chunk_bytes), CHUNK), "chunk")
+    chunks = bucketed(source.mapInArrow(tidy(_chunks(parts(spark, 2), chunk_bytes)), CHUNK), "chunk")
     asked = chunks.filter("bucket >= 0").select("chunk", "bucket", "body")
     encoded = asked.groupBy("bucket").applyInArrow(_encode_bucket(model), IDS)
     answers = encoded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
     heads = chunks.filter("bucket < 0").select("chunk", "docs", "counts", "places", "body")
-    out = heads.join(answers, "chunk", "left").mapInArrow(_place(pieces_of(model)), "key long, ids binary, decoded string")
+    out = heads.join(answers, "chunk", "left").mapInArrow(tidy(_place(pieces_of(model))), "key long, ids binary, decoded string")
     return out.withColumnRenamed("key", key)

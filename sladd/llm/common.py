@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import uuid
 
 import numpy as np
@@ -113,17 +115,40 @@ def mix(a: np.ndarray) -> np.ndarray:
     return a
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def kept(name: str, key, make):
+    """``make()``, kept by the worker process under ``name`` until another ``key`` comes.
+
+    Functions of this subpackage travel by value, so that what a task keeps in a global is new for each task and would wait
+    for Python's collector; large tables would add up.
+    """
+    store = vars(sys).setdefault("sladd_kept", {})
+    if name not in store or store[name][0] != key:
+        store[name] = key, make()
+    return store[name][1]
+
+
+def tidy(run):
+    """The same function on batches or a group, after what earlier tasks of the worker left behind is collected."""
+
+    def tidied(batches):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        yield from run(batches)
+
+    return tidied
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * GROUP_BYTES)
-        for k, base in enumerate((BASE, INVERSE)):
-            factor = np.full(size, base, np.uint64)
+    def make():
+        out = []
+        for base in (BASE, INVERSE):
+            factor = np.full(max(n, usual), base, np.uint64)
             factor[0] = 1
-            _POWERS[k] = np.cumprod(factor)
-    return _POWERS[0], _POWERS[1]
+            out.append(np.cumprod(factor))
+        return out
+
+    usual = GROUP_BYTES + GROUP_BYTES // 4
+    return kept("powers", usual, make) if n <= usual else make()
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import LOWER, WORD_BYTE, fingerprint, groups, short_batches, text_bytes, words
+from sladd.llm.common import LOWER, WORD_BYTE, fingerprint, groups, kept, short_batches, text_bytes, tidy, words
 
 WINDOW = 10
 #: Bytes of benchmark text in a block.
@@ -62,7 +62,8 @@ class Automaton:
         self.near = [-1] * len(self.next)
         for state in sorted(range(len(self.next)), key=self.size.__getitem__):
             self.near[state] = state if state in self.short else self.near[self.link[state]] if state else -1
-        self.vocabulary = sorted({w for _, seq in sequences for w in seq})
+        #: Hashes of all words.
+        self.hashes = np.sort(words([b"\n".join(sorted({w for _, seq in sequences for w in seq}))])[3])
 
     def _extend(self, last: int, word: bytes) -> int:
         nxt, link, size = self.next, self.link, self.size
@@ -151,20 +152,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_BUILT: dict = {}
-
-
 def _scan(block, window):
     """``spans`` counts words; ``cuts`` has the same spans as byte ranges of the text."""
 
     def run(batches):
         items = block.value
-        name = hash(tuple(items)), window
-        if name not in _BUILT:
-            _BUILT.clear()
-            _BUILT[name] = auto = Automaton(items, window)
-            auto.hashes = np.sort(words([b"\n".join(auto.vocabulary)])[3])
-        auto = _BUILT[name]
+        auto = kept("automaton", (hash(tuple(items)), window), lambda: Automaton(items, window))
         for batch in batches:
             texts, rows = text_bytes(batch.column(2)), []
             for a, b in groups(texts):
@@ -231,7 +224,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keys: list[str], t
     for number in range(n_blocks):
         part = items.filter(F.pmod(F.xxhash64("t"), F.lit(n_blocks)) == number) if n_blocks > 1 else items
         block = sorted(((r.item, r.t.encode()) for r in part.collect()), key=lambda i: (i[0] is not None, i))  # at most about block_bytes
-        one = base.mapInArrow(_scan(spark.sparkContext.broadcast(block), window), schema)
+        one = base.mapInArrow(tidy(_scan(spark.sparkContext.broadcast(block), window)), schema)
         found = one if found is None else found.unionByName(one)
     if n_blocks == 1:
         return found.drop("fp")
@@ -256,7 +249,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """All columns of ``docs``: covered ranges are cut out; rows of which more than ``most`` of the words are covered go."""
     found = find_contamination(docs, benchmark, docs.columns, text, **limits)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: x - a)
-    kept = found.filter(hit <= most * F.col("n_words")).select("rest", F.col(f"rest.`{text}`").alias("text"), "cuts")
-    kind = kept.schema["rest"].dataType.simpleString()
-    both = kept.mapInArrow(_cut, f"rest {kind}, text string")
+    low = found.filter(hit <= most * F.col("n_words")).select("rest", F.col(f"rest.`{text}`").alias("text"), "cuts")
+    kind = low.schema["rest"].dataType.simpleString()
+    both = low.mapInArrow(tidy(_cut), f"rest {kind}, text string")
     return both.select(*[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import groups, mix, parts, short_batches, text_bytes, words, written
+from sladd.llm.common import groups, mix, parts, short_batches, text_bytes, tidy, words, written
 from sladd.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -274,7 +274,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     base = short_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    sketches = written(base.mapInArrow(_sketch(size), "doc long, digest binary, n int, sig binary"))
+    sketches = written(base.mapInArrow(tidy(_sketch(size)), "doc long, digest binary, n int, sig binary"))
     reps = sketches.filter("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()))
 
@@ -288,10 +288,10 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     counts = grouped.groupBy("root").agg(F.count("*").alias("m"))
     chosen = grouped.join(reps.select("node", "rep", "copies", "digest"), "node").select(F.col("root").alias("comp"), "node", "copies", "digest", "rep")
     held = chosen.join(base, F.col("rep").eqNullSafe(F.col("doc"))).select("comp", "node", "copies", "digest", "text")
-    sets = held.mapInArrow(_sets(size), "comp long, node long, copies long, shingles binary").dropDuplicates(["node"])
+    sets = held.mapInArrow(tidy(_sets(size)), "comp long, node long, copies long, shingles binary").dropDuplicates(["node"])
     sets = _celled(sets.join(counts.withColumnRenamed("root", "comp"), "comp"), "comp", "m", block)
     sets = sets.select("comp", "x", "y", "side", "node", "copies", "shingles").repartition(parts(spark), "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    verified = written(sets.mapInArrow(_verify(threshold), "node long, near long, links long"))
+    verified = written(sets.mapInArrow(tidy(_verify(threshold)), "node long, near long, links long"))
 
     roots = components(verified.select(F.col("node").alias("a"), F.col("near").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

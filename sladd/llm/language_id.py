@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sladd.llm.common import LOWER, groups, parts, short_batches, text_bytes, written
+from sladd.llm.common import LOWER, groups, parts, short_batches, text_bytes, tidy, written
 
 DIMENSIONS, SAMPLE, CENTROIDS, ROUNDS = 8192, 1500, 4, 10
 #: Shares of a language's own rows below, and of the other languages' rows above, the two cosines between which its radius lies.
@@ -126,7 +126,7 @@ def _cosines(langs, centres, idf):
 
 def radii(sample: DataFrame, langs: list[str], centres: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The least cosine of each centroid's language."""
-    each = sample.select("lang", "a", "b").mapInArrow(_cosines(langs, centres, idf), "lang string, own boolean, cosine double")
+    each = sample.select("lang", "a", "b").mapInArrow(tidy(_cosines(langs, centres, idf)), "lang string, own boolean, cosine double")
     at = each.groupBy("lang").agg(F.percentile(F.when(F.col("own"), F.col("cosine")), OWN).alias("own"),
                                   F.percentile(F.when(~F.col("own"), F.col("cosine")), OTHER).alias("other"))
     low = {}
@@ -144,7 +144,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), np.ones(DIMENSIONS, np.float32)
     share = F.coalesce(*[F.when(F.col(lang) == k, F.lit(v)) for k, v in shares.items()])
     pick = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < share * float(1 << 20)
-    learnt = written(rows.select(F.col(text), F.col(lang), pick.alias("pick")).mapInArrow(_learn, "kind int, lang string, a binary, b binary"))
+    learnt = written(rows.select(F.col(text), F.col(lang), pick.alias("pick")).mapInArrow(tidy(_learn), "kind int, lang string, a binary, b binary"))
     sums = learnt.filter("kind = 0").select("a", "b").repartition(min(64, parts(spark))).mapInArrow(_add, "df binary, n long").collect()
     df, n = sum(np.frombuffer(r.df, np.int64) for r in sums), sum(r.n for r in sums)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1e-3)
@@ -197,4 +197,4 @@ def identify(docs: DataFrame, model, keys: list[str], text: str = "text") -> Dat
     """``rest`` (struct of ``keys``), ``lang_pred, score, rejected`` for each row."""
     base = short_batches(docs).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("rest"), F.col(text))
     kind = base.schema["rest"].dataType.simpleString()
-    return base.mapInArrow(_predict(model), f"rest {kind}, lang_pred string, score double, rejected boolean")
+    return base.mapInArrow(tidy(_predict(model)), f"rest {kind}, lang_pred string, score double, rejected boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import fingerprint, parts, short_batches, text_bytes, written
+from sladd.llm.common import fingerprint, parts, short_batches, text_bytes, tidy, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -117,9 +117,9 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
     """``key, fp, n_lines, n_dropped, keep`` for each document that loses lines; ``keep`` is a zlib-compressed bit for each line."""
     spark = docs.sparkSession
     lines = short_batches(docs).select(F.col(key).cast("long").alias("doc"), fingerprint(text).alias("fp"), F.col(text).alias("text"))
-    rows = lines.mapInArrow(_lines(min_chars), ROW)
+    rows = lines.mapInArrow(tidy(_lines(min_chars)), ROW)
     ordered = rows.repartitionByRange(parts(spark), "h", F.desc("doc")).sortWithinPartitions("h", F.desc("doc"), "fp")
-    judged = written(ordered.mapInArrow(_stream(min_docs), ROW + ", seen long, counts boolean"))
+    judged = written(ordered.mapInArrow(tidy(_stream(min_docs)), ROW + ", seen long, counts boolean"))
     edge = judged.filter("seen > 0")
     known = edge.groupBy("h").agg(F.sum(F.when(F.col("counts"), F.col("seen")).otherwise(0)).alias("total"), F.max("doc").alias("top"))
     late = edge.join(F.broadcast(known), "h").filter((F.col("total") >= min_docs) & ~F.col("doc").eqNullSafe(F.col("top")))
@@ -156,4 +156,4 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
                        F.col(key).cast("long").alias("doc"), fingerprint(text).alias("fp"))
     joined = base.join(maps, [base.doc.eqNullSafe(maps.doc), base.fp == maps.fp], "left").select("rest", "text", "keep")
     kind = joined.schema["rest"].dataType.simpleString()
-    return joined.mapInArrow(_apply, f"rest {kind}, text string, n_lines long, n_dropped long")
+    return joined.mapInArrow(tidy(_apply), f"rest {kind}, text string, n_lines long, n_dropped long")
