@@ -44,7 +44,7 @@ def facts(entity: Column, chunk: Column, lexicon) -> Column:
             F.transform(tokens, name_token).alias("name_like"),
             F.transform(words, lambda w: in_words(F.lower(w), lexicon.denied)).alias("denied"),
             F.transform(words, lambda w: has_suffix(w)).alias("suffix"),
-            F.transform(words, lambda w: in_words(w, lexicon.names)).alias("known"),
+            F.transform(words, lexicon.known or (lambda w: in_words(w, lexicon.names))).alias("known"),
             is_upper(chunk).alias("upper"), F.length(chunk).alias("size"),
             entity.isin(*PERSON_LIKE).alias("person"), (entity == "LOCATION").alias("location"),
         )

@@ -11,6 +11,7 @@ from sladd.rules.entities import DEFAULT_PLACEHOLDER, ENTITY_TO_PLACEHOLDER
 
 SPAN_TYPE = "struct<entity:string,start:int,end:int,score:double,src:int>"
 HIT_TYPE = "struct<rule:int,start:int,chunk:string>"
+RICH_TYPE = "struct<entity:string,start:int,end:int,score:double,src:int,chunk:string>"
 
 # Unicode noncharacters: never word or space characters, so no pattern matches them.
 MARK = "\uffff"

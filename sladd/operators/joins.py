@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sladd.functions import spans as S
-from sladd.functions.text import exploded, let, strip
+from sladd.functions.text import let, strip
 from sladd.plans.analyze import with_spans
 from sladd.rules.detectors import DETECTORS
 from sladd.rules.words import DEFAULT_LEXICON
 
 
-# Word tables up to this length and this many characters are broadcast; both are counted first.
+# Word tables up to this length and this many characters are broadcast or become literals; both are counted first.
 BROADCAST_WORDS = 200_000
 BROADCAST_CHARS = 8_000_000
 
@@ -27,52 +27,15 @@ def word_table(spark, words, column: str) -> DataFrame:
     return spark.createDataFrame([(w,) for w in sorted(words)], f"{column} string")
 
 
-def longest_run(names: DataFrame, column: str = "name") -> int:
-    """Words of the longest listed name."""
-    words = F.regexp_count(F.col(column), F.lit(r"(?U)\w+"))
-    return names.agg(F.max(words)).first()[0] or 1
-
-
-def word_runs(df: DataFrame, unit: str, text: str, longest: int) -> DataFrame:
-    """One row per word and per run of up to ``longest`` words: ``unit, start, chunk``.
-
-    Pieces alternate between gaps and words, and one running sum of their lengths gives all offsets. Only short
-    rows leave the text.
-    """
-    marked = F.regexp_replace(S.guard(F.col(text)), r"(?U)\w+", f"{S.MARK}$0{S.MARK}")
-
-    def runs(pieces):
-        def with_starts(starts):
-            def of_length(n):
-                def run(i):
-                    parts = [F.get(pieces, i + k) for k in range(2 * n - 1)]
-                    return F.struct(starts[i].alias("start"), F.concat(*parts).alias("chunk"))
-
-                return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), run)
-
-            return F.concat(*[of_length(n) for n in range(1, longest + 1)])
-
-        return F.when(F.size(pieces) > 1, let(S.running(F.transform(pieces, lambda p: F.length(p)), lambda a, b: a + b), with_starts))
-
-    rows = exploded(df, [unit], let(F.split(marked, S.MARK, -1), runs), "g").select(unit, "g.start", "g.chunk")
-    return rows.where("chunk is not null")
-
-
 def name_list_join(df: DataFrame, names: DataFrame, unit: str = "unit_id", text: str = "text", longest: int | None = None,
                    salts: int = 16) -> DataFrame:
     """Words and word runs that are listed names, for lexicons of any length: ``unit, start, end, chunk``.
 
-    Runs are as long as the longest listed name unless ``longest`` says otherwise. A lexicon of checked size is
-    broadcast. A longer one is joined by shuffle; ``salts`` spreads frequent words over that many copies of it.
+    Runs are as long as the longest listed name unless ``longest`` says otherwise; see :mod:`sladd.operators.lexicons`.
     """
-    keys = names.select(F.lower("name").alias("key")).distinct()
-    runs = word_runs(df, unit, text, longest or longest_run(names)).withColumn("key", F.lower("chunk"))
-    if is_short(keys):
-        hits = runs.join(F.broadcast(keys), "key")
-    else:
-        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        hits = runs.withColumn("salt", F.pmod(F.xxhash64(unit, "start"), F.lit(salts)).cast("int")).join(keys, ["key", "salt"])
-    return hits.select(unit, "start", (F.col("start") + F.length("chunk")).alias("end"), "chunk")
+    from sladd.operators.lexicons import name_hits  # it needs is_short
+
+    return name_hits(df, names, unit, text, longest, salts)
 
 
 def longest_name_first(hits: DataFrame, unit: str = "unit_id") -> DataFrame:

@@ -18,7 +18,7 @@ from sladd.rules.detectors import DETECTORS
 from sladd.rules.entities import SCORE_THRESHOLD
 from sladd.rules.words import DEFAULT_LEXICON
 
-_RICH = "struct<entity:string,start:int,end:int,score:double,src:int,chunk:string>"
+_RICH = S.RICH_TYPE
 
 
 class RuleTable:
@@ -26,6 +26,9 @@ class RuleTable:
 
     def __init__(self, detectors, lexicon):
         self.detectors, self.lexicon = tuple(detectors), lexicon
+        # names out of a table come with the unit, the others are searched here
+        self.listed = lexicon.known is not None and any(d.scope == "names" for d in self.detectors)
+        self.word_scopes = ("words",) if lexicon.known else ("words", "names")
         self.rules = []  # (number of the detector, base score)
         self.first = []  # number of the first rule of each detector
         for i, d in enumerate(self.detectors):
@@ -98,9 +101,18 @@ def _name_alternatives(words: Column, names) -> Column:
     return F.concat(possible, known)
 
 
+def _listed_hits(listed, table):
+    """Names that a table of names has found already."""
+
+    def of_rule(number):
+        return F.transform(listed, lambda r: S.hit(F.lit(number), r["start"], r["chunk"]))
+
+    return F.concat(*[of_rule(table.first[i]) for i, _ in table.scoped("names")])
+
+
 def _word_level_hits(text, words, table):
     """Word lists and names, searched only for what is present, so the cost does not grow with the lists."""
-    scoped = table.scoped("words", "names")
+    scoped = table.scoped(*table.word_scopes)
     rule = literal_array([table.first[i] for i, _ in scoped], "int")
 
     def among(own):
@@ -155,16 +167,19 @@ class Stages:
         self.lexicon, self.use_context = lexicon, use_context
 
     @staticmethod
-    def unit(text: Column, external: Column | None = None) -> Column:
+    def unit(text: Column, external: Column | None = None, listed: Column | None = None) -> Column:
         extra = S.empty(S.SPAN_TYPE) if external is None else F.coalesce(external, S.empty(S.SPAN_TYPE))
-        return F.struct(F.when(not_blank(text), S.guard(text)).alias("text"), extra.alias("external"))
+        fields = [F.when(not_blank(text), S.guard(text)).alias("text"), extra.alias("external")]
+        return F.struct(*fields, *([] if listed is None else [listed.alias("listed")]))
 
     def views(self, u: Column) -> Column:
         """The short view around digits and the listed words that occur."""
         vocabulary = set()
-        for _, d in self.table.scoped("words", "names"):
+        for _, d in self.table.scoped(*self.table.word_scopes):
             vocabulary |= name_vocabulary(self.lexicon.names) if d.scope == "names" else {w.lower() for w in d.words}
         fields = [u["text"].alias("text"), u["external"].alias("external")]
+        if self.table.listed:
+            fields.append(u["listed"].alias("listed"))
         if self.table.scoped("digits"):
             fields.append(S.digit_view(u["text"]).alias("view"))
         if vocabulary:
@@ -176,7 +191,9 @@ class Stages:
         text, parts = u["text"], []
         if self.table.scoped("digits"):
             parts.append(_digit_hits(u["view"], self.table))
-        if self.table.scoped("words", "names"):
+        if self.table.listed:
+            parts.append(_listed_hits(u["listed"], self.table))
+        if self.table.scoped(*self.table.word_scopes):
             parts.append(_word_level_hits(text, u["words"], self.table))
         for i, d in self.table.scoped("text"):
             found = _numbered_hits(text, [(i, d)], self.table)
@@ -266,15 +283,18 @@ def filter_spans(spans: Column, lexicon=DEFAULT_LEXICON) -> Column:
 
 def with_spans(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
                external: str | None = None, column: str = "spans", last: str = "filtered",
-               use_context: bool = True) -> DataFrame:
+               use_context: bool = True, names=None) -> DataFrame:
     """Add the spans of a text column: final ones, or those after an earlier step.
 
     ``last="scores"`` gives all candidates, ``last="resolved"`` those left by overlap resolution; both carry
-    the matched text as ``chunk``.
+    the matched text as ``chunk``. ``names`` (operators.lexicons.NameTable) replaces the names of the lexicon by a table.
     """
     ext = F.col(external) if external else None
-    units = Stages.unit(F.col(f"`{text}`"), ext)
-    return run_stages(df, units, column, False, last, detectors, lexicon, use_context)
+    if names is None:
+        return run_stages(df, Stages.unit(F.col(f"`{text}`"), ext), column, False, last, detectors, lexicon, use_context)
+    units = Stages.unit(F.col(f"`{text}`"), ext, F.col(names.LISTED))
+    done = run_stages(names.attach(df, text), units, column, False, last, detectors, names.lexicon(lexicon), use_context)
+    return done.drop(names.LISTED, names.EXACT)
 
 
 def own_placeholders(detectors) -> dict:
@@ -282,12 +302,13 @@ def own_placeholders(detectors) -> dict:
 
 
 def anonymize(df: DataFrame, text: str = "text", detectors=DETECTORS, lexicon=DEFAULT_LEXICON,
-              external: str | None = None, keep_spans: bool = True) -> DataFrame:
+              external: str | None = None, keep_spans: bool = True, names=None) -> DataFrame:
     """Replace ``text`` by ``redacted``, add ``spans`` and the number of replacements ``n``.
 
-    Spans are a projection of their own, so they are computed once and what is not asked for is pruned.
+    Spans are a projection of their own, so they are computed once and what is not asked for is pruned. ``names``
+    (operators.lexicons.NameTable) gives a list of names of any length.
     """
-    found = with_spans(df, text, detectors, lexicon, external, "spans")
+    found = with_spans(df, text, detectors, lexicon, external, "spans", names=names)
     rest = [c for c in df.columns if c not in (text, external)]
     redacted = S.redact(F.col(f"`{text}`"), F.col("spans"), own_placeholders(detectors))
     shown = ["spans"] if keep_spans else []

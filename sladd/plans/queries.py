@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sladd.functions import filters, spans as S, validators as V
 from sladd.functions.text import exploded, let, not_blank
-from sladd.operators import aggregates as A, audit, flags, hooks, joins, language, markup, tables
+from sladd.operators import aggregates as A, audit, flags, hooks, joins, lexicons, language, markup, tables
 from sladd.plans import oracles as O
 from sladd.plans.analyze import anonymize, with_spans
 from sladd.plans.fixtures import fixture_sql
@@ -471,6 +471,14 @@ def anonymize_documents(spark, folder):
     return anonymize(documents(spark, folder), keep_spans=False)
 
 
+@query("name_table_redact", O.redact_sql(MIXED))
+def name_table_redact(spark, folder):
+    """The whole analysis with a table of names that grows with the data; names of orders occur in no text."""
+    own = joins.word_table(spark, DEFAULT_LEXICON.names, "name")
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select(F.concat(F.lit("Ordrenavn"), F.col("o_orderkey")).alias("name"))
+    return anonymize(mixed(spark, folder), names=lexicons.NameTable(own.unionByName(orders)), keep_spans=False)
+
+
 # The detectors with hits in the supplied documents, counted per kind.
 _MINIMUM = [BY_KEY[k] for k in ("email", "credit_card", "ip")]
 
