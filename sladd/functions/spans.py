@@ -288,14 +288,14 @@ def placeholder_of(entity: Column, extra: dict | None = None) -> Column:
     return F.coalesce(F.element_at(F.expr(f"map({pairs})"), entity), F.lit(DEFAULT_PLACEHOLDER))
 
 
-def redact(text: Column, spans: Column, extra: dict | None = None) -> Column:
-    """Replace non-overlapping spans, given by start, by their placeholders."""
+def replaced(text: Column, spans: Column, mask) -> Column:
+    """Replace non-overlapping spans, given by start, by what ``mask`` gives for each."""
 
     def build(s):
         def pieces(cut):
             def part(span, i):
                 before = F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(F.lit(0))
-                return F.concat(cut(before, span["start"] - before), placeholder_of(span["entity"], extra))
+                return F.concat(cut(before, span["start"] - before), mask(span))
 
             last = F.element_at(s, -1)["end"]
             return F.concat(F.array_join(F.transform(s, part), ""), cut(last, F.length(text) - last))
@@ -305,6 +305,11 @@ def redact(text: Column, spans: Column, extra: dict | None = None) -> Column:
     return let(spans, build)
 
 
+def redact(text: Column, spans: Column, extra: dict | None = None) -> Column:
+    """Replace non-overlapping spans, given by start, by their placeholders."""
+    return replaced(text, spans, lambda span: placeholder_of(span["entity"], extra))
+
+
 def label_counts(spans: Column, extra: dict | None = None) -> Column:
     """Placeholder -> number of spans, as a map with sorted keys."""
     return count_labels(F.transform(spans, lambda s: placeholder_of(s["entity"], extra)))

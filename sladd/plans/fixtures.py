@@ -146,7 +146,7 @@ SELECT c_nationkey AS doc_id, 0 AS table_no, 1 + c_custkey AS row_no, 0 AS col_n
  UNION ALL SELECT DISTINCT c_nationkey, 0, CAST(0 AS BIGINT), 1, 'Segment' FROM {customer}"""
 
 HTML_FIXTURE = """
-SELECT page_id, html || CASE page_id % 6
+SELECT page_id, html || '<p>Ka<b>ri</b> Olsen, <a title="Per Hansen" href="#">tlf. 912<i>34</i>567</a></p><p>Oslo</p>' || CASE page_id % 6
   WHEN 0 THEN '<img src="a.png"><p>x</p><img src="b.gif">' WHEN 1 THEN '<video src="v.mp4"></video>'
   WHEN 2 THEN '<audio src="s.mp3"></audio>' WHEN 3 THEN '<p>a <del>gammel</del><ins>ny</ins> b</p>'
   WHEN 4 THEN '<p>Kari Olsen, tlf 91 23 45 67, kari@example.com</p>'

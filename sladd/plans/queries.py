@@ -767,12 +767,28 @@ def accept_changes(spark, folder):
     return fixture(spark, folder, "html").select("page_id", markup.accept_changes(F.col("html")).alias("html"))
 
 
-_PAGE_TEXT = (f"SELECT page_id AS unit_id, {_media_sql(_comments_sql(_changes_sql(_meta_sql('html'))))} AS text "
+_PAGE_BODY = (f"SELECT page_id AS unit_id, {_media_sql(_comments_sql(_changes_sql(_meta_sql('html'))))} AS body "
               f"FROM ({O.fx('html')}) AS h")
-
-
-@query("anonymize_page", O.redact_sql(_PAGE_TEXT, select="unit_id AS page_id, redacted"))
+_MARKUP_SQL = O.q(markup.MARKUP.replace("*+", "*"))
+#: Pieces of a page in order (``i``), markup at odd places, with what each adds to the view and where.
+_PAGE_PIECES = (
+    "SELECT *, CAST(sum(length(part)) OVER (PARTITION BY unit_id ORDER BY i) - length(part) AS BIGINT) AS a FROM ("
+    f"SELECT unit_id, i, piece, CASE WHEN i % 2 = 0 THEN piece WHEN regexp_matches(piece, {O.q(markup.INLINE)}) THEN '' ELSE {O.q(markup.BREAK)} END AS part FROM ("
+    "SELECT unit_id, i, CASE WHEN i % 2 = 0 THEN texts[i // 2 + 1] ELSE tags[i // 2 + 1] END AS piece FROM ("
+    f"SELECT unit_id, string_split_regex(body, {_MARKUP_SQL}) AS texts, regexp_extract_all(body, {_MARKUP_SQL}) AS tags FROM ({_PAGE_BODY})) p, "
+    "unnest(range(2 * len(tags) + 1)) AS r(i)))")
+_PAGE_VIEW = f"SELECT unit_id, string_agg(part, '' ORDER BY i) AS text FROM ({_PAGE_PIECES}) v GROUP BY unit_id"
+#: Characters of texts outside spans, and a placeholder where a span starts.
+_PAGE_REDACTED = (
+    "SELECT unit_id AS page_id, string_agg(coalesce(shown, piece), '' ORDER BY i) AS redacted FROM piece LEFT JOIN ("
+    "SELECT ch.unit_id, i, string_agg(CASE WHEN s.entity IS NULL THEN c WHEN s.start = pos THEN " + O.placeholder_sql("s.entity") + " ELSE '' END, '' ORDER BY pos) AS shown "
+    "FROM (SELECT unit_id, i, a + k - 1 AS pos, substr(piece, k, 1) AS c FROM piece, unnest(range(1, length(piece) + 1)) AS u(k) WHERE i % 2 = 0) ch "
+    "LEFT JOIN spans s ON s.unit_id = ch.unit_id AND s.start <= pos AND pos < s.\"end\" GROUP BY ALL) USING (unit_id, i) GROUP BY unit_id")
+
+
+@query("anonymize_page", O.with_([*O.analysis_ctes(_PAGE_VIEW), ("piece", _PAGE_PIECES)], _PAGE_REDACTED))
 def anonymize_page(spark, folder):
+    """Values split by inline tags are masked; tags stay as they are."""
     return markup.anonymize_page(fixture(spark, folder, "html")).drop("counts")
 
 
