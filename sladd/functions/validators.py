@@ -12,6 +12,12 @@ ABN_WEIGHTS = (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
 ACN_WEIGHTS = (8, 7, 6, 5, 4, 3, 2, 1)
 
 
+#: Groups of hexadecimal digits, and an IPv4 address as the last two of them.
+IPV6_GROUPS = r"\A[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*\z"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+IPV4_TAIL = rf":(?:{_OCTET}\.){{3}}{_OCTET}\z"
+
+
 def digit_array(chunk: Column) -> Column:
     """The ASCII digits of a chunk as integers; other digits give null elements."""
     return F.transform(F.split(digits_only(chunk), "(?<=.)(?=.)"), lambda c: c.try_cast("int"))
@@ -99,6 +105,22 @@ def valid_ssn(chunk: Column) -> Column:
     return F.when(bad, F.lit(False))
 
 
+def valid_ipv6(chunk: Column) -> Column:
+    """Unknown for an IPv6 address, else false: eight groups, or fewer with one ``::``; four octets at the end count as two groups.
+
+    The bare ``::`` is not an address here, as programs use it as an operator.
+    """
+
+    def check(t):
+        sides = F.split(t, "::", -1)
+        plain = F.forall(sides, lambda s: (s == "") | s.rlike(IPV6_GROUPS))
+        n = F.regexp_count(t, F.lit("[0-9a-f]+"))
+        return plain & F.when(F.size(sides) == 1, n == 8).otherwise((F.size(sides) == 2) & n.between(1, 7))
+
+    groups = F.regexp_replace(F.lower(chunk), IPV4_TAIL, ":0:0")
+    return F.when(~let(groups, check), F.lit(False))
+
+
 def valid_phone_length(chunk: Column) -> Column:
     return F.when(~F.length(digits_only(chunk)).between(8, 15), F.lit(False))
 
@@ -135,6 +157,8 @@ def verdict(name: str, chunk: Column, lexicon) -> Column:
         return valid_ssn(chunk)
     if name == "phone_length":
         return valid_phone_length(chunk)
+    if name == "ipv6":
+        return valid_ipv6(chunk)
     if name == "postal_city":
         return valid_postal_city(chunk, lexicon.common)
     if name == "list_name":

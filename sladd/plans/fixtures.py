@@ -18,7 +18,7 @@ SELECT o_orderkey AS unit_id,
   END AS text FROM {orders}""",
     "address_ip": """
 SELECT doc_id AS unit_id, text || CASE doc_id % 6
-   WHEN 0 THEN ' dead::beef'
+   WHEN 0 THEN ' dead::beef, ::1; fe80::. ::ffff:10.0.0.1: 1:2:3:4:5:6:7:8 1:2:3:4:5:6:7:8:9 std::x 12:30:45 a::b::c 2001:DB8::7/64'
    WHEN 1 THEN repeat(' prose far from digits', 40) || ' fe80::dead:beef ' || repeat(' and more of it', 40)
    WHEN 2 THEN repeat(' x 1', 300) || repeat(' far', 100) || ' dead::beef'
    WHEN 3 THEN ' 2001:db8:0:0:0:0:2:1, 10.1.2.3 and 300.1.2.3'

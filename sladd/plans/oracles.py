@@ -6,6 +6,7 @@ a recursive fold over score ranks, redaction from an ordered string aggregate.
 
 from __future__ import annotations
 
+from sladd.functions import validators as V
 from sladd.plans.fixtures import fixture_sql
 from sladd.rules import words as W
 from sladd.rules.detectors import BY_KEY, DETECTORS, GENERAL
@@ -68,6 +69,11 @@ def valid_sql(name: str, chunk: str = "chunk") -> str:
             f"WHEN {x} * 2 > 9 THEN {x} * 2 - 9 ELSE {x} * 2 END))"
         )
         return f"(length({d}) BETWEEN 13 AND 19 AND {total} % 10 = 0)"
+    if name == "ipv6":
+        t = rf"regexp_replace(lower({chunk}), {q(V.IPV4_TAIL)}, ':0:0')"
+        sides, n = f"string_split({t}, '::')", f"len(regexp_extract_all({t}, '[0-9a-f]+'))"
+        plain = f"len(list_filter({sides}, lambda s: s <> '' AND NOT regexp_matches(s, {q(V.IPV6_GROUPS)}))) = 0"
+        return f"CASE WHEN NOT ({plain} AND CASE len({sides}) WHEN 1 THEN {n} = 8 WHEN 2 THEN {n} BETWEEN 1 AND 7 ELSE false END) THEN false END"
     if name == "iban":
         code = f"upper(replace({chunk}, ' ', ''))"
         turned = f"(substr({code}, 5) || substr({code}, 1, 4))"
