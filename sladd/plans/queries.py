@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sladd.functions import filters, spans as S, validators as V
 from sladd.functions.text import exploded, let, not_blank
-from sladd.operators import aggregates as A, audit, flags, hooks, joins, lexicons, language, markup, tables
+from sladd.operators import aggregates as A, audit, flags, hooks, islands, joins, lexicons, language, markup, tables
 from sladd.plans import oracles as O
 from sladd.plans.analyze import anonymize, with_spans
 from sladd.plans.fixtures import fixture_sql
@@ -16,7 +16,7 @@ from sladd.rules.headers import HEADER_RULES
 from sladd.rules.languages import NORWEGIAN_TRAINING_TEXT
 from sladd.rules.special import SPECIAL_CATEGORIES, SPECIAL_KEYS
 from sladd.rules.words import DEFAULT_LEXICON
-from sladd.sources import readers, writers
+from sladd.sources import ledger, readers, writers
 
 REGISTRY: dict = {}
 
@@ -377,6 +377,14 @@ def overlap_resolve(spark, folder):
     return A.resolve_spans(fixture(spark, folder, "spans")).withColumnRenamed("end", "stop")
 
 
+@query("overlap_islands",
+       O.with_([("cand", O.fx("spans")), *O.resolve_ctes()], 'SELECT unit_id, entity, start, "end" AS stop, round(score, 4) AS score, src FROM kept'))
+def overlap_islands(spark, folder):
+    """The same spans, resolved by islands of rows instead of one array a unit."""
+    kept = islands.resolve_rows(fixture(spark, folder, "spans"))
+    return kept.select("unit_id", "entity", "start", F.col("end").alias("stop"), F.round("score", 4).alias("score"), "src")
+
+
 @query("header_rule_join",
        f"SELECT header_id, header, {_header_case(range(1, len(HEADER_RULES) + 1))} AS prio, {_HEADER_PLACEHOLDER} "
        f"AS placeholder FROM ({O.fx('header')}) AS h")
@@ -471,6 +479,19 @@ def anonymize_documents(spark, folder):
     return anonymize(documents(spark, folder), keep_spans=False)
 
 
+@query("stream_redact", O.redact_sql(O.DOCUMENTS))
+def stream_redact(spark, folder):
+    """The documents as a stream into a ledger; what it holds is what the table gives."""
+    home = writers.scratch_folder(spark)
+    units = documents(spark, folder)
+    # a stream reads folders only, and the table may be one file
+    units.write.parquet(f"{home}/in")
+    units = spark.readStream.schema(units.schema).parquet(f"{home}/in")
+    out = ledger.Ledger(spark, f"{home}/out")
+    ledger.redact_stream(units, out, f"{home}/checkpoint", lambda df: anonymize(df, keep_spans=False)).awaitTermination()
+    return out.read("redacted").drop("batch")
+
+
 @query("name_table_redact", O.redact_sql(MIXED))
 def name_table_redact(spark, folder):
     """The whole analysis with a table of names that grows with the data; names of orders occur in no text."""
