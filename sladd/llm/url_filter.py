@@ -1,9 +1,11 @@
 """URL filtering with mined association rules, in DataFrame functions only.
 
-URLs of labelled pages become sets of host and path tokens plus their label. Spark's FP-growth mines the frequent
-combinations; those that imply the label ``block`` with enough confidence and support are the rules. A rule stands in an
-inverted index under its rarest token, so a URL meets only rules whose rarest token it has, and each of these is then
-compared in full. A rule with more tokens and no more confidence than one that its tokens contain is pruned: it decides nothing.
+URLs of labelled pages become sets of host and path tokens plus their label. Frequent tokens that occur in exactly the same
+labelled rows are one item, so that a long URL with many labels is one item rather than all subsets of its tokens. Spark's
+FP-growth mines the frequent combinations of items; those that imply the label ``block`` with enough confidence and support are the rules. A rule stands in an
+inverted index under its rarest item, so a URL meets only rules whose rarest item it has, and each of these is then
+compared in full. A URL has an item if it has one of its tokens: each of them alone has the item's support and confidence.
+A rule with more items and no more confidence than one that its items contain is pruned: it decides nothing.
 A list of host and path rules comes first and is matched row by row.
 
 Cases: a null URL or one without ``://`` has an empty host and path and meets no rule, so it is allowed; the longest of
@@ -18,6 +20,8 @@ import math
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sladd.llm.common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Verdict and rule, a host followed by the start of a path.
@@ -55,11 +59,35 @@ def listed_rule(host: Column, path: Column, rules=LISTED) -> Column:
     return F.array_max(F.array(*entries)) if entries else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
+def least_rows(n: int, support: float, least: int) -> int:
+    return max(least, math.ceil(support * n))
+
+
+def same_rows(labelled: DataFrame, tokens: str = "tokens", support: float = SUPPORT, least: int = LEAST_ROWS) -> DataFrame:
+    """``token, item`` of the frequent tokens; tokens of exactly the same rows share an item, the first of them by name.
+
+    Rows are told apart by their number ``row``; a set of rows is known by its size, a sum and an exclusive or of two hashes.
+    """
+    a, b = F.xxhash64("row"), F.xxhash64("row", F.lit(1))
+    each = labelled.select(F.explode(tokens).alias("token"), a.cast("decimal(38,0)").alias("a"), b.alias("b"))
+    sets = each.groupBy("token").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.bit_xor("b").alias("b"))
+    often = sets.filter(F.col("n") >= least_rows(labelled.count(), support, least))
+    first = often.groupBy("n", "a", "b").agg(F.min("token").alias("item"))
+    return often.join(first, ["n", "a", "b"]).select("token", "item")
+
+
+def as_items(rows: DataFrame, classes: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The same rows with the items of their tokens instead; rows without any are left out."""
+    rest = [c for c in rows.columns if c != tokens]
+    numbered = rows.withColumn("token", F.explode(tokens)).drop(tokens)
+    return numbered.join(classes, "token").groupBy(*rest).agg(F.collect_set("item").alias(tokens))
+
+
 def mine(labelled: DataFrame, tokens: str = "tokens", block: str = "block", support: float = SUPPORT, least: int = LEAST_ROWS,
          confidence: float = CONFIDENCE) -> DataFrame:
-    """``rule_tokens, confidence, key`` of the rules for blocking; ``key`` is the rarest token."""
+    """``rule_tokens, confidence, key`` of the rules for blocking, over the items that :func:`judge` makes; ``key`` is the rarest."""
     n = labelled.count()
-    rows = max(least, math.ceil(support * n))
+    rows = least_rows(n, support, least)
     items = labelled.select(F.concat(F.col(tokens), F.when(F.col(block), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (rows - 0.5) / max(n, 1)), minConfidence=confidence).fit(items)
     rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence")
@@ -80,8 +108,15 @@ def judge(pages: DataFrame, labels: DataFrame, url: str = "url", key: str = "pag
     distinct = base.select("url", "host", "path").distinct().select("url", url_tokens(F.col("host"), F.col("path")).alias("tokens"))
     marks = labels.groupBy(F.col(label_key).alias("mark")).agg(F.max((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("block"))
     labelled = base.join(marks, base[key] == marks.mark).select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "block")
-    mined = mine(labelled, **limits)
-    met = distinct.select("url", "tokens", F.explode("tokens").alias("key")).join(mined, "key")
+    bounds = {k: v for k, v in limits.items() if k in ("support", "least")}
+    # stored, so that the number of a row is the same whenever a task runs again
+    labelled = written(labelled.withColumn("row", F.monotonically_increasing_id()))
+    classes = written(same_rows(labelled, **bounds))
+    # a row without frequent tokens counts, though no rule can hold for it
+    some = labelled.select("row", "block", F.explode_outer("tokens").alias("token")).join(classes, "token", "left")
+    mined = written(mine(some.groupBy("row", "block").agg(F.collect_set("item").alias("tokens")), **limits))
+    met = as_items(distinct.select("url", "tokens"), classes)
+    met = met.select("url", "tokens", F.explode("tokens").alias("key")).join(mined, "key")
     met = met.filter(F.size(F.array_except("rule_tokens", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
     out = base.join(met, "url", "left").withColumn("listed", listed_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("listed.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))

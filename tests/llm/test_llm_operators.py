@@ -424,3 +424,43 @@ class TestSuffixes:
 def test_digest_is_sha256(docs):
     row = exact_dedup.text_digests(docs([(1, "ABC")])).first()
     assert bytes(row.digest) == hashlib.sha256(b"abc").digest()
+
+
+class TestLongUrls:
+    def plain(self, pages, labels, least=5, support=0.002, confidence=0.5):
+        """Whether some frequent set of tokens implies blocking; sets are grown one token at a time."""
+        marks = {}
+        for key, quality, toxic in labels:
+            marks[key] = marks.get(key, False) or toxic == 1 or quality == 0
+        tokens = {k: frozenset(self.tokens(u)) for k, u in pages}
+        seen = [(tokens[k], marks[k]) for k, _ in pages if k in marks]
+        rows, rules, level = max(least, -(-len(seen) * 2 // 1000)), set(), {frozenset()}
+        while level:
+            grown = {s | {t} for s in level for ts, _ in seen if s <= ts for t in ts - s}
+            level = set()
+            for g in grown:
+                hold = [b for ts, b in seen if g <= ts]
+                if sum(hold) >= rows:
+                    (rules if sum(hold) >= confidence * len(hold) else level).add(g)
+        return {k: any(r <= tokens[k] for r in rules) for k, _ in pages}
+
+    def tokens(self, url):
+        host, _, path = url.split("://", 1)[1].partition("/")
+        return ["h:" + t for t in host.lower().split(".") if t] + ["p:" + t for t in "".join(c if c.isalnum() else " " for c in path.lower()).split()]
+
+    def test_equal_long_urls_end(self, spark):
+        """Six equal URLs of 40 tokens: all subsets are frequent."""
+        long = "http://w.example.net/" + "/".join(f"t{i}" for i in range(40))
+        rows = [(i, long) for i in range(6)] + [(10, "http://x.net/t3/other"), (11, "http://x.net/none"), (12, None)]
+        pages = spark.createDataFrame(rows, "page_id long, url string")
+        labels = spark.createDataFrame([(i, 0, 1) for i in range(6)] + [(11, 1, 0), (12, None, None)], "doc_id long, quality int, toxic int")
+        out = {r.page_id: r.verdict for r in url_filter.judge(pages, labels).collect()}
+        assert out == {**{i: "block" for i in range(6)}, 10: "block", 11: "block" if self.plain(rows[:-1], [(i, 0, 1) for i in range(6)] + [(11, 1, 0)])[11] else "allow", 12: "allow"}
+
+    def test_against_plain(self, spark):
+        rng = random.Random(9)
+        rows = [(i, "http://" + rng.choice(("a.net", "b.a.net", "c.io")) + "/" + "/".join(rng.choices(["x", "y", "z", "u v", "w"], k=rng.randint(0, 4)))) for i in range(150)]
+        rows += [(200 + i, "http://a.net/one/two/three/four/five") for i in range(8)]
+        labels = [(i, rng.choice((0, 1, 1, None)), rng.choice((0, 0, 0, 1, None))) for i in range(0, 150, 2)] + [(200 + i, 0, 0) for i in range(7)]
+        out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=())
+        assert {r.page_id: r.verdict == "block" for r in out.collect()} == self.plain(rows, labels)

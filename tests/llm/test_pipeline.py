@@ -11,7 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op2_license_scan", "op3_line_dedup", "op5_exact_dedup", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_license_scan", "op3_line_dedup", "op5_exact_dedup", "op6_jaccard_join", "op8_decontaminate", "op10_suffix_dedup",
+                                  "op11_resample"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages", "benchmark", "labels"):
