@@ -1,15 +1,20 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree whose nodes are tag paths with classes and ids. For each node, Spark counts how
-many pages show it in which style (sequence of child tags) and with which content. A node's importance is
-``(1 - GAMMA) * style + GAMMA * content``: style is the entropy of its styles to the base of its pages, content is one minus
-the mean entropy of its texts over the pages, so what repeats from page to page is unimportant. Branches below
-``LEAST_IMPORTANCE`` are removed from each page. Pages of a host whose nodes have equal styles and texts are copies and count as
-one page, so a page isn't boilerplate for being copied. Two priors complete the tree: nodes that markup names as menus, adverts,
-forms and the like have importance zero on any page, and ``article`` or ``main`` are likely content, so their branches start
-from the importance ``PRIOR``. What stands beside them stays too, unless markup names it or it is unimportant. Where importance
-would leave nothing of a page, its articles and main stay. Counts are summed before the shuffle, so a hot host costs a row for each
-distinct node text; only the copies of a page, one from each task, meet in one task.
+The pages of a host are merged into one tree whose nodes are tag paths with classes and ids. Its leaves are the blocks that hold
+text. For each leaf, Spark counts how many pages show it in which style (sequence of child tags), on how many pages each of its
+texts stands, and which share of its characters is link text. The importance of a leaf is
+``((1 - GAMMA) * style + GAMMA * content) * (1 - LINKED * links)``: style is the entropy of its styles to the base of its pages,
+content is one minus the mean entropy of its texts over the pages, so what repeats from page to page is unimportant, and lists
+of nothing but links are worth less. On each page a branch is as important as its leaves, weighted by their text, and branches below
+``LEAST_IMPORTANCE`` are removed. Inline tags belong to their block, so no link or bold word is cut out of a sentence. Pages of a
+host whose leaves have equal styles and texts are copies and count as one page, so a page isn't boilerplate for being copied. Two
+priors complete the tree: nodes that markup names as menus, adverts, forms and the like have importance zero on any page, and
+``article`` or ``main`` are likely content, so their leaves start from the importance ``PRIOR``. What stands beside them stays too,
+unless markup names it or it is unimportant. Where importance would leave nothing of a page, its articles and main stay. Rows
+are summed before each shuffle, so a hot host costs a row for each distinct text of a node; copies of a page meet by its digest.
+
+Nodes are known by a hash of their path that is rolled from parent to child, and open tags by their places, so a page costs
+time and memory in proportion to its length, however deep its unclosed tags nest.
 
 Cases: null or empty html gives an empty text; a page that is alone on its host, or whose node is on fewer than
 ``LEAST_PAGES`` distinct pages, loses only what markup names; unclosed tags end with their parent; a null URL has the empty host;
@@ -19,19 +24,23 @@ repeated rows are extracted each; an empty table gives no rows; other columns ar
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sladd.llm.common import parts, short_batches, text_bytes, written
+from sladd.llm.common import short_batches, text_bytes, written
 from sladd.llm.url_filter import address
 
 GAMMA, LEAST_IMPORTANCE, LEAST_PAGES = 0.9, 0.25, 3
 #: The share of importance that a branch of an article or main has before its pages are looked at.
 PRIOR = 0.2
+#: The share of its importance that a leaf outside articles loses where all its text is in links.
+LINKED = 0.8
+#: Up to so many nodes of all sites are broadcast (some 30 MB); more are joined with the pages of a host over ``SALTS`` tasks.
+MOST_NODES, SALTS = 1_000_000, 32
 MARK = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -47,6 +56,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACE = frozenset("br td th option img".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = ("ul", "ol", "dl", "table", "select")
 NOISE_TAGS = frozenset("nav aside form footer button select datalist dialog menu head object canvas audio video input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
@@ -59,13 +69,30 @@ FIRM_NAMES = frozenset("comment comments reply replies disqus related recommende
 LAYOUT = frozenset("has with no without free layout".split())
 #: Kinds of noise: none, by a name that may also be that of a wrapper, for certain.
 NONE, NAMED, FIRM = range(3)
+MASK = (1 << 64) - 1
 
 
 class Node:
-    __slots__ = ("parent", "tag", "path", "noise", "inside", "kids")
+    __slots__ = ("parent", "tag", "path", "noise", "inside", "kids", "block", "linked", "size", "worth", "gone")
 
     def __init__(self, parent, tag, path, noise, inside):
         self.parent, self.tag, self.path, self.noise, self.inside, self.kids = parent, tag, path, noise, inside, []
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.linked = tag == "a" or parent is not None and parent.linked
+        self.size, self.worth, self.gone = 0, 0.0, False
+
+
+def step(path: int, label: str) -> int:
+    """The path of a child, as a signed 64-bit number; 0 is the page itself."""
+    return xxhash.xxh3_64_intdigest(label, seed=path & MASK) - (1 << 63)
+
+
+def path_of(names: str) -> int:
+    """The number of a path given as ``/tag.class/tag``."""
+    path = 0
+    for label in names.split("/")[1:]:
+        path = step(path, label)
+    return path
 
 
 def names_of(attributes: str) -> tuple[list[str], str, int]:
@@ -93,18 +120,27 @@ def hidden(attributes: str) -> bool:
     return False
 
 
-def parse(page: str) -> list[tuple[Node | None, str | None]]:
-    """The page as a list of events: a text with its node, or a node with None at a block's edge."""
-    root = Node(None, "", "", NONE, None)
-    stack, events, at = [root], [], 0
+def parse(page: str) -> tuple[list[tuple[Node | None, str | None]], list[Node]]:
+    """The page as a list of events, a text with its node or a node with None at a block's edge, and its nodes, parents first."""
+    root = Node(None, "", 0, NONE, None)
+    stack, events, nodes, at = [root], [], [root], 0
+    places = defaultdict(list)  # of each open tag in the stack
 
     def text(raw):
         if raw:
             events.append((stack[-1], unescape(raw) if "&" in raw else raw))
 
+    def last(tags):
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def first(tags):
+        return min((places[t][0] for t in tags if places[t]), default=0)
+
     def close_to(index):
         if any(n.tag in BLOCK for n in stack[index:]):
             events.append((stack[index], None))
+        for n in stack[index:]:
+            places[n.tag].pop()
         del stack[index:]
 
     for m in MARK.finditer(page):
@@ -115,32 +151,19 @@ def parse(page: str) -> list[tuple[Node | None, str | None]]:
             continue
         tag = tag.lower()
         if m.group(2):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close_to(i)
-                    break
+            if places[tag]:
+                close_to(places[tag][-1])
             continue
-        if tag in BLOCK and any(n.tag == "p" for n in stack[-4:]):  # a paragraph ends where a block begins
-            i = max(i for i, n in enumerate(stack) if n.tag == "p")
+        if tag in BLOCK and last(("p",)) >= max(1, len(stack) - 4):  # a paragraph ends where a block begins
+            i = last(("p",))
             if not any(n.tag in BLOCK for n in stack[i + 1 :]):
                 close_to(i)
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    close_to(i)
-                    break
-                if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
-        if tag in ("article", "main"):  # never a part of a menu or footer left open
-            for i in range(1, len(stack)):
-                if stack[i].tag in ("nav", "footer", "header", "form", "head"):
-                    close_to(i)
-                    break
-        if tag == "body":
-            for i in range(1, len(stack)):
-                if stack[i].tag == "head":
-                    close_to(i)
-                    break
+        if tag in CLOSES and last(CLOSES[tag]) > last(LISTS):
+            close_to(last(CLOSES[tag]))
+        if tag in ("article", "main") and first(("nav", "footer", "header", "form", "head")):  # never a part of a menu or footer left open
+            close_to(first(("nav", "footer", "header", "form", "head")))
+        if tag == "body" and places["head"]:
+            close_to(first(("head",)))
         parent, attributes = stack[-1], m.group(4)
         named, role, noise = names_of(attributes) if "=" in attributes else ([], "", NONE)
         inside = parent.inside or (tag if tag in ("article", "main") else None)
@@ -155,128 +178,146 @@ def parse(page: str) -> list[tuple[Node | None, str | None]]:
         # a wrapper that is named after a sidebar or menu doesn't make the article in it one
         if not (tag in ("article", "main") and parent.noise == NAMED):
             noise = max(noise, parent.noise)
-        node = Node(parent, tag, f"{parent.path}/{tag}" + ("." + ".".join(named) if named else ""), noise, inside)
+        node = Node(parent, tag, step(parent.path, tag + ("." + ".".join(named) if named else "")), noise, inside)
+        nodes.append(node)
         parent.kids.append(tag)
         if tag in BLOCK:
             events.append((node, None))
         if tag in SPACE:
             events.append((parent, " "))
         if tag not in VOID and not attributes.endswith("/"):
+            places[tag].append(len(stack))
             stack.append(node)
     text(page[at:])
-    return events
+    return events, nodes
+
+
+def runs(events: list) -> list[list[tuple[Node, str]]]:
+    """The texts between two edges of blocks, which are one block of the page."""
+    out, current = [], []
+    for node, text in events:
+        if text is not None:
+            current.append((node, text))
+        elif current:
+            out.append(current)
+            current = []
+    return out + [current] if current else out
+
+
+def leaves(page: str) -> dict[int, tuple]:
+    """Path of each block with text: whether it's in an article, digests of style and texts, characters, those in links."""
+    events, nodes = parse(page)
+    texts, sizes, styles = defaultdict(dict), defaultdict(lambda: [0, 0]), defaultdict(list)
+    inside = {}
+    for run in runs(events):
+        content = " ".join("".join(t for _, t in run).split())
+        block = run[0][0].block
+        if content and block.path:
+            texts[block.path][xxhash.xxh3_64_intdigest(content) - (1 << 63)] = None
+            size = sizes[block.path]
+            for node, text in run:
+                n = len(text.strip())
+                size[0] += n
+                size[1] += n * node.linked
+            inside[block.path] = block.inside is not None
+    for node in nodes:
+        if node.path in texts:
+            styles[node.path].append(",".join(node.kids))
+    return {p: (inside[p], xxhash.xxh3_64_intdigest("|".join(styles[p])) - (1 << 63), list(texts[p]), *sizes[p]) for p in sorted(texts)}
+
+
+#: A row of a page: a leaf with its style (kind 0) or one of its texts (kind 1).
+LEAF = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("digest", pa.int64()), ("inside", pa.bool_()), ("size", pa.int64()), ("links", pa.int64())])
 
 
 def _pages(batches):
-    """Each distinct page of a host in one task: host, digest, and its nodes with the digests of style and content."""
-    held: set = set()
-    names = ["host", "page", "nodes", "styles", "contents"]
+    """Host, digest and leaves of each page; copies in a batch are one row."""
     for batch in batches:
-        out = []
+        out = {}
         for host, page in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-            nodes: dict[str, tuple[list, dict]] = {}
-            for node, text in parse(page.decode()):
-                text = text and text.strip()
-                while text and node.path:  # a branch has the texts of all below it
-                    texts, same = nodes.setdefault(node.path, ([], {}))
-                    texts.append(text)
-                    same[id(node)] = node
-                    node = node.parent
-            paths = sorted(nodes)
-            styles = [xxhash.xxh3_64_intdigest("|".join(",".join(n.kids) for n in nodes[p][1].values())) - (1 << 63) for p in paths]
-            contents = [xxhash.xxh3_64_intdigest("\x00".join(nodes[p][0])) - (1 << 63) for p in paths]
-            digest = xxhash.xxh3_128_digest(repr((paths, styles, contents)))
-            if paths and (host, digest) not in held:
-                if len(held) > 1_000_000:  # the copies that pass are found after the shuffle
-                    held.clear()
-                held.add((host, digest))
-                out.append((host, digest, paths, styles, contents))
-        kinds = pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())
-        yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
-
-
-def _counts(batches):
-    """Counts of one task: host, node, kind (0 style, 1 content), digest, pages; all copies of a page meet here and count once."""
-    held: Counter = Counter()
-    known: set = set()
-
-    def flush():
-        keys = list(held)
-        out = pa.record_batch([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))]
-                              + [pa.array(list(held.values()), pa.int64())], names=["host", "node", "kind", "digest", "pages"])
-        held.clear()
-        return out
-
-    for batch in batches:
-        for host, digest, *nodes in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if (host, digest) in known:
-                continue
-            known.add((host, digest))
-            for path, style, content in zip(*nodes):
-                held[host, path, 0, style] += 1
-                held[host, path, 1, content] += 1
-            if len(held) > 100_000:
-                yield flush()
-    yield flush()
+            rows = []
+            for path, (inside, style, texts, size, links) in leaves(page.decode()).items():
+                rows.append((path, 0, style, inside, size, links))
+                rows += ((path, 1, text, inside, 0, 0) for text in texts)
+            if rows:
+                out[host, xxhash.xxh3_128_digest(repr([r[:3] for r in rows]))] = rows
+        lists = [[dict(zip(("node", "kind", "digest", "inside", "size", "links"), r)) for r in rows] for rows in out.values()]
+        yield pa.record_batch([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.binary()), pa.array(lists, pa.list_(LEAF))],
+                              names=["host", "page", "leaves"])
 
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, node, pages, importance`` of the site style trees; ``pages`` are distinct ones."""
-    spark = pages.sparkSession
+    """``host, node, pages, importance`` of the leaves of the site style trees; ``pages`` are distinct ones."""
     each = short_batches(pages).select(address(F.col(url))[0].alias("host"), F.col(html)).mapInArrow(
-        _pages, "host string, page binary, nodes array<string>, styles array<long>, contents array<long>")
-    seen = each.repartition(parts(spark), "host", "page").mapInArrow(_counts, "host string, node string, kind int, digest long, pages long")
-    styles = seen.groupBy("host", "node", "kind", "digest").agg(F.sum("pages").alias("c"))
-    nodes = styles.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"),
-        F.sum(F.when(F.col("kind") == 0, F.col("c") * F.log(F.col("c").cast("double")))).alias("spread"),
-        F.avg(F.when(F.col("kind") == 1, F.log(F.col("c").cast("double")))).alias("repeat"))
+        _pages, "host string, page binary, leaves array<struct<node long, kind int, digest long, inside boolean, size long, links long>>")
+    rows = each.dropDuplicates(["host", "page"]).select("host", F.inline("leaves"))
+    counts = rows.groupBy("host", "node", "kind", "digest").agg(F.count("*").alias("c"), F.max("inside").alias("inside"), F.sum("size").alias("size"), F.sum("links").alias("links"))
+    style, text = F.col("kind") == 0, F.col("kind") == 1
+    many = F.col("c") * F.log(F.col("c").cast("double"))
+    nodes = counts.groupBy("host", "node").agg(
+        F.max("inside").alias("inside"),
+        F.sum(F.when(style, F.col("c"))).alias("pages"),
+        F.sum(F.when(style, many)).alias("spread"),
+        (F.sum(F.when(text, many)) / F.sum(F.when(text, F.col("c")))).alias("repeat"),
+        (F.sum("links") / F.sum("size")).alias("linked"))
     base = F.log(F.col("pages").cast("double"))
-    style = (base - F.col("spread") / F.col("pages")) / base
-    value = F.when(F.col("pages") > 1, (1 - GAMMA) * style + GAMMA * (1 - F.col("repeat") / base)).otherwise(1.0)
-    value = F.when(F.col("node").rlike(r"/(article|main)([./]|$)"), PRIOR + (1 - PRIOR) * value).otherwise(value)
-    return nodes.select("host", "node", "pages", value.alias("importance"))
+    value = (1 - GAMMA) * (base - F.col("spread") / F.col("pages")) / base + GAMMA * (1 - F.col("repeat") / base)
+    value = F.when(F.col("inside"), PRIOR + (1 - PRIOR) * value).otherwise(value * (1 - LINKED * F.col("linked")))
+    return nodes.select("host", "node", "pages", F.when(F.col("pages") > 1, value).otherwise(1.0).alias("importance"))
 
 
-def blocks(page: str, unimportant: frozenset[str]) -> list[str]:
-    """Blocks of the main text; ``unimportant`` has the nodes to remove with all below them."""
-    events = parse(page)
-    return _blocks(events, unimportant) or (_blocks([e for e in events if e[1] is None or e[0].inside], frozenset()) if unimportant else [])
+def blocks(page: str, unimportant: frozenset[str] = frozenset()) -> list[str]:
+    """Blocks of the main text; ``unimportant`` has the paths to remove with all below them."""
+    return main_text(page, {path_of(p): 0.0 for p in unimportant})
 
 
-def _blocks(events: list, unimportant: frozenset[str]) -> list[str]:
-    out, current = [], []
+def main_text(page: str, values: dict[int, float], least: float = LEAST_IMPORTANCE) -> list[str]:
+    """Blocks of the page without branches whose leaves have less than the least importance; a leaf without a value has 1."""
+    events, nodes = parse(page)
+    found = runs(events)
+    if values:
+        for run in found:
+            size = sum(len(t.strip()) for _, t in run)
+            block = run[0][0].block
+            block.size += size
+            block.worth += size * values.get(block.path, 1.0)
+        for node in reversed(nodes):
+            parent = node.parent
+            if parent is not None and parent.inside == node.inside:  # what stands above an article decides nothing in it
+                parent.size += node.size
+                parent.worth += node.worth
+        for node in nodes[1:]:
+            parent = node.parent
+            node.gone = parent.gone and parent.inside == node.inside or node.size > 0 and node.worth < least * node.size
+    return joined(found, lambda n: not n.gone) or (joined(found, lambda n: n.inside) if values else [])
 
-    def removed(node):
-        inside = node.inside
-        while node.path and node.inside == inside:  # what stands above an article decides nothing in it
-            if node.path in unimportant:
-                return True
-            node = node.parent
-        return False
 
-    for node, text in events:
-        if text is None:
-            if current:
-                out.append(" ".join("".join(current).split()))
-                current = []
-        elif not node.noise and not (unimportant and removed(node)):
-            current.append(text)
-    if current:
-        out.append(" ".join("".join(current).split()))
-    return [b for b in out if b]
-
-
-def _extract(batches):
-    for batch in batches:
-        texts = ["\n\n".join(blocks(page.decode(), frozenset(nodes or ()))) for page, nodes in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist())]
-        yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["rest", "text"])
+def joined(found: list, stays) -> list[str]:
+    texts = (" ".join("".join(t for node, t in run if not node.noise and stays(node.block)).split()) for run in found)
+    return [t for t in texts if t]
+
+
+def _extract(least: float):
+    def run(batches):
+        for batch in batches:
+            sites = (dict(zip(n or (), v or ())) for n, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            texts = ["\n\n".join(main_text(page.decode(), values, least)) for page, values in zip(text_bytes(batch.column(1)), sites)]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["rest", "text"])
+
+    return run
 
 
 def extract(pages: DataFrame, keys: list[str], url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``rest`` (struct of ``keys``) and ``text``, blocks joined by two line ends."""
-    low = importance(pages, url, html).filter((F.col("pages") >= least_pages) & (F.col("importance") < least))
-    low = written(low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("nodes")))  # nodes of a site, not of its pages
+    known = importance(pages, url, html).filter(F.col("pages") >= least_pages)
+    # Only sites with a low leaf can lose a branch. The others keep all that markup doesn't name.
+    sites = known.groupBy("host").agg(F.min("importance").alias("lowest"), F.collect_list(F.struct("node", "importance")).alias("n")).filter(F.col("lowest") < least)
+    sites = written(sites.select("host", F.col("n.node").alias("nodes"), F.col("n.importance").alias("worths")))  # leaves of a site, not of its pages
     base = pages.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("rest"), F.col(html).alias("html"), address(F.col(url))[0].alias("host"))
     kind = base.schema["rest"].dataType.simpleString()
-    return base.join(low, "host", "left").select("rest", "html", "nodes").mapInArrow(_extract, f"rest {kind}, text string")
+    if (sites.agg(F.sum(F.size("nodes") + 8)).first()[0] or 0) <= MOST_NODES:
+        both = base.join(F.broadcast(sites), "host", "left")
+    else:  # a hot host is spread by its pages
+        both = base.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS))).join(
+            sites.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"], "left")
+    return both.select("rest", "html", "nodes", "worths").mapInArrow(_extract(least), f"rest {kind}, text string")
