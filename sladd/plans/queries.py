@@ -16,7 +16,7 @@ from sladd.rules.headers import HEADER_RULES
 from sladd.rules.languages import NORWEGIAN_TRAINING_TEXT
 from sladd.rules.special import SPECIAL_CATEGORIES, SPECIAL_KEYS
 from sladd.rules.words import DEFAULT_LEXICON
-from sladd.sources import ledger, readers, writers
+from sladd.sources import ledger, readers, records, writers
 
 REGISTRY: dict = {}
 
@@ -87,17 +87,29 @@ def _csv_files(spark, header, lines):
     return f"{out}/part=*"
 
 
-@query("read_csv_text",
-       "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 5 <> 1 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey, "
-       "CASE WHEN c_custkey % 5 <> 1 THEN c_mktsegment || ', ' || chr(34) || 'q' || chr(34) || chr(10) || 'x' END AS note, "
-       "CASE WHEN c_custkey % 5 = 0 THEN 'a, ' || chr(34) || 'b' || chr(34) || '|' || c_mktsegment WHEN c_custkey % 5 = 2 THEN '' END AS overflow FROM customer")
-def read_csv_text(spark, folder):
-    """Rows as long as the header, shorter ones and longer ones."""
+CSV_ROWS = (
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 5 <> 1 THEN CAST(c_nationkey AS VARCHAR) END AS c_nationkey, "
+    "CASE WHEN c_custkey % 5 <> 1 THEN c_mktsegment || ', ' || chr(34) || 'q' || chr(34) || chr(10) || 'x' END AS note, "
+    "CASE WHEN c_custkey % 5 = 0 THEN 'a, ' || chr(34) || 'b' || chr(34) || '|' || c_mktsegment WHEN c_custkey % 5 = 2 THEN '' END AS overflow FROM customer")
+
+
+def _customer_csv(spark, folder):
     line = F.expr('''
         c_custkey || ',' || c_name || CASE WHEN c_custkey % 5 = 1 THEN '' ELSE ',' || c_nationkey || ',"' || c_mktsegment || ', ""q""\nx"' END ||
         CASE c_custkey % 5 WHEN 0 THEN ',"a, ""b""",' || c_mktsegment WHEN 2 THEN ',' ELSE '' END''')
-    path = _csv_files(spark, "c_custkey,c_name,c_nationkey,note", table(spark, folder, "customer").select(line.alias("line")))
-    return readers.read_csv_text(spark, path).withColumn("overflow", F.array_join("overflow", "|"))
+    return _csv_files(spark, "c_custkey,c_name,c_nationkey,note", table(spark, folder, "customer").select(line.alias("line")))
+
+
+@query("read_csv_text", CSV_ROWS)
+def read_csv_text(spark, folder):
+    """Rows as long as the header, shorter ones and longer ones."""
+    return readers.read_csv_text(spark, _customer_csv(spark, folder)).withColumn("overflow", F.array_join("overflow", "|"))
+
+
+@query("read_csv_records", CSV_ROWS)
+def read_csv_records(spark, folder):
+    """The same files, whose notes hold line ends, by as many tasks as they have splits."""
+    return records.read_csv_records(spark, _customer_csv(spark, folder)).withColumn("overflow", F.array_join("overflow", "|"))
 
 
 @query("read_typed_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sladd.rules.media import AUDIO_SUFFIXES, IMAGE_SUFFIXES, SUPPORTED_SUFFIXES, VIDEO_SUFFIXES
+from sladd.sources.records import fields, unquoted
 
-# A field of a CSV record with what separates it from the field before.
-_FIELD = r'(?s)(?:^|,)(?:"((?:[^"]|"")*+)"|([^,]*+))'
 CORRUPT = "_corrupt_record"
 
 
@@ -32,22 +31,22 @@ def read_text_units(spark: SparkSession, path: str) -> DataFrame:
 def read_csv_text(spark: SparkSession, path: str, multi_line: bool = True, overflow: str | None = "overflow") -> DataFrame:
     """CSV with a header, every column as text. Short rows are padded with nulls.
 
-    Cells beyond the header go to the array ``overflow`` (null for other rows); with ``overflow=None`` a longer
-    row raises nothing and its extra cells are lost, so give a name unless the input is known. ``multi_line``
-    allows line ends inside quotes but makes each file one task; turn it off for large files without them.
+    Cells beyond the header go to the array ``overflow`` (null for other rows); with ``overflow=None`` a longer row
+    raises an error. ``multi_line`` allows line ends inside quotes but makes each file one task; turn it off for large
+    files without them, or read large files with them by ``records.read_csv_records``.
     """
     options = {"header": True, "multiLine": multi_line, "escape": '"', "encoding": "UTF-8"}
     header = spark.read.options(**options, inferSchema=False).csv(path).schema
-    if overflow is None:
-        return spark.read.options(**options).schema(header).csv(path)
     names = [f.name for f in header.fields]
     read = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(header.add(CORRUPT, "string")).csv(path)
-    record = F.regexp_replace(CORRUPT, r"[\r\n]+\z", "")
-    fields = F.regexp_extract_all(record, F.lit(_FIELD), 0)
-    extra = F.slice(fields, len(names) + 1, F.greatest(F.size(fields) - len(names), F.lit(0)))
-    plain = F.transform(extra, lambda c: F.regexp_replace(c, r"\A,", ""))
-    cells = F.transform(plain, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, r'\A"|"\z', ""), F.lit('""'), F.lit('"'))).otherwise(c))
-    return read.select(*[F.col(f"`{n}`") for n in names], F.when(F.size(fields) > len(names), cells).alias(overflow))
+    raw = fields(F.regexp_replace(CORRUPT, r"[\r\n]+\z", ""))
+    columns = [F.col(f"`{n}`") for n in names]
+    longer = F.size(raw) > len(names)
+    if overflow is None:
+        fits = F.assert_true(~F.coalesce(longer, F.lit(False)), F.lit("a row has more cells than the header"))
+        return read.where(fits.isNull()).select(*columns)
+    extra = F.slice(raw, len(names) + 1, F.greatest(F.size(raw) - len(names), F.lit(0)))
+    return read.select(*columns, F.when(longer, F.transform(extra, unquoted)).alias(overflow))
 
 
 def read_typed_table(spark: SparkSession, path: str) -> DataFrame:
