@@ -106,10 +106,15 @@ def read_csv_text(spark, folder):
     return readers.read_csv_text(spark, _customer_csv(spark, folder)).withColumn("overflow", F.array_join("overflow", "|"))
 
 
-@query("read_csv_records", CSV_ROWS)
+@query("read_csv_records", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, nullif(source, '') AS source, "
+       "CASE WHEN doc_id % 5 = 0 THEN 'x' || chr(10) || coalesce(lang, '') END AS overflow FROM documents")
 def read_csv_records(spark, folder):
-    """The same files, whose notes hold line ends, by as many tasks as they have splits."""
-    return records.read_csv_records(spark, _customer_csv(spark, folder)).withColumn("overflow", F.array_join("overflow", "|"))
+    """Whole documents as quoted cells, line ends inside, read by as many tasks as the files have splits."""
+    quoted = """'"' || replace(coalesce({0}, ''), '"', '""') || '"'"""
+    line = F.expr(f"""doc_id || ',' || {quoted.format("text")} || ',' || {quoted.format("source")} ||
+        CASE WHEN doc_id % 5 = 0 THEN ',"x\n' || coalesce(lang, '') || '"' ELSE '' END""")
+    path = _csv_files(spark, "doc_id,text,source", table(spark, folder, "documents").select(line.alias("line")))
+    return records.read_csv_records(spark, path).withColumn("overflow", F.array_join("overflow", "|"))
 
 
 @query("read_typed_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
