@@ -1,8 +1,8 @@
 """CSV files as records over many tasks, also where quoted cells hold line ends.
 
 A line starts a record where the quotes before it in the file are even. Spark's text reader cuts files into splits; each split counts
-its quotes alone, and a prefix sum over the short table of splits says whether a split starts inside a quoted cell. Lines that
-are whole records stay where they are; only the lines of records with line ends are gathered.
+its quotes alone, and a prefix sum over the short table of splits says whether a split starts inside a quoted cell. Records
+inside a split are put together where its lines lie; only the pieces of records that cross its end are gathered.
 """
 
 from __future__ import annotations
@@ -54,12 +54,16 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
     key = F.coalesce(F.when(F.col("parity") == 0, F.col("key0")).otherwise(F.col("key1")), F.col("open"))
     closed = F.assert_true(F.col("unclosed") == 0, F.concat(F.lit("a quoted cell is never closed in "), F.col("file")))
     both = both.where(closed.isNull()).withColumn("key", key).where(F.col("key") != F.col("head"))
-    single = (F.col("key") == F.col("pos")) & (F.col("quotes") % 2 == 0)
-    # The check names the columns that make a line a record, else it could be made before the join, of lines inside a cell.
-    whole = both.where(single & ~F.col("value").isin("", "\r")).select(_checked(F.col("value"), ~single).alias("record"))
-    ordered = F.array_sort(F.collect_list(F.struct("block", "pos", "value")))
-    several = both.where(~single).groupBy("file", "key").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"))
-    return whole.unionByName(several.select(_checked(F.col("value"), F.lit(False)).alias("record")))
+    # A split's lines lie in one task, so its records are put together there; only those that cross a split's end move on.
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    pieces = both.groupBy("file", "block", "key").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"),
+                                                      F.min("pos").alias("pos"), (F.sum("quotes") % 2).alias("odd"))
+    whole = (F.col("key") == F.col("pos")) & (F.col("odd") == 0)
+    # The check names the columns that make a piece a record, else a filter of the caller could move it before this one.
+    inside = pieces.where(whole & ~F.col("value").isin("", "\r")).select(_checked(F.col("value"), ~whole).alias("record"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "value")))
+    across = pieces.where(~whole).groupBy("file", "key").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), "\n").alias("value"))
+    return inside.unionByName(across.select(_checked(F.col("value"), F.lit(False)).alias("record")))
 
 
 def _checked(value: Column, other: Column) -> Column:
