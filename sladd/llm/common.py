@@ -11,6 +11,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sladd.sources.writers import scratch_folder
+
 #: Bytes that belong to words once A-Z are lower-cased: 0-9, a-z and everything beyond ASCII.
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
@@ -23,9 +25,11 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/sladd-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse.
+
+    On a cluster, a warehouse on a local disk raises an error, as executors would each write to their own.
+    """
+    return scratch_folder(spark)
 
 
 def written(df: DataFrame) -> DataFrame:

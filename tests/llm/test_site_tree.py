@@ -99,3 +99,15 @@ def test_names_are_only_a_prior(spark, monkeypatch):
             assert f"\n\n{item}\n\n" not in f"\n\n{text}\n\n"
         for title in re.findall(r"<h1>(.*?)</h1>", page):
             assert title.split("&")[0] in text
+
+
+def test_a_local_warehouse_will_not_do_on_a_cluster():
+    from sladd.llm.common import shared_folder
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = {k.replace("_", "."): v for k, v in values.items()}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="yarn", spark_sql_warehouse_dir="file:/tmp/w"))
+    assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs:/c/", spark_sql_warehouse_dir="file:/w")).startswith("hdfs:/c/sladd-")
