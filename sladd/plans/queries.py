@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sladd.functions import filters, spans as S, validators as V
 from sladd.functions.text import exploded, let, not_blank
-from sladd.operators import aggregates as A, audit, flags, hooks, islands, joins, lexicons, language, markup, tables
+from sladd.operators import aggregates as A, audit, blocks, flags, hooks, islands, joins, lexicons, language, markup, tables
 from sladd.plans import oracles as O
 from sladd.plans.analyze import anonymize, with_spans
 from sladd.plans.fixtures import fixture_sql
@@ -521,15 +521,25 @@ def name_table_redact(spark, folder):
 _MINIMUM = [BY_KEY[k] for k in ("email", "credit_card", "ip")]
 
 
-@query("anonymize_minimum",
-       O.with_([*O.analysis_ctes(O.DOCUMENTS, _MINIMUM), *O.redact_ctes(),
-                ("kinds", "SELECT unit_id, count(*) FILTER (entity = 'EMAIL_ADDRESS') AS n_email, count(*) FILTER "
-                          "(entity = 'CREDIT_CARD') AS n_card, count(*) FILTER (entity = 'IP_ADDRESS') AS n_ip FROM spans GROUP BY unit_id")],
-               "SELECT unit_id, redacted, coalesce(n_email, 0) AS n_email, coalesce(n_card, 0) AS n_card, coalesce(n_ip, 0) AS n_ip "
-               "FROM redacted LEFT JOIN kinds USING (unit_id)"))
+_MINIMUM_SQL = O.with_([*O.analysis_ctes(O.DOCUMENTS, _MINIMUM), *O.redact_ctes(),
+             ("kinds", "SELECT unit_id, count(*) FILTER (entity = 'EMAIL_ADDRESS') AS n_email, count(*) FILTER "
+                       "(entity = 'CREDIT_CARD') AS n_card, count(*) FILTER (entity = 'IP_ADDRESS') AS n_ip FROM spans GROUP BY unit_id")],
+            "SELECT unit_id, redacted, coalesce(n_email, 0) AS n_email, coalesce(n_card, 0) AS n_card, coalesce(n_ip, 0) AS n_ip "
+            "FROM redacted LEFT JOIN kinds USING (unit_id)")
+
+
+@query("anonymize_minimum", _MINIMUM_SQL)
 def anonymize_minimum(spark, folder):
-    done = anonymize(documents(spark, folder), detectors=_MINIMUM)
+    return _with_kinds(anonymize(documents(spark, folder), detectors=_MINIMUM))
+
+
+@query("anonymize_blocks", _MINIMUM_SQL)
+def anonymize_blocks(spark, folder):
+    """The same rows, with documents of over 2,000 characters analysed in blocks."""
+    return _with_kinds(blocks.anonymize_blocks(documents(spark, folder), detectors=_MINIMUM, size=2000))
+
 
+def _with_kinds(done):
     def count(entity):
         return F.size(F.filter("spans", lambda s: s["entity"] == entity)).cast("bigint")
 
