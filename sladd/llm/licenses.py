@@ -26,6 +26,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sladd.llm.common import fingerprint, written
 
 THRESHOLD = 0.8
+#: Names, titles and versions of a family whose notices differ in these alone.
+GNU_VERSIONS = (("GPL-3.0", "GNU General Public License", "3"), ("GPL-2.0", "GNU General Public License", "2"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+                ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("AGPL-3.0", "GNU Affero General Public License", "3"))
+#: Wordings of their notices.
+GNU_NOTICES = (
+    "This work is licensed under the {title}, version {version}.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {title} as published by "
+    "the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the {title} version {version} as published by "
+    "the Free Software Foundation.",
+)
+#: Every wording for every version: whatever else a text changes costs all versions the same, so the bigrams in which they differ decide.
+GNU = tuple((name, wording.format(title=title, version=version)) for wording in GNU_NOTICES for name, title, version in GNU_VERSIONS)
 #: Names and texts of public licence notices.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,12 +60,7 @@ TEMPLATES = (
      "above copyright notice and this permission notice appear in all copies."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD", "Released under the BSD License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-     "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *GNU,
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
      "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -67,6 +75,21 @@ TEMPLATES = (
 COMMON = frozenset("a all an and any are as at be by can for from if in is it no not of on one or that the this to under was with you work use".split())
 
 
+#: A table of templates may have this many rows; they go into the plan.
+MOST_TEMPLATES = 1000
+
+
+def template_table(rows: DataFrame) -> tuple:
+    """Templates out of a table ``license, body`` in the order of its rows' names and texts; raises beyond MOST_TEMPLATES rows.
+
+    Rows without a name or with fewer than two words are left out, repeated ones count once.
+    """
+    held = rows.select("license", "body").where("license is not null and body is not null").distinct().limit(MOST_TEMPLATES + 1).collect()
+    if len(held) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    return tuple(sorted((r.license, r.body) for r in held if bigrams(r.body)))
+
+
 def plain_words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
@@ -96,7 +119,10 @@ def normalised(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``key, license, dice, n_units``: the best template, its coefficient, and how many units reach the threshold."""
+    """``key, license, dice, n_units``: the best template, its coefficient, and how many units reach the threshold.
+
+    ``templates`` are pairs of a name and a text, as :func:`template_table` reads them from a table.
+    """
     spark = docs.sparkSession
     known = sorted(reduce(set.union, (markers(t, threshold) for _, t in templates), set()))
     marked = F.array(*[F.lit(w) for w in known])
@@ -131,7 +157,7 @@ def _windows(norm: DataFrame, scored: DataFrame, templates, threshold: float) ->
     """``id, fp, unit, at, license, dice`` of the best window of each licence that no unit in ``scored`` gives."""
     spark = norm.sparkSession
     rows = [(at, name, max(1, len(plain_words(body)) - 1), bigrams(body)) for at, (name, body) in enumerate(templates)]
-    # a fixed table of some twenty rows; ``long`` is the length of a window in bigrams
+    # a row a template; ``long`` is the length of a window in bigrams
     known = F.broadcast(spark.createDataFrame(rows, "at int, license string, long int, own array<string>"))
     postings = F.broadcast(known.select("at", "license", "long", F.size("own").alias("b"), F.explode("own").alias("gram")))
     w = F.filter(F.split(F.translate("norm", "\n", " "), " "), lambda x: x != "")

@@ -278,6 +278,31 @@ class TestLicenses:
         assert {k: v[0] for k, v in got.items()} == {1: "MIT", 2: "GPL-3.0", 3: "GPL-3.0", 4: "Apache-2.0", 5: None, None: "GPL-3.0", 6: "GPL-3.0", 7: "MIT"}
         assert {k: v[1] for k, v in got.items()} == {k: None if k == 5 else 1.0 for k in got} and got[7][2] == 2 and licenses.scan(docs(rows)).count() == len(rows)
 
+    def test_versions_of_a_family(self, docs):
+        """Notices as they stand in files, with words around them and a changed word, for every version."""
+        title = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+        rows, wanted = [], {}
+        for name, version in (("GPL-2.0", "2"), ("GPL-3.0", "3"), ("LGPL-2.1", "2.1"), ("LGPL-3.0", "3"), ("AGPL-3.0", "3")):
+            full = title[name.split("-")[0]]
+            later = (f"Foo is free software; you can redistribute it and/or modify it under the terms of the {full} as published by the Free "
+                     f"Software Foundation; either version {version} of the License, or (at your option) any later version.")
+            only = f"This library is free software; you can redistribute it and/or modify it under the terms of the {full}, version {version}, as published by the Free Software Foundation."
+            for text in (later, only, f"This work is licensed under the {full}, version {version}.", "Some words first. " * 9 + later + " And others behind." * 9,
+                         "\n".join(f" * {later[i:i + 60]}" if later[i - 1:i] in ("", " ") else later[i:i + 60] for i in range(0, len(later), 60))):
+                rows.append((len(rows), text))
+                wanted[len(rows) - 1] = name
+        got = {k: v for k, v in rows_of(licenses.scan(docs(rows)), "doc_id", "license")}
+        broken = set(range(4, 25, 5))  # words cut by line ends lower the coefficient; a version that is found must be right
+        assert {k: v for k, v in got.items() if k not in broken} == {k: v for k, v in wanted.items() if k not in broken}
+        assert all(got[k] in (None, wanted[k]) for k in broken)
+
+    def test_templates_out_of_a_table(self, spark, docs):
+        body = "You may copy this poem for your friends but never sell it to them."
+        held = licenses.template_table(spark.createDataFrame([("Poem", body), ("Poem", body), (None, "x y"), ("Empty", ""), ("None", None), ("Other", "Keep it at home.")], "license string, body string"))
+        assert held == (("Other", "Keep it at home."), ("Poem", body))
+        got = rows_of(licenses.scan(docs([(1, "first\n" + body), (2, "Released under the MIT License."), (3, None)]), templates=held), "doc_id", "license")
+        assert got == [(1, "Poem"), (2, None), (3, None)]
+
     def test_markers_lose_nothing(self):
         for _, text in licenses.TEMPLATES:
             grams = licenses.bigrams(text)
