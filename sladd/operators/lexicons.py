@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sladd.functions import spans as S
@@ -49,25 +52,51 @@ def hashed_words(words: DataFrame) -> Callable[[Column], Column]:
     return has
 
 
-def word_filter(words: DataFrame) -> Callable[[Column], Column]:
-    """True for every listed word, and for a few others: a bit set of hashes, built by Spark, of at most ``MOST_BITS`` bits."""
-    word = F.col(words.columns[0])
-    bits = min(MOST_BITS, max(1 << 15, _power(BITS_PER_WORD * words.count())))
-    place = F.pmod(F.xxhash64(word), F.lit(bits))
-    # the built-in bitmaps count from 1, in buckets of 32,768 bits
-    at = words.select((place + 1).alias("p"))
-    rows = at.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    held = [bytes(4096)] * (bits >> 15)
-    for row in rows.collect():  # at most MOST_BITS / 8 bytes
-        held[row.bucket - 1] = bytes(row.bits)
-    table = F.split(F.lit(",".join(map(str, b"".join(held)))), ",", -1).cast("array<int>")
+class WordFilter:
+    """True for every listed word, and for a few others: a bit set of hashes, built by Spark, of at most ``MOST_BITS`` bits.
+
+    The bits are a broadcast variable of 2 MB at most that one Arrow call a batch looks into, so the plan holds no list.
+    """
+
+    def __init__(self, words: DataFrame, bits: int | None = None):
+        self.bits = bits or enough_bits(words)
+        # the built-in bitmaps count from 1, in buckets of 32,768 bits
+        at = words.select((self.places(F.col(words.columns[0])) + 1).alias("p"))
+        rows = at.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+        held = bytearray(self.bits >> 3)
+        for row in rows.toLocalIterator():  # at most MOST_BITS / 8 bytes
+            held[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
+        self._look = _bit_reader(words.sparkSession.sparkContext.broadcast(bytes(held)))
+
+    def places(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self.bits))
+
+    def each(self, words: Column) -> Column:
+        """A flag for each word of an array."""
+        return self._look(F.transform(words, self.places))
+
+    def __call__(self, value: Column) -> Column:
+        return self.each(F.array(value))[0]
+
+
+def _bit_reader(held):
+    @F.arrow_udf("array<boolean>")
+    def look(places: pa.Array) -> pa.Array:
+        bits, at = np.frombuffer(held.value, np.uint8), places.flatten().to_numpy(zero_copy_only=False)
+        flags = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flags), mask=pc.is_null(places))
 
-    def may_have(value: Column) -> Column:
-        p = F.pmod(F.xxhash64(value), F.lit(bits))
-        byte = F.element_at(table, (F.shiftright(p, 3) + 1).cast("int"))
-        return F.call_function("shiftright", byte, (p % 8).cast("int")).bitwiseAND(1) == 1
+    return look
 
-    return may_have
+
+def enough_bits(words: DataFrame) -> int:
+    return min(MOST_BITS, max(1 << 15, _power(BITS_PER_WORD * words.count())))
+
+
+def word_filter(words: DataFrame) -> WordFilter:
+    return WordFilter(words)
 
 
 def vocabulary(names: DataFrame, column: str = "name") -> DataFrame:
@@ -81,14 +110,17 @@ def longest_run(names: DataFrame, column: str = "name") -> int:
     return names.agg(F.max(F.regexp_count(F.col(column), F.lit(r"(?U)\w+")))).first()[0] or 1
 
 
-def word_runs(text: Column, in_vocabulary, longest: int, wanted=None) -> Column:
-    """All runs of 1 to ``longest`` words of the vocabulary: ``array<struct<start, chunk>>``; ``wanted`` picks by the lower-cased run.
+def text_words(text: Column) -> Column:
+    """The different words of a text; an empty one where it starts or ends otherwise."""
+    return F.array_distinct(F.split(S.guard(text), r"(?U)\W+"))
+
+
+def word_runs(text: Column, known: Column, longest: int, wanted=None) -> Column:
+    """All runs of 1 to ``longest`` words of ``known``: ``array<struct<start, chunk>>``; ``wanted`` picks by the lower-cased run.
 
     Runs may overlap. A text without such words gives an empty array before anything is searched.
     """
     clean = S.guard(text)
-    words = F.array_distinct(F.split(clean, r"(?U)\W+"))
-    known = F.filter(words, lambda w: (w != "") & in_vocabulary(F.lower(w)))
 
     def search(present):
         few = F.concat(F.lit(r"(?U)(?<!\w)(?:"), F.array_join(present, "|"), F.lit(r")(?!\w)"))
@@ -128,8 +160,8 @@ def leftmost_longest(runs: Column) -> Column:
 
 
 def _joined(runs: DataFrame, keys: DataFrame, by, salts: int = 16) -> DataFrame:
-    """Runs (with ``key``) that are listed; ``salts`` spreads frequent names over that many copies of the list."""
-    copies = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Runs (with ``key``) that are listed; ``salts`` spreads frequent names over that many copies of the names that occur."""
+    copies = keys.join(runs.select("key").distinct(), "key", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return runs.withColumn("salt", F.pmod(F.xxhash64(by, "start"), F.lit(salts)).cast("int")).join(copies, ["key", "salt"]).drop("salt")
 
 
@@ -140,7 +172,8 @@ def name_hits(df: DataFrame, names: DataFrame, unit: str = "unit_id", text: str
     and only their runs, short rows, are joined.
     """
     table = NameTable(names, longest=longest)
-    rows = df.select(unit, F.explode_outer(table.runs(F.col(text))).alias("g")).where("g is not null").select(unit, "g.start", "g.chunk")
+    found = table.runs(df.select(unit, text), text, "_found")
+    rows = found.select(unit, F.explode_outer("_found").alias("g")).where("g is not null").select(unit, "g.start", "g.chunk")
     hits = rows if table.short else _joined(rows.withColumn("key", F.lower("chunk")), table.keys, unit, salts)
     return hits.select(unit, "start", (F.col("start") + F.length("chunk")).alias("end"), "chunk")
 
@@ -159,12 +192,24 @@ class NameTable:
         words = vocabulary(self.names)
         self.short = joins.is_short(self.names) and joins.is_short(words)
         self.longest = longest or longest_run(self.names)
-        self._word = hashed_words(words) if self.short else word_filter(words)
+        self._word = hashed_words(words) if self.short else None
+        self._words, self._bits = words, None if self.short else enough_bits(words)
         self._key, self._name = (hashed_words(self.keys), hashed_words(self.names)) if self.short else (None, None)
 
-    def runs(self, text: Column) -> Column:
-        """Listed runs of a text; for a list beyond the checked size, runs that may be listed."""
-        return word_runs(text, self._word, self.longest, self._key)
+    def runs(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """Add ``out``, the listed runs of a text; for a list beyond the checked size, runs that may be listed.
+
+        The bits of a long list are those of its words that occur in the texts, so that a list of any length leaves them sparse.
+        """
+        c = F.col(f"`{text}`")
+        if self.short:
+            known = F.filter(text_words(c), lambda w: (w != "") & self._word(F.lower(w)))
+            return df.withColumn(out, word_runs(c, known, self.longest, self._key))
+        present = df.select(F.explode(text_words(c)).alias("word")).select(F.lower("word").alias("word")).distinct()
+        may_have = WordFilter(self._words.join(present, "word", "left_semi"), self._bits)
+        flags = may_have.each(F.transform(text_words(c), lambda w: F.lower(w)))
+        known = F.array_compact(F.zip_with(text_words(c), F.col("_flags"), lambda w, f: F.when((w != "") & f, w)))
+        return df.withColumn("_flags", flags).withColumn(out, word_runs(c, known, self.longest)).drop("_flags")
 
     def attach(self, df: DataFrame, text: str) -> DataFrame:
         """Add ``LISTED``, the listed runs of each text, leftmost and longest, as ``array<struct<start, chunk>>``.
@@ -174,7 +219,8 @@ class NameTable:
         listed in the same case.
         """
         c = F.col(f"`{text}`")
-        found = df.withColumn("_found", F.coalesce(self.runs(c), S.empty(RUN_TYPE)))
+        # As a generated column it is computed once a row, where the rows lie: a filter on it would move below a repartition.
+        found = self.runs(df, text, "_found").withColumn("_found", F.explode_outer(F.array(F.coalesce("_found", S.empty(RUN_TYPE)))))
         if self.short:
             return found.withColumn(self.LISTED, leftmost_longest(F.col("_found"))).drop("_found")
         some = found.where(F.size("_found") > 0).withColumn("_text", F.struct(F.xxhash64(c).alias("a"), F.md5(c).alias("b")))

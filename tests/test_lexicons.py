@@ -74,3 +74,12 @@ def test_empty_list(spark, texts):
     table = lexicons.NameTable(name_rows(spark, []))
     assert lexicons.name_hits(texts("Kari"), name_rows(spark, [])).count() == 0
     assert anonymize(texts("Kari og Ola"), names=table).first().redacted == "Kari og Ola"
+
+
+def test_plan_of_a_long_list_holds_no_list(spark, texts, monkeypatch):
+    """The driver's memory depends on the plan, so its text must not grow with the names."""
+    monkeypatch.setattr(joins, "BROADCAST_WORDS", 3)
+    table = lexicons.NameTable(name_rows(spark, ["Kari"], 5000))
+    plan = table.attach(texts("Kari og Fyll7", "uten", None), "text")
+    assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert sorted(len(r[table.LISTED]) for r in plan.collect()) == [0, 0, 2]
