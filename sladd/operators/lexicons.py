@@ -233,7 +233,9 @@ class NameTable:
         listed = hits.groupBy("_text").agg(
             F.collect_set(F.struct("start", "chunk")).alias("_runs"),
             F.collect_set(F.when(F.col("chunk") == F.col("name"), F.col("chunk"))).alias("_same"))
-        back = some.drop("_found").join(listed, "_text", "left").drop("_text")
+        # The analysis follows in these tasks, so there are as many as before: by bytes alone short texts would be put together.
+        parts = max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+        back = some.drop("_found").repartition(parts, "_text").join(listed, "_text", "left").drop("_text")
         back = back.withColumn(self.LISTED, leftmost_longest(F.coalesce(F.col("_runs"), S.empty(RUN_TYPE))))
         back = back.withColumn(self.EXACT, F.coalesce(F.col("_same"), F.expr("cast(array() as array<string>)"))).drop("_runs", "_same")
         return back.unionByName(rest)
